@@ -64,16 +64,28 @@ def null_report(df: DataFrame) -> DataFrame:
 
 def null_correlation(df: DataFrame, cols=None) -> DataFrame:
     """Pearson correlation of the null indicators of every pair of columns that both
-    have missing values (empty when fewer than two do). One aggregation pass."""
+    have missing values (empty when fewer than two do). One aggregation pass of counts:
+    for 0/1 indicators r = (n c_ab - z_a z_b) / sqrt((n z_a - z_a^2)(n z_b - z_b^2)), with
+    z the null counts and c_ab the rows where both are null -- exact integer arithmetic up
+    to the final division."""
     cols = list(cols or df.columns)
-    ind = {c: F.col(c).isNull().cast("double") for c in cols}
-    aggs = [F.count_if(F.col(c).isNull()).alias(f"_z{i}") for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols))]
-    aggs += [F.corr(ind[cols[i]], ind[cols[j]]).alias(f"_r{i}_{j}") for i, j in pairs]
+    k = len(cols)
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count_if(F.col(a).isNull() & F.col(b).isNull()).alias(f"_c{i}_{j}")
+             for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
     one = df.agg(*aggs)
-    rows = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                     F.col(f"_z{i}").alias("_za"), F.col(f"_z{j}").alias("_zb"),
-                     F.col(f"_r{i}_{j}").alias("corr")) for i, j in pairs]
+    n = F.col("_n").cast("double")
+
+    def cnt(i, j):
+        return F.col(f"_c{min(i, j)}_{max(i, j)}").cast("double")
+
+    rows = []
+    for i in range(k):
+        for j in range(k):
+            za, zb, cab = cnt(i, i), cnt(j, j), cnt(i, j)
+            r = F.try_divide(n * cab - za * zb, F.sqrt((n * za - za * za) * (n * zb - zb * zb)))
+            rows.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
+                                 za.alias("_za"), zb.alias("_zb"), r.alias("corr")))
     out = one.select(F.inline(F.array(*rows))).filter((F.col("_za") > 0) & (F.col("_zb") > 0))
     return out.select("col_a", "col_b", "corr")
 
