@@ -71,3 +71,11 @@ STATE_CENTROIDS = [
 MIN_MUNICIPAL_AREA = 0.1
 CLUSTER_FEATURES = ["log_Sembrada_total", "proporcion_siniestro_total", "prop_temporal",
                     "log_Rendimiento_medio", "log_Precio_medio", "log_Diversidad_cultivos"]
+
+# Cluster profile names (short, long) by canonical cluster number.
+CLUSTER_NAMES = {
+    0: ("Temporal Gran Escala", "Agricultura de Temporal de Gran Escala"),
+    1: ("Agricultura Campesina", "Agricultura Tradicional de Temporal y Subsistencia a Pequeña Escala"),
+    2: ("Riego Comercial", "Corredores Agrícolas Comerciales de Riego y Alta Productividad"),
+    3: ("Vulnerabilidad Crítica", "Zonas de Siniestralidad Crónica y Vulnerabilidad Climática Crítica"),
+}
