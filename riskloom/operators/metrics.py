@@ -55,42 +55,77 @@ def per_class(conf: DataFrame, group=()) -> DataFrame:
     return c.withColumns({"f1": f1, "f2": f2})
 
 
-def label_metrics(conf: DataFrame, group=(), critical: int = 4) -> DataFrame:
+def label_metrics(conf: DataFrame, group=(), critical: int = 4, k: int = K) -> DataFrame:
     """K2-K7, K12 from a long confusion table: accuracy, errors, balanced accuracy, macro
     and weighted F1 / precision / recall, F2 of the critical class, Cohen kappa (plain and
-    quadratic), Matthews correlation and the composite score. One row per group."""
+    quadratic), Matthews correlation and the composite score. One row per group.
+
+    The labels 0..k-1 are fixed, so per-class support, predictions and hits are conditional
+    sums of a single aggregation over the (tiny) confusion table; every metric is then a
+    column expression -- one shuffle in total."""
     g = list(group)
-    pc = per_class(conf, g)
-    cls = pc.groupBy(*g).agg(
-        F.sum("t").alias("N"), F.sum("tp").alias("TP"),
-        F.avg(F.when(F.col("t") > 0, F.col("recall"))).alias("balanced_accuracy"),
-        F.avg(F.when((F.col("t") > 0) | (F.col("p") > 0), F.col("f1"))).alias("f1_macro"),
-        F.avg(F.when((F.col("t") > 0) | (F.col("p") > 0), F.col("precision"))).alias("precision_macro"),
-        F.avg(F.when((F.col("t") > 0) | (F.col("p") > 0), F.col("recall"))).alias("recall_macro"),
-        F.sum(F.col("t") * F.col("f1")).alias("_wf1"),
-        *[F.sum(e.cast("double")).alias(a) for a, e in [
-            ("_stp", F.col("t") * F.col("p")), ("_stt", F.col("t") * F.col("t")),
-            ("_spp", F.col("p") * F.col("p")), ("_it", F.col("k") * F.col("t")),
-            ("_jp", F.col("k") * F.col("p")), ("_iit", F.col("k") * F.col("k") * F.col("t")),
-            ("_jjp", F.col("k") * F.col("k") * F.col("p"))]],
-        F.coalesce(F.max(F.when(F.col("k") == critical, F.col("f2"))), F.lit(0.0)).alias("f2_critical"),
-        F.coalesce(F.max(F.when(F.col("k") == critical, F.col("recall"))), F.lit(0.0))
-        .alias("recall_critical"))
-    sq = conf.groupBy(*g).agg(F.sum(((F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat"))
-                                     * F.col("n")).cast("double")).alias("_wo"))
-    m = cls.join(sq, g, "left") if g else cls.crossJoin(sq)
-    n = F.col("N").cast("double")
-    kappa = 1 - ((n - F.col("TP")) / n) / ((n * n - F.col("_stp")) / (n * n))
-    exp_q = (F.col("_iit") * n + F.col("_jjp") * n - 2 * F.col("_it") * F.col("_jp")) / (n * n)
-    kappa_q = 1 - F.try_divide(F.col("_wo") / n, exp_q)
-    mcc = F.try_divide(F.col("TP") * n - F.col("_stp"),
-                       F.sqrt((n * n - F.col("_spp")) * (n * n - F.col("_stt"))))
-    m = m.select(*g, F.col("N").alias("n"), (F.col("TP") / n).alias("accuracy"),
-                 (F.col("N") - F.col("TP")).alias("n_errors"), ((n - F.col("TP")) / n).alias("error_rate"),
-                 "balanced_accuracy", "f1_macro", "precision_macro", "recall_macro",
-                 (F.col("_wf1") / n).alias("f1_weighted"), "f2_critical", "recall_critical",
-                 kappa.alias("kappa"), F.coalesce(kappa_q, F.lit(0.0)).alias("kappa_quadratic"),
-                 F.coalesce(mcc, F.lit(0.0)).alias("mcc"))
+    y, yh, n_ = F.col("y"), F.col("yhat"), F.col("n")
+    aggs = []
+    for c in range(k):
+        aggs += [F.sum(F.when(y == c, n_).otherwise(0)).alias(f"_t{c}"),
+                 F.sum(F.when(yh == c, n_).otherwise(0)).alias(f"_p{c}"),
+                 F.sum(F.when((y == c) & (yh == c), n_).otherwise(0)).alias(f"_tp{c}")]
+    aggs.append(F.sum(((y - yh) * (y - yh) * n_).cast("double")).alias("_wo"))
+    a = conf.groupBy(*g).agg(*aggs)
+
+    def col(name, c):
+        return F.col(f"_{name}{c}")
+
+    prec = {c: F.coalesce(F.try_divide(col("tp", c).cast("double"), col("p", c)), F.lit(0.0))
+            for c in range(k)}
+    rec = {c: F.coalesce(F.try_divide(col("tp", c).cast("double"), col("t", c)), F.lit(0.0))
+           for c in range(k)}
+    a = a.select("*", *[prec[c].alias(f"_prec{c}") for c in range(k)],
+                 *[rec[c].alias(f"_rec{c}") for c in range(k)])
+    f1 = {c: F.coalesce(F.try_divide(2 * col("prec", c) * col("rec", c),
+                                     col("prec", c) + col("rec", c)), F.lit(0.0)) for c in range(k)}
+    f2 = {c: F.coalesce(F.try_divide(5 * col("prec", c) * col("rec", c),
+                                     4 * col("prec", c) + col("rec", c)), F.lit(0.0)) for c in range(k)}
+    a = a.select("*", *[f1[c].alias(f"_f1{c}") for c in range(k)],
+                 *[f2[c].alias(f"_f2{c}") for c in range(k)])
+
+    def ssum(cols):
+        out = cols[0]
+        for x in cols[1:]:
+            out = out + x
+        return out
+
+    def cond_avg(vals, conds):
+        num = ssum([F.when(cd, v).otherwise(F.lit(0.0)) for v, cd in zip(vals, conds)])
+        den = ssum([cd.cast("int") for cd in conds])
+        return F.try_divide(num, den)
+
+    present_y = [col("t", c) > 0 for c in range(k)]
+    present = [(col("t", c) > 0) | (col("p", c) > 0) for c in range(k)]
+    n = ssum([col("t", c) for c in range(k)]).cast("double")
+    tp = ssum([col("tp", c) for c in range(k)]).cast("double")
+    stp = ssum([col("t", c).cast("double") * col("p", c) for c in range(k)])
+    stt = ssum([col("t", c).cast("double") * col("t", c) for c in range(k)])
+    spp = ssum([col("p", c).cast("double") * col("p", c) for c in range(k)])
+    it = ssum([col("t", c).cast("double") * c for c in range(k)])
+    jp = ssum([col("p", c).cast("double") * c for c in range(k)])
+    iit = ssum([col("t", c).cast("double") * (c * c) for c in range(k)])
+    jjp = ssum([col("p", c).cast("double") * (c * c) for c in range(k)])
+    wf1 = ssum([col("t", c) * col("f1", c) for c in range(k)])
+    kappa = 1 - ((n - tp) / n) / ((n * n - stp) / (n * n))
+    exp_q = (iit * n + jjp * n - 2 * it * jp) / (n * n)
+    kappa_q = F.coalesce(1 - F.try_divide(F.col("_wo") / n, exp_q), F.lit(0.0))
+    mcc = F.coalesce(F.try_divide(tp * n - stp, F.sqrt((n * n - spp) * (n * n - stt))), F.lit(0.0))
+    m = a.select(
+        *g, n.cast("long").alias("n"), (tp / n).alias("accuracy"),
+        (n - tp).cast("long").alias("n_errors"), ((n - tp) / n).alias("error_rate"),
+        cond_avg([col("rec", c) for c in range(k)], present_y).alias("balanced_accuracy"),
+        cond_avg([col("f1", c) for c in range(k)], present).alias("f1_macro"),
+        cond_avg([col("prec", c) for c in range(k)], present).alias("precision_macro"),
+        cond_avg([col("rec", c) for c in range(k)], present).alias("recall_macro"),
+        (wf1 / n).alias("f1_weighted"), col("f2", critical).alias("f2_critical"),
+        col("rec", critical).alias("recall_critical"), kappa.alias("kappa"),
+        kappa_q.alias("kappa_quadratic"), mcc.alias("mcc"))
     w = SCORE_WEIGHTS
     return m.withColumn("composite", F.lit(w["f2_critica"]) * F.col("f2_critical")
                         + F.lit(w["bal_acc"]) * F.col("balanced_accuracy")

@@ -223,7 +223,8 @@ def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFra
     pairs are handled in one job: rows are exploded to (pair, side, value), tied values
     collapsed, ranks computed with distributed running sums (no single-task window)."""
     cols = list(cols)
-    pairs = [(a, b) for a in cols for b in cols]
+    # The matrix is symmetric: compute a <= b only, mirror the rest.
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     rid = df.select(F.monotonically_increasing_id().alias("_rid"), *cols)
     long = rid.select("_rid", F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
@@ -231,11 +232,15 @@ def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFra
         for a, b in pairs])).alias("_p")).select("_rid", "_p.*")
     long = long.filter(F.col("va").isNotNull() & F.col("vb").isNotNull())
     if method == "pearson":
-        return long.groupBy("col_a", "col_b").agg(F.corr("va", "vb").alias("corr"))
-    ra = average_rank(long, ["col_a", "col_b"], "va", "ra").drop("n_ties")
-    rb = average_rank(long, ["col_a", "col_b"], "vb", "rb").drop("n_ties")
-    ranked = long.join(ra, ["col_a", "col_b", "va"]).join(rb, ["col_a", "col_b", "vb"])
-    return ranked.groupBy("col_a", "col_b").agg(F.corr("ra", "rb").alias("corr"))
+        half = long.groupBy("col_a", "col_b").agg(F.corr("va", "vb").alias("corr"))
+    else:
+        ra = average_rank(long, ["col_a", "col_b"], "va", "ra").drop("n_ties")
+        rb = average_rank(long, ["col_a", "col_b"], "vb", "rb").drop("n_ties")
+        ranked = long.join(ra, ["col_a", "col_b", "va"]).join(rb, ["col_a", "col_b", "vb"])
+        half = ranked.groupBy("col_a", "col_b").agg(F.corr("ra", "rb").alias("corr"))
+    mirror = half.filter(F.col("col_a") != F.col("col_b")).select(
+        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
+    return half.unionByName(mirror)
 
 
 def category_frequency(df: DataFrame, cols, top_n: int = 15) -> DataFrame:

@@ -1 +1,109 @@
-"""Queries."""
+"""Queries for the risk classifiers (J6-J11, J14-J20, C8). Model fits are not SQL: these
+are checked by row count here and by the property tests (beats the majority baseline,
+probabilities sum to 1, batch equals stream, calibration, additivity)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskloom.operators import classify, joins
+from riskloom.plans.q_clean import TRAIN_TO, VAL_TO, risky
+from riskloom.plans.registry import register
+
+
+def table(spark, sf):
+    return classify.model_table(risky(spark, sf))
+
+
+def splits(spark, sf):
+    t = table(spark, sf)
+    return (t.filter(F.col("Anio") <= TRAIN_TO),
+            t.filter((F.col("Anio") > TRAIN_TO) & (F.col("Anio") <= VAL_TO)),
+            t.filter(F.col("Anio") > VAL_TO))
+
+
+@register("fit_risk_classifier", None)
+def q_fit(spark, sf):
+    """One-vs-rest GBTs on the coded features (train <= 1999), scored on the test year."""
+    tr, _, te = splits(spark, sf)
+    model = classify.fit_risk_classifier(tr)
+    return classify.predict(model, te)
+
+
+@register("align_predictions", None)
+def q_align(spark, sf):
+    """Predictions re-attached to state and true loss ratio by key."""
+    tr, _, te = splits(spark, sf)
+    pred = classify.predict(classify.fit_risk_classifier(tr, kind="rf"), te)
+    attrs = te.select(F.col("record_id").alias("key"), "Nomestado", "proporcion_siniestro")
+    return joins.align_predictions(pred, attrs, "key")
+
+
+@register("two_stage_classifier", None)
+def q_two_stage(spark, sf):
+    """P(loss) x severity, scored on the test year."""
+    tr, _, te = splits(spark, sf)
+    return classify.two_stage(tr, te)
+
+
+@register("isotonic_calibration", None)
+def q_isotonic(spark, sf):
+    """Forest fitted <= 1999, calibrated per class on 2000, applied to 2001."""
+    tr, va, te = splits(spark, sf)
+    m = classify.fit_risk_classifier(tr, kind="rf")
+    out, _ = classify.isotonic_calibration(classify.predict(m, va), classify.predict(m, te))
+    return out
+
+
+@register("early_stop_curve", None)
+def q_early_stop(spark, sf):
+    """Per-iteration train/validation log-loss of the critical-class GBT."""
+    tr, va, _ = splits(spark, sf)
+    rows = classify.early_stop_curve(tr, va, params={"maxIter": 30})
+    return spark.createDataFrame(rows, "iteration int, train_loss double, val_loss double, "
+                                       "best_iteration int, stop_iteration int")
+
+
+@register("feature_importance", None)
+def q_importance(spark, sf):
+    """Gain and split counts of the coded features (one-vs-rest GBTs)."""
+    tr, _, _ = splits(spark, sf)
+    m = classify.fit_risk_classifier(tr)
+    rows = classify.feature_importance(m, classify.CODED_NUM)
+    return spark.createDataFrame(rows, "feature string, gain double, splits long")
+
+
+@register("cross_validate", None)
+def q_cross_validate(spark, sf):
+    """Five stratified folds over the train and validation years (forest)."""
+    tr, va, _ = splits(spark, sf)
+    rows = classify.cross_validate(tr.unionByName(va), folds=5)
+    return spark.createDataFrame(rows, "fold int, split string, accuracy double, f1_macro double, "
+                                       "balanced_accuracy double, kappa_quadratic double")
+
+
+@register("score_batch", None)
+def q_score_batch(spark, sf):
+    """Native-category model (train years) scoring every record of the test year as a
+    request: class, label, probabilities by label, confidence."""
+    tr, _, te = splits(spark, sf)
+    m = classify.fit_risk_classifier(tr, classify.NATIVE_NUM, classify.NATIVE_CAT, kind="rf")
+    req = te.select("record_id", *classify.NATIVE_CAT, "Sembrada", "Precio", "hist_mean")
+    return classify.score_batch(m, req)
+
+
+@register("shapley_attribution", None)
+def q_shapley(spark, sf):
+    """Permutation Shapley values of 200 seeded test rows against 50 background rows."""
+    from riskloom.operators.sorting import seeded_sample
+    tr, _, te = splits(spark, sf)
+    m = classify.fit_risk_classifier(tr, kind="rf")
+    sample = seeded_sample(te, "record_id", n=200, seed=42)
+    background = seeded_sample(tr, "record_id", n=50, seed=7)
+    return classify.shapley_attribution(m, sample, background, classify.CODED_NUM, n_perm=4)
+
+
+@register("shapley_summary", None)
+def q_shapley_summary(spark, sf):
+    """Mean |phi| per class, top 3 features."""
+    return classify.shapley_summary(q_shapley(spark, sf), by_class=True, top=3)

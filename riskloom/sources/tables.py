@@ -21,10 +21,6 @@ from riskloom.constants import CYCLES, MODES
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-MONEY = "decimal(18,2)"
-RATE = "decimal(4,2)"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; callers select the columns they need so the scan is pruned."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -75,8 +71,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(crop_dimension(spark, sf_dir), "Nomcultivo"))
 
     lost = F.col("l_returnflag") == "R"
-    price = F.col("l_extendedprice").cast(MONEY)
-    net = price * (F.lit(1) - F.col("l_discount").cast(RATE))
+    # Money in exact integers: prices carry 2 decimals and discounts 2 decimals, so cents
+    # and (cents x discount-percent) units are exact longs -- the same values as decimal
+    # arithmetic, at long speed (no BigDecimal in the aggregation).
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    net = cents * (F.lit(100) - F.round(F.col("l_discount") * 100).cast("long"))
     month = F.month("l_shipdate")
     joined = (li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
               .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -92,15 +91,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("Idmodalidad"),
                   "Idcultivo", "Nomcultivo", "l_quantity",
                   F.when(lost, F.col("l_quantity")).otherwise(F.lit(0.0)).alias("lost_qty"),
-                  F.when(~lost, price).alias("kept_price"),
+                  F.when(~lost, cents).alias("kept_price"),
                   F.when(~lost, net).alias("kept_net")))
     agg = (joined.groupBy("Anio", "Idestado", "Nomestado", "Idmunicipio", "Nommunicipio",
                           "Idciclo", "Idmodalidad", "Idcultivo", "Nomcultivo")
            .agg(F.sum("l_quantity").alias("Sembrada"),
                 F.sum("lost_qty").alias("Siniestrada"),
-                F.coalesce(F.sum("kept_price"), F.lit(0).cast(MONEY)).cast("double")
-                 .alias("Volumenproduccion"),
-                F.sum("kept_net").cast("double").alias("Valorproduccion")))
+                (F.coalesce(F.sum("kept_price"), F.lit(0)).cast("double") / 100.0)
+                .alias("Volumenproduccion"),
+                (F.sum("kept_net").cast("double") / 10000.0).alias("Valorproduccion")))
     c = {n: F.col(n) for n in agg.columns}
     return agg.select(
         record_key(c).alias("record_id"),
@@ -126,8 +125,8 @@ def climate_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
              .groupBy(F.col("c_nationkey").alias("Idestado"),
                       F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
-             .agg((F.sum(F.col("o_totalprice").cast(MONEY)).cast("double") / F.count(F.lit(1)))
-                  .alias("m")))
+             .agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / 100.0
+                   / F.count(F.lit(1))).alias("m")))
     t = F.pmod(F.col("m") / 1000, F.lit(40.0)) - 5
     return cells.select(
         "year", "month", "Idestado",
