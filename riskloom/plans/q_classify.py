@@ -107,3 +107,66 @@ def q_shapley(spark, sf):
 def q_shapley_summary(spark, sf):
     """Mean |phi| per class, top 3 features."""
     return classify.shapley_summary(q_shapley(spark, sf), by_class=True, top=3)
+
+
+@register("score_stream", None)
+def q_score_stream(spark, sf):
+    """The test-year requests landed as files and scored by a Structured Streaming query
+    (available-now trigger, checkpointed); the sink read back as a table."""
+    from riskloom.streaming.scoring import run_to_completion
+    tr, _, te = splits(spark, sf)
+    m = classify.fit_risk_classifier(tr, classify.NATIVE_NUM, classify.NATIVE_CAT, kind="rf")
+    req = te.select("record_id", *classify.NATIVE_CAT, "Sembrada", "Precio", "hist_mean")
+    return run_to_completion(spark, m, req)
+
+
+@register("regularization_sweep", None)
+def q_reg_sweep(spark, sf):
+    """One-factor sweeps of min info gain, min instances per node and subsampling rate
+    (forest), each fixing the previous best; validation metrics per value."""
+    tr, va, _ = splits(spark, sf)
+    grids = {"minInfoGain": [0.0, 0.001, 0.01, 0.05, 0.1, 0.2, 0.5],
+             "minInstancesPerNode": [1, 2, 5, 10, 20, 50, 100, 200],
+             "subsamplingRate": [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]}
+    rows, _ = classify.regularization_sweep(tr, va, grids)
+    return spark.createDataFrame(rows, "param string, value double, f1_macro double, "
+                                       "accuracy double, log_loss double")
+
+
+@register("random_search", None)
+def q_random_search(spark, sf):
+    """40 seeded random forest candidates scored by 3-fold stratified CV on the composite
+    score; the table of candidates and their mean scores."""
+    tr, _, _ = splits(spark, sf)
+    space = {"numTrees": [20, 40, 60], "maxDepth": [4, 6, 8, 10], "minInstancesPerNode": [1, 5, 20],
+             "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["sqrt", "onethird", "all"]}
+    _, table = classify.random_search(tr, space, n=40, folds=3)
+    import json
+    return spark.createDataFrame([(i, json.dumps(c, sort_keys=True), s) for i, (c, s) in enumerate(table)],
+                                 "candidate int, params string, composite double")
+
+
+@register("learning_curve", None)
+def q_learning_curve(spark, sf):
+    """Fractions .1-1 of the training folds x 3 folds: train/test macro F1, gap, verdict."""
+    tr, va, _ = splits(spark, sf)
+    rows = classify.learning_curve(tr.unionByName(va))
+    return spark.createDataFrame(rows, "fraction double, train_f1 double, train_std double, "
+                                       "test_f1 double, test_std double, gap double, verdict string")
+
+
+@register("ablation", None)
+def q_ablation(spark, sf):
+    """With and without the loss-history feature and with climate added: same rows, split
+    and parameters; metric deltas against the base set."""
+    from riskloom.operators.joins import climate_left_join
+    from riskloom.plans.q_climate import CLIMA_COLS, cycle_climate
+    t = climate_left_join(table(spark, sf), cycle_climate(spark, sf))
+    tr, te = t.filter(F.col("Anio") <= TRAIN_TO), t.filter(F.col("Anio") > VAL_TO)
+    base = [c for c in classify.CODED_NUM if c != "hist_mean"]
+    sets = {"base": base, "base+history": base + ["hist_mean"],
+            "base+history+climate": base + ["hist_mean"] + CLIMA_COLS}
+    rows = classify.ablation(tr, te, sets, kind="rf")
+    cols = ["accuracy", "f1_macro", "balanced_accuracy", "kappa_quadratic", "log_loss"]
+    return spark.createDataFrame(rows, "feature_set string, " + ", ".join(f"{c} double" for c in cols)
+                                 + ", " + ", ".join(f"delta_{c} double" for c in cols))
