@@ -112,7 +112,7 @@ def label_metrics(conf: DataFrame, group=(), critical: int = 4, k: int = K) -> D
     iit = ssum([col("t", c).cast("double") * (c * c) for c in range(k)])
     jjp = ssum([col("p", c).cast("double") * (c * c) for c in range(k)])
     wf1 = ssum([col("t", c) * col("f1", c) for c in range(k)])
-    kappa = 1 - ((n - tp) / n) / ((n * n - stp) / (n * n))
+    kappa = 1 - F.try_divide((n - tp) / n, (n * n - stp) / (n * n))  # NULL when chance agreement is 1
     exp_q = (iit * n + jjp * n - 2 * it * jp) / (n * n)
     kappa_q = F.coalesce(1 - F.try_divide(F.col("_wo") / n, exp_q), F.lit(0.0))
     mcc = F.coalesce(F.try_divide(tp * n - stp, F.sqrt((n * n - spp) * (n * n - stt))), F.lit(0.0))
