@@ -264,6 +264,17 @@ def error_by_state(scored: DataFrame, state: str = "Nomestado", n: int = 20) ->
                           .when(F.col("error_rate") > 0.20, "media").otherwise("baja"))
 
 
+def error_by_state_volume(scored: DataFrame, state: str = "Nomestado", n: int = 12) -> DataFrame:
+    """D27 (variant): the n states with most rows; errors, rows and error rate, highest
+    rate first."""
+    from riskloom.operators.joins import topn_semi_join
+    top = topn_semi_join(scored.filter(F.col(state).isNotNull()), state, n)
+    agg = top.groupBy(state).agg(F.count_if(F.col("y") != F.col("yhat")).alias("n_errors"),
+                                 F.count(F.lit(1)).alias("n"))
+    return agg.withColumn("error_rate", F.col("n_errors") / F.col("n")).orderBy(
+        F.desc("error_rate"), F.asc(state))
+
+
 def top_confusions(scored: DataFrame, n: int = 10) -> DataFrame:
     """Most frequent (true, predicted) error pairs, with their share of all errors."""
     errs = confusion_long(scored.filter(F.col("y") != F.col("yhat")))

@@ -9,6 +9,7 @@ from riskloom.constants import CLUSTER_FEATURES, CLUSTER_NAMES
 from riskloom.functions.numeric import round_to_sql as rnd
 from riskloom.operators import cluster, features
 from riskloom.plans.q_clean import risky
+from riskloom.plans.q_profile import _five_sql as five_sql
 from riskloom.plans.registry import register
 from riskloom.plans.sql_base import final, with_base
 
@@ -195,3 +196,12 @@ def q_pca(spark, sf):
     model = cluster.vulnerability_pipeline(prof, k=4, n_pca=2, n_init=3)
     return spark.createDataFrame([(i + 1, r, c) for i, (r, c) in enumerate(cluster.explained_variance(model))],
                                  "component int, ratio double, cumulative double")
+
+
+@register("five_number_by_cluster", final(with_base(
+    five_sql("assigned", "proporcion_siniestro_total", "cluster"), ASSIGN_SQL),
+    ["min", "q1", "median", "q3", "max", "whisker_low", "whisker_high"], ["cluster", "n"]))
+def q_five_by_cluster(spark, sf):
+    """Box-plot statistics of the municipal loss share by cluster."""
+    from riskloom.operators.profile import five_number_by_group
+    return five_number_by_group(assigned(spark, sf), "proporcion_siniestro_total", "cluster")

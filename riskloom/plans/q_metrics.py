@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.constants import SCORE_WEIGHTS
 from riskloom.functions.numeric import round_to_sql as rnd
 from riskloom.operators import metrics, sorting, windows
+from riskloom.operators.util import key_hash_sql
 from riskloom.plans.q_clean import TRAIN_TO
 from riskloom.plans.registry import register
 from riskloom.plans.sql_base import final, with_base
@@ -325,3 +326,24 @@ def q_first_match(spark, sf):
     """The first record (by key) of the critical class that was predicted critical."""
     s = sc(spark, sf).select("key", "y", "yhat", F.element_at("p", 5).alias("p4"))
     return sorting.first_match(s, (F.col("y") == 4) & (F.col("yhat") == 4), "key")
+
+
+@register("error_by_state_volume", final(with_base("""
+SELECT Nomestado, COUNT(*) FILTER (WHERE y <> yhat) AS n_errors, COUNT(*) AS n,
+       COUNT(*) FILTER (WHERE y <> yhat) / CAST(COUNT(*) AS DOUBLE) AS error_rate
+FROM scored WHERE Nomestado IN (SELECT Nomestado FROM scored WHERE Nomestado IS NOT NULL
+                                GROUP BY Nomestado ORDER BY COUNT(*) DESC, Nomestado LIMIT 12)
+GROUP BY Nomestado"""), ["error_rate"], ["n_errors", "n"]))
+def q_error_by_state_volume(spark, sf):
+    """Error rate of the 12 states with most rows (sorted by rate in the report)."""
+    return metrics.error_by_state_volume(sc(spark, sf), n=12)
+
+
+@register("scatter_ratio_vs_critical", final(with_base(f"""
+SELECT key, proporcion_siniestro, p4 AS p_critica, y FROM scored
+ORDER BY {key_hash_sql('key', 42)}, key
+LIMIT 8000"""), ["proporcion_siniestro", "p_critica"], ["key", "y"]))
+def q_scatter_critical(spark, sf):
+    """Seeded sample (8,000 rows) of the true loss ratio against p(critical), by class."""
+    s = sc(spark, sf).select("key", "proporcion_siniestro", F.element_at("p", 5).alias("p_critica"), "y")
+    return sorting.seeded_sample(s, "key", n=8000, seed=42)

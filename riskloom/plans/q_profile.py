@@ -295,3 +295,42 @@ WHERE Nomestado IN (SELECT Nomestado FROM records WHERE Nomestado IS NOT NULL GR
 GROUP BY Nomestado"""), [f"pct_clase_{k}" for k in range(5)]))
 def q_state_class_share(spark, sf):
     return profile.state_class_share(risky(spark, sf), 20)
+
+
+# D10 variants -------------------------------------------------------------------------
+def _five_sql(src: str, col: str, by: str, shift: str = "") -> str:
+    v = f"({col}{shift})"
+    return f"""
+SELECT q.{by}, q.n, q.min, q.q1, q.median, q.q3, q.max,
+       MIN(CASE WHEN r.v >= q.q1 - CAST(1.5 AS DOUBLE) * (q.q3 - q.q1) THEN r.v END) AS whisker_low,
+       MAX(CASE WHEN r.v <= q.q3 + CAST(1.5 AS DOUBLE) * (q.q3 - q.q1) THEN r.v END) AS whisker_high
+FROM (SELECT {by}, COUNT(*) AS n, MIN(v) AS min, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+             quantile_cont(v, 0.75) AS q3, MAX(v) AS max
+      FROM (SELECT {by}, {v} AS v FROM {src} WHERE {by} IS NOT NULL AND {col} IS NOT NULL) b GROUP BY {by}) q
+JOIN (SELECT {by}, {v} AS v FROM {src} WHERE {by} IS NOT NULL AND {col} IS NOT NULL) r ON r.{by} = q.{by}
+GROUP BY q.{by}, q.n, q.min, q.q1, q.median, q.q3, q.max"""
+
+
+_FIVE_DBL = ["min", "q1", "median", "q3", "max", "whisker_low", "whisker_high"]
+
+
+@register("five_number_by_class", final(with_base(
+    _five_sql("risky", "proporcion_siniestro", "target", " + CAST(0.0001 AS DOUBLE)")), _FIVE_DBL, ["target", "n"]))
+def q_five_by_class(spark, sf):
+    """Box-plot statistics of the loss ratio (+1e-4, for a log axis) by risk class."""
+    return profile.five_number_by_group(risky(spark, sf), "proporcion_siniestro", "target", shift=1e-4)
+
+
+# E5 -----------------------------------------------------------------------------------
+@register("topn_per_group", final(with_base("""
+SELECT * FROM (SELECT Nomestado, Nomcultivo, n,
+                      row_number() OVER (PARTITION BY Nomestado ORDER BY n DESC, Nomcultivo) AS rank
+               FROM (SELECT Nomestado, Nomcultivo, COUNT(*) AS n FROM records
+                     WHERE Nomestado IS NOT NULL AND Nomcultivo IS NOT NULL GROUP BY 1, 2) c) r
+WHERE rank <= 3"""), [], ["n", "rank"]))
+def q_topn_per_group(spark, sf):
+    """The three crops with most records in every state (ties by name)."""
+    from riskloom.operators.windows import topn_per_group
+    counts = (records(spark, sf).filter(F.col("Nomestado").isNotNull() & F.col("Nomcultivo").isNotNull())
+              .groupBy("Nomestado", "Nomcultivo").agg(F.count(F.lit(1)).alias("n")))
+    return topn_per_group(counts, ["Nomestado"], [F.desc("n"), F.asc("Nomcultivo")], 3)

@@ -348,3 +348,13 @@ def test_export_round_trip(spark, workdir, x2):
     assert sorted(r.target for r in back2.collect()) == sorted(r.target for r in df.collect())
     enr = files.export_enriched(spark.createDataFrame([(1.234567,)], "x double"), os.path.join(workdir, "enr"))
     assert spark.read.option("header", True).csv(enr).first().x == "1.2346"
+
+
+def test_state_centroids_and_assembler(spark):
+    from pyspark.ml.feature import VectorAssembler
+    c = climate.state_centroids(spark)
+    assert c.count() == 32 and c.filter("Idestado = 20").first().lat == 17.07
+    df = spark.createDataFrame([(1.0, None)], "a double, b double")
+    asm = VectorAssembler(inputCols=["a", "b"], outputCol="v", handleInvalid="error")
+    with pytest.raises(Exception):
+        asm.transform(df).collect()  # I8: a missing input is an error, not a silent NaN
