@@ -52,30 +52,48 @@ def model_table(risky: DataFrame) -> DataFrame:
     return with_class_weight(t, "target", "weight")
 
 
+def argmax_first(cols):
+    """Index of the largest of the given columns (lowest index on ties), as a CASE chain."""
+    best = F.greatest(*cols) if len(cols) > 1 else cols[0]
+    out = F.lit(len(cols) - 1)
+    for i in range(len(cols) - 2, -1, -1):
+        out = F.when(cols[i] == best, F.lit(i)).otherwise(out)
+    return out
+
+
+def normalised(cols, k):
+    """[c_i / sum c] (uniform when the sum is 0), with fixed arity: codegen'd terms."""
+    total = cols[0]
+    for c in cols[1:]:
+        total = total + c
+    return [F.coalesce(F.try_divide(c, total), F.lit(1.0 / k)) for c in cols]
+
+
 class ProbabilityCombiner(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Turns classifier outputs into ``p`` (array<double>, sums to 1) and ``prediction``
     (lowest class on ties). mode 'ovr': one binary probability vector per class, the
-    positive-class entries are normalised; mode 'multi': one multiclass vector."""
+    positive-class entries are normalised; mode 'multi': one multiclass vector of
+    ``numClasses`` entries."""
 
     mode = Param(Params._dummy(), "mode", "ovr or multi", typeConverter=TypeConverters.toString)
+    numClasses = Param(Params._dummy(), "numClasses", "classes", typeConverter=TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, inputCols=None, mode="ovr"):
+    def __init__(self, inputCols=None, mode="ovr", numClasses=K):
         super().__init__()
-        self._setDefault(mode="ovr")
+        self._setDefault(mode="ovr", numClasses=K)
         self._set(**self._input_kwargs)
 
     def _transform(self, df):
         cols = self.getInputCols()
         if self.getOrDefault(self.mode) == "ovr":
-            raw = F.array(*[vector_to_array(F.col(c))[1] for c in cols])
+            raw = [vector_to_array(F.col(c))[1] for c in cols]
         else:
-            raw = vector_to_array(F.col(cols[0]))
-        total = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
-        p = F.transform(raw, lambda v: F.coalesce(F.try_divide(v, total), F.lit(1.0 / K)))
-        out = df.withColumn("p", p).drop(*cols)
-        pmax = F.array_max("p")
-        return out.withColumn("prediction", (F.array_position("p", pmax) - 1).cast("int"))
+            arr = vector_to_array(F.col(cols[0]))
+            raw = [F.coalesce(arr[i], F.lit(0.0)) for i in range(self.getOrDefault(self.numClasses))]
+        parts = normalised(raw, len(raw))
+        out = df.withColumn("p", F.array(*parts)).drop(*cols)
+        return out.withColumn("prediction", argmax_first([F.col("p")[i] for i in range(len(raw))]).cast("int"))
 
 
 def _prep_stages(num, cat):
@@ -119,7 +137,7 @@ def fit_risk_classifier(train: DataFrame, num=CODED_NUM, cat=(), y: str = "targe
             rf.setWeightCol(weight)
         stages.append(rf.fit(data.withColumn(y, F.col(y).cast("double"))))
         stages += [SQLTransformer(statement="SELECT * EXCEPT (_pred, _raw) FROM __THIS__"),
-                   ProbabilityCombiner(inputCols=["_prob"], mode="multi")]
+                   ProbabilityCombiner(inputCols=["_prob"], mode="multi", numClasses=k)]
     else:
         raise ValueError(f"unknown classifier kind: {kind!r}")
     data.unpersist()
@@ -169,8 +187,7 @@ def majority_predict(train: DataFrame, df: DataFrame, key: str = "record_id", y:
     """J5 as a scored table (uniform-free: p is one-hot on the majority class)."""
     s = df.select(F.col(key).alias("key"), F.col(y).alias("y"))
     b = metrics.majority_baseline(train.select(F.col(y).alias("y")), s)
-    return b.withColumn("p", F.transform(F.array(*[F.lit(c) for c in range(K)]),
-                                         lambda c: (c == F.col("yhat")).cast("double")))
+    return b.withColumn("p", F.array(*[(F.col("yhat") == c).cast("double") for c in range(K)]))
 
 
 def early_stop_curve(train: DataFrame, val: DataFrame, num=CODED_NUM, cat=(), cls: int = K - 1,
@@ -258,10 +275,10 @@ def two_stage(train: DataFrame, df: DataFrame, num=CODED_NUM, cat=(), params=Non
 
 def combine_two_stage(df: DataFrame, p_loss: str = "p_loss", sev: str = "s") -> DataFrame:
     """J10 combination (an array expression): p = [1 - p_loss, p_loss * s_1..s_4]."""
-    p = F.concat(F.array(1 - F.col(p_loss)), F.transform(F.col(sev), lambda v: v * F.col(p_loss)))
-    out = df.withColumn("p", p)
+    parts = [1 - F.col(p_loss)] + [F.col(sev)[i] * F.col(p_loss) for i in range(K - 1)]
+    out = df.withColumn("p", F.array(*parts))
     return out.select(F.col("record_id").alias("key"), F.col("target").alias("y"),
-                      (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("yhat"), "p")
+                      argmax_first([F.col("p")[i] for i in range(K)]).cast("int").alias("yhat"), "p")
 
 
 def isotonic_calibration(cal: DataFrame, scored: DataFrame, k: int = K):
@@ -274,11 +291,9 @@ def isotonic_calibration(cal: DataFrame, scored: DataFrame, k: int = K):
     for i in range(k):
         iso = IsotonicRegression(featuresCol=f"_p{i}", labelCol=f"_y{i}", predictionCol=f"_c{i}").fit(c)
         s = iso.transform(s)
-    raw = F.array(*[F.col(f"_c{i}") for i in range(k)])
-    tot = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
-    s = s.withColumn("p_cal", F.transform(raw, lambda v: F.coalesce(F.try_divide(v, tot), F.lit(1.0 / k))))
+    s = s.withColumn("p_cal", F.array(*normalised([F.col(f"_c{i}") for i in range(k)], k)))
     out = s.select("key", "y", F.col("p_cal").alias("p")).withColumn(
-        "yhat", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+        "yhat", argmax_first([F.col("p")[i] for i in range(k)]).cast("int"))
     before = metrics.log_loss(scored).crossJoin(metrics.brier(scored)).first()
     after = metrics.log_loss(out).crossJoin(metrics.brier(out)).first()
     return out, [("log_loss", float(before.log_loss), float(after.log_loss)),
@@ -400,7 +415,8 @@ def shapley_attribution(model: PipelineModel, sample: DataFrame, background: Dat
     w = Window.partitionBy(key, "_perm").orderBy("_step")  # d+1 rows per chain
     diffs = scored.withColumn("_prev", F.lag("p").over(w)).filter(F.col("_step") > 0)
     diffs = diffs.select(key, "_perm", F.element_at("_order", F.col("_step")).alias("_j"),
-                         F.posexplode(F.zip_with("p", "_prev", lambda a, b: a - b)).alias("cls", "delta"))
+                         F.posexplode(F.array(*[F.col("p")[i] - F.col("_prev")[i] for i in range(k)]))
+                         .alias("cls", "delta"))
     names = F.element_at(F.array(*[F.lit(c) for c in feats]), F.col("_j") + 1)
     phi = diffs.groupBy(key, names.alias("feature"), "cls").agg(
         (F.sum("delta") / n_perm).alias("phi"))
@@ -430,11 +446,12 @@ def score_batch(model: PipelineModel, requests: DataFrame, key: str = "record_id
     ok = v.filter("ok").withColumn("hist_mean", F.coalesce(
         F.col("hist_mean") if "hist_mean" in requests.columns else F.lit(None), F.lit(0.0)))
     out = model.transform(ok)
-    probs = F.map_from_arrays(F.array(*[F.lit(x) for x in RISK_LABELS]),
-                              F.transform("p", lambda v: round_to(v, 6)))
+    probs = F.create_map(*[x for i, lab in enumerate(RISK_LABELS)
+                           for x in (F.lit(lab), round_to(F.col("p")[i], 6))])
     return out.select(key, F.col("prediction").alias("clase"),
                       class_label(F.col("prediction")).alias("nivel_riesgo"),
-                      probs.alias("probabilidades"), round_to(F.array_max("p"), 3).alias("confianza"))
+                      probs.alias("probabilidades"),
+                      round_to(F.greatest(*[F.col("p")[i] for i in range(K)]), 3).alias("confianza"))
 
 
 def native_inputs(df: DataFrame) -> DataFrame:

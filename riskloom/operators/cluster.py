@@ -142,18 +142,23 @@ def make_scaler(kind: str, inputCol: str = "features", outputCol: str = "scaled"
 
 
 def kmeans_fit(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
-               features: str = "scaled", max_iter: int = 50):
+               features: str = "scaled", max_iter: int = 50, parallelism: int = 4):
     """Best of ``n_init`` seeded k-means runs by inertia (within-cluster sum of squares).
-    Returns (model, costs) with costs as a list of (seed, cost)."""
-    best, costs = None, []
-    for i in range(n_init):
+    The runs are independent Spark jobs, submitted ``parallelism`` at a time (as
+    CrossValidator does) over the persisted input. Returns (model, [(seed, cost)])."""
+    from concurrent.futures import ThreadPoolExecutor
+    data = df.persist()
+
+    def run(i):
         m = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="_raw",
-                   maxIter=max_iter).fit(df)
-        cost = m.summary.trainingCost
-        costs.append((seed + i, float(cost)))
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best[0], costs
+                   maxIter=max_iter).fit(data)
+        return seed + i, m, float(m.summary.trainingCost)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        runs = list(pool.map(run, range(n_init)))
+    data.unpersist()
+    best = min(runs, key=lambda r: (r[2], r[0]))
+    return best[1], [(s_, c) for s_, _, c in runs]
 
 
 def canonical_relabel(model, order_feature: int = 1, out: str = "cluster") -> SQLTransformer:
@@ -220,12 +225,12 @@ def simplified_silhouette(df: DataFrame, centroids, features: str = "scaled",
     v = vector_to_array(F.col(features))
     dists = [F.sqrt(sum(((v[j] - F.lit(float(c[j]))) * (v[j] - F.lit(float(c[j])))
                          for j in range(len(c))), F.lit(0.0))) for c in centroids]
-    darr = F.array(*dists)
-    own = F.element_at(darr, F.col(cluster) + 1)
-    other = F.array_min(F.filter(F.transform(darr, lambda x, i: F.when(i != F.col(cluster), x)),
-                                 lambda x: x.isNotNull()))
+    lab = F.col(cluster)
+    pts = df.select(lab.alias("_lab"), F.array(*dists).alias("_d"))
+    own = F.element_at(F.col("_d"), F.col("_lab") + 1)
+    other = F.array_min(F.array(*[F.when(F.col("_lab") != i, F.col("_d")[i]) for i in range(len(dists))]))
     s = F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0))
-    return df.agg(F.avg(s).alias("silhouette_centroid"))
+    return pts.agg(F.avg(s).alias("silhouette_centroid"))
 
 
 def elbow_silhouette(prof: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42,

@@ -157,13 +157,23 @@ def log_loss(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def brier(scored: DataFrame, y: str = "y", p: str = "p", k: int = K) -> DataFrame:
-    """Mean over rows of sum_k (p_k - [y = k])^2."""
-    onehot = F.array(*[(F.col(y) == i).cast("double") for i in range(k)])
-    sq = F.aggregate(F.zip_with(F.col(p), onehot, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                     lambda acc, v: acc + v)
+    """Mean over rows of sum_k (p_k - [y = k])^2 (k fixed: plain codegen'd terms)."""
+    terms = [(F.col(p)[i] - (F.col(y) == i).cast("double")) for i in range(k)]
+    sq = terms[0] * terms[0]
+    for t in terms[1:]:
+        sq = sq + t * t
     return scored.agg(F.avg(sq).alias("brier"))
 
 
+def count_at_most(values, col):
+    """Number of the (literal) ``values`` that are <= ``col``: a sum of comparisons that
+    stays inside whole-stage codegen (no per-row array or lambda)."""
+    out = F.lit(0)
+    for v in values:
+        out = out + (F.lit(v) <= col).cast("int")
+    return out
+
+
 def score_points(scored: DataFrame, y: str = "y", p: str = "p", k: int = K) -> DataFrame:
     """Per class and distinct score s (descending): rows and positives at s, and the
     cumulative counts of rows / positives with score >= s; plus class totals."""
@@ -241,8 +251,11 @@ def calibration_curve(scored: DataFrame, cls: int = 4, bins: int = 10, y: str =
     qs = [i / bins for i in range(1, bins)]
     edges = d.agg(F.percentile("_p", qs).alias("_e"))
     edges = edges.select(F.transform("_e", lambda e: round_to(e, 9)).alias("_e"))
-    b = d.crossJoin(F.broadcast(edges)).withColumn(  # edges: one row
-        "bin", F.size(F.filter("_e", lambda e: e <= F.col("_p"))))
+    b = d.crossJoin(F.broadcast(edges))  # edges: one row
+    nbin = F.lit(0)
+    for i in range(bins - 1):
+        nbin = nbin + (F.col("_e")[i] <= F.col("_p")).cast("int")
+    b = b.withColumn("bin", nbin)
     return b.groupBy("bin").agg(F.avg("_p").alias("mean_p"), F.avg("_o").alias("observed"),
                                 F.count(F.lit(1)).alias("n"))
 
@@ -297,9 +310,8 @@ def threshold_sweep(scored: DataFrame, cls: int = 4, lo: float = 0.02, hi: float
     (the row is raised for thresholds 1..j), rows are counted per (y, yhat, j) -- at most
     5 x 5 x (n+1) cells -- and only that small table is expanded over the thresholds."""
     taus = linspace(lo, hi, n)
-    arr = F.array(*[F.lit(t) for t in taus])
-    pc = F.element_at(F.col(p), cls + 1)
-    cells = scored.select("y", "yhat", F.size(F.filter(arr, lambda t: t <= pc)).alias("j")).groupBy(
+    pc = F.col(p)[cls]
+    cells = scored.select("y", "yhat", count_at_most(taus, pc).alias("j")).groupBy(
         "y", "yhat", "j").agg(F.count(F.lit(1)).alias("n"))
     tau_tab = F.broadcast(scored.sparkSession.createDataFrame(
         [(i + 1, float(t)) for i, t in enumerate(taus)], "i int, tau double"))  # n fixed rows
