@@ -67,10 +67,11 @@ def scaler_stats(df: DataFrame, cols, kind: str = "standard") -> DataFrame:
         aggs = [a for c in cols for a in (F.avg(c).alias(f"_c_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]
         return df.agg(*aggs)
     if kind == "robust":
-        q = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(f"_q_{c}") for c in cols])
-        return q.select(*[a for c in cols for a in (
-            F.col(f"_q_{c}")[1].alias(f"_c_{c}"),
-            (F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]).alias(f"_s_{c}"))])
+        from riskloom.operators.quantiles import wide_quantiles
+        q = wide_quantiles(df, cols, [0.25, 0.5, 0.75])  # exact, distributed; one row
+        return q.select(*[a for i, c in enumerate(cols) for a in (
+            F.col(f"_q{i}_1").alias(f"_c_{c}"),
+            (F.col(f"_q{i}_2") - F.col(f"_q{i}_0")).alias(f"_s_{c}"))])
     raise ValueError(f"unknown scaler: {kind!r} (use 'standard' or 'robust')")
 
 
@@ -121,19 +122,14 @@ def positive_weight(df: DataFrame, positive) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, y: str, n: int, seed: int = 42, key: str = "record_id",
-                     buckets: int = 64, out: str = "fold") -> DataFrame:
+                     out: str = "fold", n_ranges: int | None = None) -> DataFrame:
     """Folds balanced per class (fold sizes within a class differ by at most one).
 
-    Within each class rows are dealt round-robin in a seeded pseudo-random order
-    (bucket, hash, key). The dealing is numbered per (class, bucket) -- so the majority
-    class is spread over ``buckets`` tasks -- and each bucket starts where the previous
-    one of its class ended (offsets from a classes x buckets table)."""
-    h = key_hash(F.col(key), seed)
-    d = df.withColumns({"_h": h, "_b": F.pmod(h, F.lit(buckets))})
-    sizes = d.groupBy(y, "_b").agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy(y).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select(y, "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy(y, "_b").orderBy("_h", key))
-    d = d.withColumn("_rn", rn).join(F.broadcast(offs), [y, "_b"])  # classes x buckets rows
-    return d.withColumn(out, F.pmod(F.col("_off") + F.col("_rn") - 1, F.lit(n)).cast("int")).drop(
-        "_h", "_b", "_rn", "_off")
+    Rows of each class are dealt round-robin in a seeded pseudo-random order (hash, key):
+    fold = (position within the class) mod n. The position is a distributed running count
+    (range-partitioned on (class, hash, key)), so the majority class is cut into as many
+    ranges as there are shuffle partitions instead of being numbered in one task."""
+    d = df.withColumn("_h", key_hash(F.col(key), seed)).withColumn("_one", F.lit(1))
+    run = running_totals(d, [y], ["_h", key], ["_one"], n_ranges=n_ranges, prefix="_pos_")
+    return run.withColumn(out, F.pmod(F.col("_pos_n"), F.lit(n)).cast("int")).drop(
+        "_h", "_one", "_pos__one", "_pos_n")

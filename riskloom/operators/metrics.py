@@ -248,9 +248,11 @@ def calibration_curve(scored: DataFrame, cls: int = 4, bins: int = 10, y: str =
     per non-empty bin: mean predicted probability, observed rate, count."""
     from riskloom.functions.numeric import round_to
     d = scored.select(F.element_at(F.col(p), cls + 1).alias("_p"), (F.col(y) == cls).cast("double").alias("_o"))
+    from riskloom.operators.quantiles import exact_quantiles
     qs = [i / bins for i in range(1, bins)]
-    edges = d.agg(F.percentile("_p", qs).alias("_e"))
-    edges = edges.select(F.transform("_e", lambda e: round_to(e, 9)).alias("_e"))
+    eq = exact_quantiles(d, "_p", qs)
+    edges = eq.groupBy().agg(F.array(*[round_to(F.max(F.when(F.col("prob") == p, F.col("q"))), 9)
+                                       for p in qs]).alias("_e"))  # one row
     b = d.crossJoin(F.broadcast(edges))  # edges: one row
     nbin = F.lit(0)
     for i in range(bins - 1):

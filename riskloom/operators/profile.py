@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.constants import RISK_LABELS
 from riskloom.functions.numeric import round_to
+from riskloom.operators.quantiles import column_quantiles, exact_quantiles, wide_quantiles
 from riskloom.operators.windows import average_rank, topn_per_group
 
 
@@ -109,21 +110,24 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols) -> DataFrame:
-    """Count, mean, sample std, min, quartiles (linear interpolation), max, range."""
+    """Count, mean, sample std, min, quartiles (linear interpolation, exact and
+    distributed), max, range."""
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"),
-                 F.stddev_samp(c).alias(f"std{i}"), F.min(c).alias(f"min{i}"),
-                 F.percentile(c, [0.25, 0.5, 0.75]).alias(f"q{i}"), F.max(c).alias(f"max{i}")]
+                 F.stddev_samp(c).alias(f"std{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
                      F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"),
-                     F.col(f"min{i}").alias("min"), F.col(f"q{i}")[0].alias("q25"),
-                     F.col(f"q{i}")[1].alias("q50"), F.col(f"q{i}")[2].alias("q75"),
-                     F.col(f"max{i}").alias("max"),
+                     F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
                      (F.col(f"max{i}") - F.col(f"min{i}")).alias("range"))
             for i, c in enumerate(cols)]
-    return one.select(F.inline(F.array(*rows)))
+    stats = one.select(F.inline(F.array(*rows)))
+    q = column_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("column_name").agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("q"))).alias(n)
+          for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return stats.join(q, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max", "range")
 
 
 def value_counts(df: DataFrame, cols) -> DataFrame:
@@ -148,18 +152,19 @@ def describe_categorical(df: DataFrame, cols, top: int = 3) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
     """Quartiles, IQR, fences and outlier count / % of all rows, per column.
-    Two passes: one for the quartiles, one conditional count against them."""
-    q = df.agg(F.count(F.lit(1)).alias("_n"),
-               *[F.percentile(c, [0.25, 0.75]).alias(f"_q{i}") for i, c in enumerate(cols)])
-    fences = q.select("_n", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"_q{i}")[0].alias("q1"),
-                 F.col(f"_q{i}")[1].alias("q3")) for i, c in enumerate(cols)])))
+    Two passes: exact distributed quartiles, then one conditional count against them."""
+    q = wide_quantiles(df, cols, [0.25, 0.75])  # one row
+    n = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    fences = q.crossJoin(n).select("_n", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"_q{i}_0").alias("q1"),
+                 F.col(f"_q{i}_1").alias("q3")) for i, c in enumerate(cols)])))
     fences = (fences.withColumn("iqr", F.col("q3") - F.col("q1"))
               .withColumn("lower", F.col("q1") - k * F.col("iqr"))
               .withColumn("upper", F.col("q3") + k * F.col("iqr")))
-    wide = fences.groupBy().agg(*[
-        F.first(F.when(F.col("column_name") == c, F.col(r)), ignorenulls=True).alias(f"_{r}{i}")
-        for i, c in enumerate(cols) for r in ("lower", "upper")])
+    wide = q.select(*[(F.col(f"_q{i}_0") - k * (F.col(f"_q{i}_1") - F.col(f"_q{i}_0"))).alias(f"_lower{i}")
+                      for i in range(len(cols))],
+                    *[(F.col(f"_q{i}_1") + k * (F.col(f"_q{i}_1") - F.col(f"_q{i}_0"))).alias(f"_upper{i}")
+                      for i in range(len(cols))])
     counts = df.crossJoin(F.broadcast(wide)).agg(*[  # wide is a single row
         F.count_if((F.col(c) < F.col(f"_lower{i}")) | (F.col(c) > F.col(f"_upper{i}")))
         .alias(f"_o{i}") for i, c in enumerate(cols)])
@@ -175,11 +180,12 @@ def five_number_by_group(df: DataFrame, col: str, by: str, shift: float = 0.0) -
     NULL groups and NULL values are dropped."""
     v = (F.col(col) + F.lit(shift)) if shift else F.col(col)
     base = df.filter(F.col(by).isNotNull() & F.col(col).isNotNull()).select(by, v.alias("_v"))
-    q = base.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"),
-                             F.percentile("_v", [0.25, 0.5, 0.75]).alias("_q"),
-                             F.max("_v").alias("max"))
-    q = q.select(by, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"), "max")
+    mm = base.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"),
+                              F.max("_v").alias("max"))
+    qs = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], [by]).groupBy(by).agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("q"))).alias(n)
+          for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    q = mm.join(qs, by).select(by, "n", "min", "q1", "median", "q3", "max")
     q = q.withColumns({"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                        "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     # q has one row per group (small); the join is broadcast by AQE when it is.

@@ -10,6 +10,7 @@ every range its offset.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,12 @@ def running_totals(df: DataFrame, part_cols, order_cols, value_cols, n_ranges: i
     their count. ``order_cols`` must be a total order within a group."""
     part_cols, order_cols, value_cols = list(part_cols), list(order_cols), list(value_cols)
     n = _num_ranges(df, n_ranges)
+    # The range bounds are sampled from the input. Both consumers below (local sums and
+    # per-range totals) must see the same bounds, so they read one persisted instance of
+    # the range exchange: a block lost with an executor is recomputed from that same
+    # exchange (same bounds, same range ids), never from a second sampling.
     ranged = df.repartitionByRange(n, *part_cols, *order_cols).withColumn(
-        "_rng", F.spark_partition_id())
+        "_rng", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     frame = (Window.partitionBy("_rng", *part_cols).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1))
     local = ranged.withColumns(

@@ -183,7 +183,7 @@ _FH = key_hash_sql("record_id", SEED)
 
 
 @register("stratified_folds", final(with_base(f"""
-SELECT record_id, target, (row_number() OVER (PARTITION BY target ORDER BY ({_FH}) % 64, {_FH}, record_id) - 1)
+SELECT record_id, target, (row_number() OVER (PARTITION BY target ORDER BY {_FH}, record_id) - 1)
        % {N_FOLDS} AS fold FROM risky"""), [], ["record_id", "target", "fold"]))
 def q_folds(spark, sf):
     """Five folds balanced within each risk class, seeded order."""

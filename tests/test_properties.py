@@ -99,7 +99,7 @@ def test_stratified_folds_balanced(spark):
     rng = random.Random(7)
     data = [(i, rng.choice([0] * 8 + [1, 2])) for i in range(500)]
     df = spark.createDataFrame(data, "record_id long, target int")
-    out = features.stratified_folds(df, "target", 5, 42, buckets=7).collect()
+    out = features.stratified_folds(df, "target", 5, 42, n_ranges=7).collect()
     assert len(out) == 500
     for c in (0, 1, 2):
         sizes = [sum(1 for r in out if r.target == c and r.fold == f) for f in range(5)]
