@@ -2,7 +2,9 @@
 one JSON line with seconds per query.
 
 Each query is executed in full into Spark's ``noop`` sink (every row is computed, nothing
-is collected to the driver). A tiny warm-up job starts the JVM first.
+is collected to the driver). A tiny warm-up job starts the JVM first. As in a deployment,
+the clean record table is built once (timed as ``materialize_records``) and the queries
+read it; ``BENCH_MATERIALIZE=0`` derives it from the star schema in every query instead.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
     reg = load_all()
     times = {}
+    if os.environ.get("BENCH_MATERIALIZE", "1") == "1":
+        # Stage handoff: build the clean record table once (timed), then query it.
+        from riskloom.sources.tables import materialize_records
+        t0 = time.perf_counter()
+        materialize_records(spark, sf_dir)
+        times["materialize_records"] = round(time.perf_counter() - t0, 3)
     for name in names:
         t0 = time.perf_counter()
         reg[name].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()

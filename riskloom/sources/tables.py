@@ -54,7 +54,41 @@ def crop_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crops.withColumn("Idcultivo", F.dense_rank().over(Window.orderBy("Nomcultivo")))
 
 
+RECORD_COLUMNS = ["record_id", "Anio", "Idestado", "Nomestado", "Idmunicipio", "Nommunicipio",
+                  "Idciclo", "Nomcicloproductivo", "Idmodalidad", "Nommodalidad", "Idcultivo",
+                  "Nomcultivo", "Sembrada", "Siniestrada", "Cosechada", "Volumenproduccion",
+                  "Rendimiento", "Precio", "Valorproduccion"]
+
+
+def _records_key(sf_dir: str) -> str:
+    import hashlib
+    return "riskloom.records." + hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+
+
+def materialize_records(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
+    """Write the record view once as Parquet partitioned by year (in the cluster's shared
+    checkpoint folder unless a path is given) and register it for this session: later
+    ``records`` calls scan that table (with partition pruning on the year) instead of
+    re-deriving it from the star schema -- the clean-table handoff between stages."""
+    import uuid
+    from riskloom.session import ensure_checkpoint_dir
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    records_from_star(spark, sf_dir).write.mode("overwrite").partitionBy("Anio").parquet(path)
+    spark.conf.set(_records_key(sf_dir), path)
+    return path
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record view: the registered materialized table when there is one, otherwise
+    derived from the driver tables (``records_from_star``)."""
+    path = spark.conf.get(_records_key(sf_dir), None)
+    if path:
+        t = spark.read.parquet(path)
+        return t.select(*[F.col(c).cast("int") if c == "Anio" else F.col(c) for c in RECORD_COLUMNS])
+    return records_from_star(spark, sf_dir)
+
+
+def records_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record-grain fact view (24-column crop record, minus the district columns).
 
     Columns: record_id, Anio, Idestado, Nomestado, Idmunicipio, Nommunicipio, Idciclo,
