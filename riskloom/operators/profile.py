@@ -222,28 +222,53 @@ def histogram(df: DataFrame, col: str, bins: int = 60, skew_cut: float = 2.0) ->
         F.try_divide(F.col("n"), F.col("_n") * width).alias("density"))
 
 
-def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFrame:
-    """Pairwise correlation (every ordered pair), pairwise-complete rows.
+def _safe_corr(x: str, y: str):
+    """Pearson correlation that is NULL (not an ANSI error) when a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
 
-    Spearman = Pearson on average ranks, ranked within each pair's complete rows. All
-    pairs are handled in one job: rows are exploded to (pair, side, value), tied values
-    collapsed, ranks computed with distributed running sums (no single-task window)."""
+def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFrame:
+    """Correlation of every ordered pair of ``cols``, each over its pairwise-complete rows.
+
+    Spearman = Pearson on average ranks, ranked within each pair's complete rows. Two pairs
+    whose columns with missing values are the same have the same complete rows, so each
+    (column, null signature) is ranked once: a cheap statistic (null count per column)
+    picks the signatures, all rankings share one distributed running-count pass (tied
+    values collapsed first), ranks are pivoted back per row and every pair's correlation
+    comes from one aggregation. The matrix is symmetric: a <= b is computed, then mirrored."""
     cols = list(cols)
-    # The matrix is symmetric: compute a <= b only, mirror the rest.
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    rid = df.select(F.monotonically_increasing_id().alias("_rid"), *cols)
-    long = rid.select("_rid", F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                 F.col(a).cast("double").alias("va"), F.col(b).cast("double").alias("vb"))
-        for a, b in pairs])).alias("_p")).select("_rid", "_p.*")
-    long = long.filter(F.col("va").isNotNull() & F.col("vb").isNotNull())
+    rid = df.select(F.monotonically_increasing_id().alias("_rid"),
+                    *[F.col(c).cast("double").alias(c) for c in cols])
     if method == "pearson":
-        half = long.groupBy("col_a", "col_b").agg(F.corr("va", "vb").alias("corr"))
+        one = rid.agg(*[_safe_corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
     else:
-        ra = average_rank(long, ["col_a", "col_b"], "va", "ra").drop("n_ties")
-        rb = average_rank(long, ["col_a", "col_b"], "vb", "rb").drop("n_ties")
-        ranked = long.join(ra, ["col_a", "col_b", "va"]).join(rb, ["col_a", "col_b", "vb"])
-        half = ranked.groupBy("col_a", "col_b").agg(F.corr("ra", "rb").alias("corr"))
+        nulls = rid.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+        partial = {c for c in cols if nulls[c] > 0}
+
+        def sig(a, b):
+            return tuple(sorted({a, b} & partial))
+
+        keys: dict = {}
+        for a, b in pairs:
+            for c in (a, b):
+                keys.setdefault((c, sig(a, b)), len(keys))
+        entries = []
+        for (c, sg), k in keys.items():
+            ok = F.col(c).isNotNull()
+            for other in sg:
+                ok = ok & F.col(other).isNotNull()
+            entries.append(F.when(ok, F.struct(F.lit(k).alias("_k"), F.col(c).alias("_v"))))
+        long = rid.select("_rid", F.explode(F.array(*entries)).alias("_e")).filter(
+            F.col("_e").isNotNull()).select("_rid", "_e._k", "_e._v")
+        ranks = average_rank(long, ["_k"], "_v", "_r").drop("n_ties")
+        wide = long.join(ranks, ["_k", "_v"]).groupBy("_rid").agg(
+            *[F.max(F.when(F.col("_k") == k, F.col("_r"))).alias(f"_r{k}") for k in keys.values()])
+        one = wide.agg(*[_safe_corr(f"_r{keys[(a, sig(a, b))]}", f"_r{keys[(b, sig(a, b))]}")
+                         .alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
+    half = one.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_c{i}").alias("corr"))
+        for i, (a, b) in enumerate(pairs)])))
     mirror = half.filter(F.col("col_a") != F.col("col_b")).select(
         F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
     return half.unionByName(mirror)
