@@ -93,13 +93,22 @@ def cycle_months(monthly: DataFrame, year: str = "year", month: str = "month") -
             .withColumns({"Idciclo": F.col("_cy.Idciclo"), "Anio": F.col("_cy.Anio")}).drop("_cy"))
 
 
+def ordered_mean(col: str):
+    """Mean of a small bounded group (here: the <= 12 months of a cycle) summed in sorted
+    order, so the result is the same bits whatever order the rows arrive in."""
+    vals = F.array_sort(F.collect_list(col))
+    total = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v)
+    return F.when(F.size(vals) > 0, total / F.size(vals))
+
+
 def climate_by_cycle(monthly: DataFrame, measures=CLIMATE_CYCLE_MEASURES) -> DataFrame:
     """Mean of the climate measures per (year, state, cycle); a cycle needs >= 1
-    month (1), >= 4 months (2) or all 12 months (3)."""
+    month (1), >= 4 months (2) or all 12 months (3). A cycle has at most 12 months, so the
+    means are taken over the collected, sorted months (order-independent results)."""
     exploded = cycle_months(monthly)
     agg = exploded.groupBy("Anio", "Idestado", "Idciclo").agg(
         F.count(F.lit(1)).alias("n_months"),
-        *[F.avg(c).alias(f"clima_{c}") for c in measures])
+        *[ordered_mean(c).alias(f"clima_{c}") for c in measures])
     need = F.when(F.col("Idciclo") == 1, 1).when(F.col("Idciclo") == 2, 4).otherwise(12)
     cond = F.when(F.col("Idciclo") == 3, F.col("n_months") == 12).otherwise(F.col("n_months") >= need)
     return agg.filter(cond)

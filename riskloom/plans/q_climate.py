@@ -65,7 +65,7 @@ cyc AS (
   UNION ALL SELECT d.*, 3 AS Idciclo, year AS Anio FROM drought d),
 bycycle AS (
   SELECT Anio, Idestado, Idciclo, COUNT(*) AS n_months,
-         {', '.join(f'AVG({c}) AS clima_{c}' for c in CLIMATE_CYCLE_MEASURES)}
+         {', '.join(f'CASE WHEN COUNT({c}) > 0 THEN list_reduce(list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL)), lambda a, b: a + b) / COUNT({c}) END AS clima_{c}' for c in CLIMATE_CYCLE_MEASURES)}
   FROM cyc GROUP BY Anio, Idestado, Idciclo
   HAVING CASE WHEN Idciclo = 3 THEN COUNT(*) = 12 WHEN Idciclo = 2 THEN COUNT(*) >= 4
               ELSE COUNT(*) >= 1 END)"""
