@@ -33,6 +33,7 @@ from riskloom.functions.risk import class_label
 from riskloom.operators import metrics
 from riskloom.operators.clean import engineer_features, select_features
 from riskloom.operators.features import with_class_weight
+from riskloom.operators.util import parallel_map
 from riskloom.operators.windows import prior_year_mean
 
 K = 5
@@ -109,7 +110,7 @@ def _prep_stages(num, cat):
 
 def fit_risk_classifier(train: DataFrame, num=CODED_NUM, cat=(), y: str = "target",
                         weight: str | None = "weight", kind: str = "gbt_ovr", params=None,
-                        k: int = K) -> PipelineModel:
+                        k: int = K, parallelism: int = 5) -> PipelineModel:
     """Class-weighted risk classifier. 'gbt_ovr': k one-vs-rest GBTs (Spark's GBT is
     binary) whose positive probabilities are normalised; 'rf': one multiclass forest."""
     prep = Pipeline(stages=_prep_stages(list(num), list(cat))).fit(train)
@@ -117,14 +118,16 @@ def fit_risk_classifier(train: DataFrame, num=CODED_NUM, cat=(), y: str = "targe
     stages = list(prep.stages)
     if kind == "gbt_ovr":
         p = {**DEFAULT_GBT, **(params or {})}
-        for c in range(k):
+
+        def fit_one(c):
             lab = data.withColumn("_lab", (F.col(y) == c).cast("double"))
             gbt = (GBTClassifier(featuresCol="features", labelCol="_lab", predictionCol=f"_pred{c}", **p)
                    .setProbabilityCol(f"_prob{c}").setRawPredictionCol(f"_raw{c}"))
             if weight:
                 gbt.setWeightCol(weight)
-            m = gbt.fit(lab)
-            stages.append(m)
+            return gbt.fit(lab)
+
+        stages += parallel_map(fit_one, range(k), parallelism)  # the k binary fits are independent
         combine = ProbabilityCombiner(inputCols=[f"_prob{c}" for c in range(k)], mode="ovr")
         drop = [f"_pred{c}" for c in range(k)] + [f"_raw{c}" for c in range(k)]
         stages += [SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(drop)}) FROM __THIS__"),
@@ -221,24 +224,23 @@ def early_stop_curve(train: DataFrame, val: DataFrame, num=CODED_NUM, cat=(), cl
 
 
 def regularization_sweep(train: DataFrame, val: DataFrame, grids: dict, num=CODED_NUM, cat=(),
-                         kind: str = "rf", base=None):
+                         kind: str = "rf", base=None, parallelism: int = 4):
     """One parameter at a time, each grid fixing the best value found before it;
     macro F1, accuracy and log-loss on ``val`` for every value."""
     fixed, rows = dict(base or {}), []
     for name, values in grids.items():
-        best = None
-        for v in values:
+        def run(v, name=name, fixed=dict(fixed)):
             m = fit_risk_classifier(train, num, cat, kind=kind, params={**fixed, name: v})
             ev = evaluate(predict(m, val)).first()
-            rows.append((name, float(v), float(ev.f1_macro), float(ev.accuracy), float(ev.log_loss)))
-            if best is None or ev.f1_macro > best[1]:
-                best = (v, ev.f1_macro)
-        fixed[name] = best[0]
+            return (name, float(v), float(ev.f1_macro), float(ev.accuracy), float(ev.log_loss))
+        got = parallel_map(run, values, parallelism)  # values of one grid are independent
+        rows += got
+        fixed[name] = values[max(range(len(got)), key=lambda i: (got[i][2], -i))]
     return rows, fixed
 
 
 def random_search(train: DataFrame, space: dict, n: int = 40, folds: int = 3, num=CODED_NUM,
-                  cat=(), seed: int = 42, metric: str = "composite", parallelism: int = 4):
+                  cat=(), seed: int = 42, metric: str = "composite", parallelism: int = 8):
     """``n`` seeded random candidates from ``space`` (name -> list of values) scored by
     stratified ``folds``-fold cross-validation with the composite score; the best one is
     refitted on all of ``train``. Returns (best model, [(candidate, mean score)])."""
@@ -301,44 +303,59 @@ def isotonic_calibration(cal: DataFrame, scored: DataFrame, k: int = K):
 
 
 def cross_validate(df: DataFrame, folds: int = 5, num=CODED_NUM, cat=(), kind: str = "rf",
-                   seed: int = 42, params=None):
+                   seed: int = 42, params=None, parallelism: int = 5):
     """Stratified folds; per fold accuracy, macro F1, balanced accuracy and quadratic
     kappa on train and test. Returns rows (fold, split, metrics...)."""
     from riskloom.operators.features import stratified_folds
     data = stratified_folds(df, "target", folds, seed).persist()
-    rows = []
-    for f in range(folds):
+
+    def run(f):
         tr, te = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
         m = fit_risk_classifier(tr, num, cat, kind=kind, params=params)
+        out = []
         for split, part in (("train", tr), ("test", te)):
             e = evaluate(predict(m, part)).first()
-            rows.append((f, split, float(e.accuracy), float(e.f1_macro), float(e.balanced_accuracy),
-                         float(e.kappa_quadratic)))
+            out.append((f, split, float(e.accuracy), float(e.f1_macro), float(e.balanced_accuracy),
+                        float(e.kappa_quadratic)))
+        return out
+
+    rows = [r for fold_rows in parallel_map(run, range(folds), parallelism) for r in fold_rows]
     data.unpersist()
     return rows
 
 
 def learning_curve(df: DataFrame, fractions=(0.1, 0.25, 0.5, 0.75, 1.0), folds: int = 3,
-                   num=CODED_NUM, cat=(), kind: str = "rf", seed: int = 42):
+                   num=CODED_NUM, cat=(), kind: str = "rf", seed: int = 42, parallelism: int = 4):
     """For each training fraction (seeded) and fold: macro F1 on the fold's train part
     and its test part; mean, std, gap and the verdict of the last point."""
     from riskloom.operators.features import stratified_folds
     from riskloom.operators.util import HASH_M, key_hash
     data = stratified_folds(df, "target", folds, seed).persist()
+
+    def run(job):
+        frac, f = job
+        tr = data.filter((F.col("fold") != f)
+                         & (key_hash(F.col("record_id"), seed + 1) < int(frac * HASH_M)))
+        te = data.filter(F.col("fold") == f)
+        m = fit_risk_classifier(tr, num, cat, kind=kind)
+        return (float(evaluate(predict(m, tr)).first().f1_macro),
+                float(evaluate(predict(m, te)).first().f1_macro))
+
+    jobs = [(frac, f) for frac in fractions for f in range(folds)]
+    scores = dict(zip(jobs, parallel_map(run, jobs, parallelism)))
+    data.unpersist()
+
+    def mean(v):
+        return sum(v) / len(v)
+
+    def std(v):
+        return (sum((x - mean(v)) ** 2 for x in v) / len(v)) ** 0.5
+
     pts = []
     for frac in fractions:
-        tr_s, te_s = [], []
-        for f in range(folds):
-            tr = data.filter((F.col("fold") != f)
-                             & (key_hash(F.col("record_id"), seed + 1) < int(frac * HASH_M)))
-            te = data.filter(F.col("fold") == f)
-            m = fit_risk_classifier(tr, num, cat, kind=kind)
-            tr_s.append(float(evaluate(predict(m, tr)).first().f1_macro))
-            te_s.append(float(evaluate(predict(m, te)).first().f1_macro))
-        mean = lambda v: sum(v) / len(v)
-        std = lambda v: (sum((x - mean(v)) ** 2 for x in v) / len(v)) ** 0.5
+        tr_s = [scores[(frac, f)][0] for f in range(folds)]
+        te_s = [scores[(frac, f)][1] for f in range(folds)]
         pts.append((frac, mean(tr_s), std(tr_s), mean(te_s), std(te_s)))
-    data.unpersist()
     gap = pts[-1][1] - pts[-1][3]
     if gap > 0.05:
         verdict = "overfitting"
@@ -353,16 +370,16 @@ def ablation(train: DataFrame, test: DataFrame, feature_sets: dict, kind: str =
              params=None, cat=()):
     """The same rows, split and parameters with each feature set; metric table and
     the difference of every set against the first one (4 decimals)."""
-    rows, first = [], None
-    for name, cols in feature_sets.items():
-        m = fit_risk_classifier(train, cols, cat, kind=kind, params=params)
-        e = evaluate(predict(m, test)).first()
-        vals = {c: float(e[c]) for c in ("accuracy", "f1_macro", "balanced_accuracy",
-                                          "kappa_quadratic", "log_loss")}
-        first = first or vals
-        rows.append((name, *[round(vals[c], 4) for c in vals],
-                     *[round(vals[c] - first[c], 4) for c in vals]))
-    return rows
+    names = ("accuracy", "f1_macro", "balanced_accuracy", "kappa_quadratic", "log_loss")
+
+    def run(cols):
+        e = evaluate(predict(fit_risk_classifier(train, cols, cat, kind=kind, params=params), test)).first()
+        return {c: float(e[c]) for c in names}
+
+    results = parallel_map(run, list(feature_sets.values()), 3)
+    first = results[0]
+    return [(name, *[round(v[c], 4) for c in names], *[round(v[c] - first[c], 4) for c in names])
+            for name, v in zip(feature_sets, results)]
 
 
 def feature_importance(model: PipelineModel, names, top: int = 15):

@@ -52,3 +52,14 @@ def round_doubles(df: DataFrame, digits: int = 6, skip=()) -> DataFrame:
 
 def unpivot(df: DataFrame, ids, cols, var: str = "column_name", val: str = "value") -> DataFrame:
     return df.unpivot(list(ids), list(cols), var, val)
+
+
+def parallel_map(fn, items, parallelism: int = 4):
+    """Run independent Spark jobs (model fits, evaluations) ``parallelism`` at a time from
+    driver threads -- the scheduler interleaves their tasks, as CrossValidator does."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(fn, items))
