@@ -209,6 +209,24 @@ def explained_variance(model: PipelineModel):
     return out
 
 
+def project_centroids(model: PipelineModel):
+    """The k-means centroids in principal-component space (canonical cluster numbers),
+    as (cluster, [pc...]) pairs -- k small vectors read from the fitted stages."""
+    from pyspark.ml.clustering import KMeansModel
+    from pyspark.ml.feature import PCAModel
+    km = [s for s in model.stages if isinstance(s, KMeansModel)][0]
+    pca = [s for s in model.stages if isinstance(s, PCAModel)][0]
+    flip = model.stages[-1].getScalingVec().toArray()
+    relabel = [s for s in model.stages if isinstance(s, SQLTransformer) and "_raw + 1" in s.getStatement()][0]
+    order = [int(x) for x in relabel.getStatement().split("array(")[1].split(")")[0].split(",")]
+    pc = pca.pc.toArray()
+    out = []
+    for raw, c in enumerate(km.clusterCenters()):
+        proj = [float(sum(c[i] * pc[i, j] for i in range(len(c))) * flip[j]) for j in range(pc.shape[1])]
+        out.append((order[raw], proj))
+    return sorted(out)
+
+
 def total_sum_of_squares(df: DataFrame, features: str = "scaled") -> float:
     """Inertia for k = 1 (Spark's k-means needs k >= 2): sum of squared distances to the mean."""
     from pyspark.ml.stat import Summarizer

@@ -170,3 +170,22 @@ def q_ablation(spark, sf):
     cols = ["accuracy", "f1_macro", "balanced_accuracy", "kappa_quadratic", "log_loss"]
     return spark.createDataFrame(rows, "feature_set string, " + ", ".join(f"{c} double" for c in cols)
                                  + ", " + ", ".join(f"delta_{c} double" for c in cols))
+
+
+@register("calibration_metrics", None)
+def q_calibration_metrics(spark, sf):
+    """Log-loss and Brier score on the test year before and after isotonic calibration
+    (fitted <= 1999, calibrated on 2000)."""
+    tr, va, te = splits(spark, sf)
+    m = classify.fit_risk_classifier(tr, kind="rf")
+    _, rows = classify.isotonic_calibration(classify.predict(m, va), classify.predict(m, te))
+    return spark.createDataFrame(rows, "metric string, before double, after double")
+
+
+@register("cross_validate_summary", None)
+def q_cross_validate_summary(spark, sf):
+    """Mean and standard deviation of the four fold metrics, train and test."""
+    folds = q_cross_validate(spark, sf)
+    metrics_ = ["accuracy", "f1_macro", "balanced_accuracy", "kappa_quadratic"]
+    return folds.groupBy("split").agg(*[a for c in metrics_ for a in (
+        F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])

