@@ -180,3 +180,62 @@ def test_results_invariant_to_partitioning(spark, parts):
         test_results_invariant_to_partitioning.base = rows
     else:
         assert rows == test_results_invariant_to_partitioning.base
+
+
+@SETTINGS
+@given(vals=st.lists(st.tuples(st.integers(0, 2), st.integers(-3, 3)), min_size=1, max_size=40),
+       n_ranges=st.integers(1, 5))
+def test_exact_quantiles_match_linear_interpolation(spark, vals, n_ranges):
+    from riskloom.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([(g, float(v)) for g, v in vals], "g int, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r.g, r.prob): r.q for r in exact_quantiles(df, "v", probs, ["g"], n_ranges).collect()}
+    for g in {g for g, _ in vals}:
+        s = sorted(float(v) for gg, v in vals if gg == g)
+        for p in probs:
+            pos = (len(s) - 1) * p
+            lo, hi = math.floor(pos), math.ceil(pos)
+            want = s[lo] if lo == hi else s[lo] * (1 - (pos - lo)) + s[hi] * (pos - lo)
+            assert math.isclose(got[(g, p)], want, abs_tol=1e-12)
+
+
+def _avg_ranks(xs):
+    order = sorted(range(len(xs)), key=lambda i: xs[i])
+    ranks = [0.0] * len(xs)
+    i = 0
+    while i < len(order):
+        j = i
+        while j + 1 < len(order) and xs[order[j + 1]] == xs[order[i]]:
+            j += 1
+        for t in range(i, j + 1):
+            ranks[order[t]] = (i + j) / 2 + 1
+        i = j + 1
+    return ranks
+
+
+def _pearson(a, b):
+    n = len(a)
+    ma, mb = sum(a) / n, sum(b) / n
+    cov = sum((x - ma) * (y - mb) for x, y in zip(a, b))
+    va = sum((x - ma) ** 2 for x in a)
+    vb = sum((y - mb) ** 2 for y in b)
+    return None if va == 0 or vb == 0 else cov / math.sqrt(va * vb)
+
+
+def test_spearman_matches_brute_force_with_nulls(spark):
+    from riskloom.operators.profile import correlation_matrix
+    rng = random.Random(4)
+    rows = []
+    for _ in range(70):
+        a = float(rng.randint(0, 6))
+        b = None if rng.random() < 0.2 else float(rng.randint(0, 9))
+        c = None if rng.random() < 0.3 else a * 2 + rng.random()
+        rows.append((a, b, c))
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r.col_a, r.col_b): r.corr for r in correlation_matrix(df, ["a", "b", "c"]).collect()}
+    cols = {"a": 0, "b": 1, "c": 2}
+    for x, i in cols.items():
+        for y, j in cols.items():
+            pairs = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            want = _pearson(_avg_ranks([p[0] for p in pairs]), _avg_ranks([p[1] for p in pairs]))
+            assert math.isclose(got[(x, y)], want, abs_tol=1e-9), (x, y)
