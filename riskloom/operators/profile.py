@@ -60,7 +60,8 @@ def null_report(df: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"_z{i}").alias("n_null"))
             for i, c in enumerate(df.columns)]
     return (one.select("_n", F.inline(F.array(*rows))).filter(F.col("n_null") > 0)
-            .select("column_name", "n_null", _pct(F.col("n_null"), F.col("_n")).alias("pct_null")))
+            .select("column_name", "n_null", _pct(F.col("n_null"), F.col("_n")).alias("pct_null"))
+            .orderBy(F.desc("pct_null"), F.asc("column_name")))
 
 
 def null_correlation(df: DataFrame, cols=None) -> DataFrame:
