@@ -201,3 +201,23 @@ def q_join_coverage(spark, sf):
     r = risky(spark, sf).select("record_id", "Anio", "Idestado", "Idciclo")
     joined = joins.climate_left_join(r, cycle_climate(spark, sf))
     return joins.join_coverage(joined, "clima_temp_media_c", ["Idciclo", "Anio"])
+
+
+@register("daylight_hours", final(_q(
+    f"SELECT DISTINCT Idestado, month, lat, {_DAYLIGHT} AS daylight FROM cm"),
+    ["lat", "daylight"], ["Idestado", "month"], 4), digits=4)
+def q_daylight(spark, sf):
+    """Mean daylight hours of every (state, calendar month) observed (FAO formula)."""
+    m = monthly(spark, sf)
+    return m.select("Idestado", "month", "lat", daylight_hours("lat", "month").alias("daylight")).distinct()
+
+
+@register("pet_thornthwaite", final(_q(
+    "SELECT year, month, Idestado, temp_media_c, heat_I, heat_a, PET FROM bal"),
+    ["temp_media_c", "heat_I", "heat_a", "PET"], ["year", "month", "Idestado"], 4), digits=4)
+def q_pet(spark, sf):
+    """Thornthwaite potential evapotranspiration per state-month with its heat index."""
+    m = clim.with_monthly_precip(monthly(spark, sf))
+    m = m.join(clim.heat_index(m), "Idestado")
+    return m.select("year", "month", "Idestado", "temp_media_c", "heat_I", "heat_a",
+                    pet_thornthwaite("temp_media_c", "heat_I", "heat_a", "lat", "year", "month").alias("PET"))

@@ -214,3 +214,12 @@ def q_pca_centroids(spark, sf):
     model = cluster.vulnerability_pipeline(prof, k=4, n_pca=2, n_init=15)
     rows = [(k, v[0], v[1]) for k, v in cluster.project_centroids(model)]
     return spark.createDataFrame(rows, "cluster int, pc1 double, pc2 double")
+
+
+@register("assemble", None)
+def q_assemble(spark, sf):
+    """The six clustering features of every municipality assembled into one vector (a
+    missing input is an error, not a silent NaN)."""
+    from pyspark.ml.feature import VectorAssembler
+    asm = VectorAssembler(inputCols=CLUSTER_FEATURES, outputCol="features", handleInvalid="error")
+    return asm.transform(profile(spark, sf)).select("Nomestado", "Nommunicipio", "features")

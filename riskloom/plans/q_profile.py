@@ -334,3 +334,20 @@ def q_topn_per_group(spark, sf):
     counts = (records(spark, sf).filter(F.col("Nomestado").isNotNull() & F.col("Nomcultivo").isNotNull())
               .groupBy("Nomestado", "Nomcultivo").agg(F.count(F.lit(1)).alias("n")))
     return topn_per_group(counts, ["Nomestado"], [F.desc("n"), F.asc("Nomcultivo")], 3)
+
+
+@register("total_with_breakdown_join", final(with_base("""
+SELECT t.Nomestado, t.total,
+       COALESCE(SUM(CASE WHEN r.Nommodalidad = 'Riego' THEN r.Siniestrada END), 0) AS Riego,
+       COALESCE(SUM(CASE WHEN r.Nommodalidad = 'Temporal' THEN r.Siniestrada END), 0) AS Temporal
+FROM (SELECT Nomestado, COALESCE(SUM(Siniestrada), 0) AS total FROM records
+      WHERE Nomestado IS NOT NULL GROUP BY Nomestado ORDER BY total DESC, Nomestado LIMIT 15) t
+JOIN records r ON r.Nomestado = t.Nomestado
+GROUP BY t.Nomestado, t.total"""), ["total", "Riego", "Temporal"]))
+def q_total_breakdown(spark, sf):
+    """Lost area of the 15 states with most loss, left-joined to its per-mode breakdown."""
+    base = records(spark, sf).filter(F.col("Nomestado").isNotNull())
+    totals = base.groupBy("Nomestado").agg(F.coalesce(F.sum("Siniestrada"), F.lit(0.0)).alias("total"))
+    top = totals.orderBy(F.desc("total"), F.asc("Nomestado")).limit(15)
+    return joins.total_with_breakdown_join(top, base, "Nomestado", "Nommodalidad", "Siniestrada",
+                                           ["Riego", "Temporal"])
