@@ -158,7 +158,7 @@ def predict(model: PipelineModel, df: DataFrame, key: str = "record_id", y: str
 def evaluate(scored: DataFrame) -> DataFrame:
     """Label metrics plus log-loss of a scored table (one row)."""
     lm = metrics.label_metrics(metrics.confusion_long(scored))
-    return lm.crossJoin(metrics.log_loss(scored))
+    return lm.crossJoin(metrics.log_loss(scored))  # one row x one row
 
 
 class CompositeEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
@@ -296,8 +296,8 @@ def isotonic_calibration(cal: DataFrame, scored: DataFrame, k: int = K):
     s = s.withColumn("p_cal", F.array(*normalised([F.col(f"_c{i}") for i in range(k)], k)))
     out = s.select("key", "y", F.col("p_cal").alias("p")).withColumn(
         "yhat", argmax_first([F.col("p")[i] for i in range(k)]).cast("int"))
-    before = metrics.log_loss(scored).crossJoin(metrics.brier(scored)).first()
-    after = metrics.log_loss(out).crossJoin(metrics.brier(out)).first()
+    before = metrics.log_loss(scored).crossJoin(metrics.brier(scored)).first()  # 1 x 1 row
+    after = metrics.log_loss(out).crossJoin(metrics.brier(out)).first()  # 1 x 1 row
     return out, [("log_loss", float(before.log_loss), float(after.log_loss)),
                  ("brier", float(before.brier), float(after.brier))]
 

@@ -43,7 +43,7 @@ def target_encoder(train: DataFrame, col: str, y: str, m: float = 100.0) -> Data
     glob = train.agg(F.avg(y).alias("_g"))  # one row
     per = train.filter(F.col(col).isNotNull()).groupBy(col).agg(
         F.sum(y).alias("_s"), F.count(y).alias("_n"))
-    return per.crossJoin(F.broadcast(glob)).select(
+    return per.crossJoin(F.broadcast(glob)).select(  # glob: the one-row global mean
         col, ((F.col("_s") + F.col("_g") * m) / (F.col("_n") + m)).alias("te"), "_g")
 
 
@@ -55,7 +55,7 @@ def target_encode(train: DataFrame, df: DataFrame, cols, y: str, m: float = 100.
     for c in cols:
         enc = target_encoder(train, c, y, m).drop("_g")
         df = df.join(enc, c, "left").withColumnRenamed("te", f"_{c}_te")
-    df = df.crossJoin(F.broadcast(glob))
+    df = df.crossJoin(F.broadcast(glob))  # one-row global mean attached to every row
     df = df.withColumns({f"{c}{suffix}": F.coalesce(F.col(f"_{c}_te"), F.col("_glob")) for c in cols})
     return df.drop("_glob", *[f"_{c}_te" for c in cols])
 
@@ -78,7 +78,7 @@ def scaler_stats(df: DataFrame, cols, kind: str = "standard") -> DataFrame:
 def apply_scaler(df: DataFrame, stats: DataFrame, cols, suffix: str = "") -> DataFrame:
     """(x - centre) / scale with a one-row stats table (broadcast); scale 0 -> NULL
     becomes 0, as a constant column carries no information."""
-    j = df.crossJoin(F.broadcast(stats))
+    j = df.crossJoin(F.broadcast(stats))  # one-row scaler statistics
     j = j.withColumns({f"{c}{suffix}": F.coalesce(
         F.try_divide(F.col(c) - F.col(f"_c_{c}"), F.nullif(F.col(f"_s_{c}"), F.lit(0.0))),
         F.lit(0.0)) for c in cols})

@@ -64,7 +64,7 @@ def dense_grid(values: DataFrame, rows: DataFrame, cols: DataFrame, value: str,
     """Every (row, col) cell of two small key lists, filled from ``values``.
     The cross product is of the two key lists only (their sizes are the grid's)."""
     r, c = rows.columns[0], cols.columns[0]
-    grid = rows.crossJoin(cols)
+    grid = rows.crossJoin(cols)  # the two category lists only (grid size = |rows| x |cols|)
     return grid.join(values, [r, c], "left").fillna(fill, subset=[value])
 
 

@@ -141,7 +141,7 @@ def classification_report(scored: DataFrame) -> DataFrame:
     tot = pc.agg(F.sum("t").alias("_n"))
     macro = pc.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.sum("t").alias("support"))
-    weighted = pc.crossJoin(tot).agg(
+    weighted = pc.crossJoin(tot).agg(  # k class rows x one total row
         F.lit("weighted avg").alias("label"),
         F.sum(F.col("precision") * F.col("t") / F.col("_n")).alias("precision"),
         F.sum(F.col("recall") * F.col("t") / F.col("_n")).alias("recall"),
@@ -265,7 +265,7 @@ def calibration_curve(scored: DataFrame, cls: int = 4, bins: int = 10, y: str =
 def majority_baseline(train: DataFrame, df: DataFrame, y: str = "y", out: str = "yhat") -> DataFrame:
     """Predict the most frequent training class (smallest class on ties) for every row."""
     mode = train.agg(F.mode(y, deterministic=True).alias("_mode"))  # one row
-    return df.crossJoin(F.broadcast(mode)).withColumn(out, F.col("_mode")).drop("_mode")
+    return df.crossJoin(F.broadcast(mode)).withColumn(out, F.col("_mode")).drop("_mode")  # 1-row mode
 
 
 def error_by_state(scored: DataFrame, state: str = "Nomestado", n: int = 20) -> DataFrame:
@@ -295,7 +295,8 @@ def top_confusions(scored: DataFrame, n: int = 10) -> DataFrame:
     errs = confusion_long(scored.filter(F.col("y") != F.col("yhat")))
     tot = errs.agg(F.sum("n").alias("n_errors_total"))  # one row
     top = errs.orderBy(F.desc("n"), F.asc("y"), F.asc("yhat")).limit(n)
-    return top.crossJoin(tot).withColumn("pct_of_errors", F.col("n") * 100.0 / F.col("n_errors_total"))
+    return top.crossJoin(tot).withColumn(  # n rows x one total row
+        "pct_of_errors", F.col("n") * 100.0 / F.col("n_errors_total"))
 
 
 def linspace(lo: float, hi: float, n: int):
@@ -317,7 +318,7 @@ def threshold_sweep(scored: DataFrame, cls: int = 4, lo: float = 0.02, hi: float
         "y", "yhat", "j").agg(F.count(F.lit(1)).alias("n"))
     tau_tab = F.broadcast(scored.sparkSession.createDataFrame(
         [(i + 1, float(t)) for i, t in enumerate(taus)], "i int, tau double"))  # n fixed rows
-    ex = cells.crossJoin(tau_tab).select(
+    ex = cells.crossJoin(tau_tab).select(  # <= 5*5*(n+1) cells x n thresholds
         "i", "tau", "y", F.when(F.col("j") >= F.col("i"), F.lit(cls)).otherwise(F.col("yhat")).alias("yhat"),
         "n")
     conf = ex.groupBy("i", "tau", "y", "yhat").agg(F.sum("n").alias("n"))

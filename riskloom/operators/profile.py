@@ -156,7 +156,7 @@ def iqr_outliers(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
     Two passes: exact distributed quartiles, then one conditional count against them."""
     q = wide_quantiles(df, cols, [0.25, 0.75])  # one row
     n = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    fences = q.crossJoin(n).select("_n", F.inline(F.array(*[
+    fences = q.crossJoin(n).select("_n", F.inline(F.array(*[  # 1 x 1 row
         F.struct(F.lit(c).alias("column_name"), F.col(f"_q{i}_0").alias("q1"),
                  F.col(f"_q{i}_1").alias("q3")) for i, c in enumerate(cols)])))
     fences = (fences.withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -210,7 +210,7 @@ def histogram(df: DataFrame, col: str, bins: int = 60, skew_cut: float = 2.0) ->
         .alias("_t"))
     rng = t.groupBy("_n", "log_scale").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    b = t.crossJoin(F.broadcast(rng.drop("_n", "log_scale"))).select(
+    b = t.crossJoin(F.broadcast(rng.drop("_n", "log_scale"))).select(  # one-row min/max
         "_n", "log_scale", "lo", "hi",
         F.least(F.floor(F.try_divide(F.col("_t") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
                 + 1, F.lit(bins)).alias("bin"))
