@@ -314,13 +314,13 @@ def _row(year, price="5.0"):
 def test_read_and_integrate_years(spark, workdir):
     import os
     # (a) plain UTF-8 with BOM; (b) renamed columns, Latin-1, reordered, text in a number
-    p1 = os.path.join(workdir, "siap_2010.csv")
+    p1 = os.path.join(workdir, "yearly_2010.csv")
     with open(p1, "w", encoding="utf-8-sig") as f:
         f.write(",".join(HEADER) + "\n" + ",".join(_row(2010)) + "\n")
     hdr2 = [("Nomcultivo Sin Um" if h == "Nomcultivo" else "Preciomediorural" if h == "Precio" else h)
             for h in HEADER]
     order = list(reversed(range(len(HEADER))))
-    p2 = os.path.join(workdir, "siap_2011.csv")
+    p2 = os.path.join(workdir, "yearly_2011.csv")
     with open(p2, "w", encoding="latin-1") as f:
         f.write(",".join(" " + hdr2[i] + " " for i in order) + "\n")
         f.write(",".join(_row(2011, "n/d")[i] for i in order) + "\n")
