@@ -358,3 +358,20 @@ def test_state_centroids_and_assembler(spark):
     asm = VectorAssembler(inputCols=["a", "b"], outputCol="v", handleInvalid="error")
     with pytest.raises(Exception):
         asm.transform(df).collect()  # I8: a missing input is an error, not a silent NaN
+
+
+def test_overview_approximate_distinct(spark):
+    df = spark.range(20000).select((F.col("id") % 5000).alias("a"), F.lit(2000).alias("Anio"))
+    exact = {r.column_name: r.n_distinct for r in profile.dataset_overview(df).collect()}
+    approx = {r.column_name: r.n_distinct for r in profile.dataset_overview(df, exact=False).collect()}
+    assert exact["a"] == 5000 and abs(approx["a"] - 5000) / 5000 < 0.1 and approx["Anio"] == 1
+
+
+def test_five_number_whiskers(spark):
+    vals = [1.0, 2.0, 3.0, 4.0, 100.0]  # q1 = 2, q3 = 4, upper fence 7: 100 is beyond it
+    df = spark.createDataFrame([("g", v) for v in vals] + [("h", None)], "g string, v double")
+    r = profile.five_number_by_group(df, "v", "g").collect()
+    assert len(r) == 1
+    r = r[0]
+    assert (r.min, r.q1, r.median, r.q3, r.max) == (1.0, 2.0, 3.0, 4.0, 100.0)
+    assert r.whisker_low == 1.0 and r.whisker_high == 4.0 and r.n == 5
