@@ -231,12 +231,13 @@ def _safe_corr(x: str, y: str):
 def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFrame:
     """Correlation of every ordered pair of ``cols``, each over its pairwise-complete rows.
 
-    Spearman = Pearson on average ranks, ranked within each pair's complete rows. Two pairs
-    whose columns with missing values are the same have the same complete rows, so each
-    (column, null signature) is ranked once: a cheap statistic (null count per column)
-    picks the signatures, all rankings share one distributed running-count pass (tied
-    values collapsed first), ranks are pivoted back per row and every pair's correlation
-    comes from one aggregation. The matrix is symmetric: a <= b is computed, then mirrored."""
+    Spearman = Pearson on average ranks, ranked within each pair's complete rows. Pairs
+    whose missing values fall on the same null masks have the same complete rows, so each
+    (column, set of null masks) is ranked once: a cheap statistic pass (null counts, and
+    which columns share a null mask) picks these, all rankings share one distributed
+    running-count pass (tied values collapsed first), ranks are pivoted back per row and
+    every pair's correlation comes from one aggregation. The matrix is symmetric: a <= b is
+    computed, then mirrored."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     rid = df.select(F.monotonically_increasing_id().alias("_rid"),
@@ -244,11 +245,22 @@ def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFra
     if method == "pearson":
         one = rid.agg(*[_safe_corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
     else:
-        nulls = rid.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-        partial = {c for c in cols if nulls[c] > 0}
+        # planning statistics (one pass, a few numbers): null counts, and for every pair of
+        # columns the rows where exactly one of them is missing -- 0 means the same null mask
+        stats = rid.agg(*[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)],
+                        *[F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"x{i}_{j}")
+                          for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]).first()
+        partial = [c for i, c in enumerate(cols) if stats[f"z{i}"] > 0]
+        mask = {}  # column with missing values -> representative column of its null mask
+        for i, a in enumerate(cols):
+            if a in partial and a not in mask:
+                mask[a] = a
+                for j in range(i + 1, len(cols)):
+                    if cols[j] in partial and cols[j] not in mask and stats[f"x{i}_{j}"] == 0:
+                        mask[cols[j]] = a
 
         def sig(a, b):
-            return tuple(sorted({a, b} & partial))
+            return tuple(sorted({mask[c] for c in (a, b) if c in mask}))
 
         keys: dict = {}
         for a, b in pairs:
