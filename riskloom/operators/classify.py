@@ -254,13 +254,17 @@ def random_search(train: DataFrame, space: dict, n: int = 40, folds: int = 3, nu
         cands.append({rf.getParam(k): rng.choice(v) for k, v in space.items()})
     data = stratified_folds(train, "target", folds, seed).withColumn(
         "target", F.col("target").cast("double"))
-    est = Pipeline(stages=_prep_stages(list(num), list(cat)) + [rf])
-    cv = CrossValidator(estimator=est, estimatorParamMaps=cands,
+    # the feature preparation does not depend on the candidate: fit it once, persist the
+    # assembled vectors, and cross-validate only the forest
+    prep = Pipeline(stages=_prep_stages(list(num), list(cat))).fit(data)
+    prepared = prep.transform(data).select("features", "target", "weight", "fold").persist()
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=cands,
                         evaluator=CompositeEvaluator(labelCol="target", metricName=metric),
                         foldCol="fold", numFolds=folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(data)
+    model = cv.fit(prepared)
+    prepared.unpersist()
     table = [({p.name: v for p, v in c.items()}, float(s)) for c, s in zip(cands, model.avgMetrics)]
-    return model.bestModel, table
+    return PipelineModel(list(prep.stages) + [model.bestModel]), table
 
 
 def two_stage(train: DataFrame, df: DataFrame, num=CODED_NUM, cat=(), params=None) -> DataFrame:

@@ -142,7 +142,7 @@ def make_scaler(kind: str, inputCol: str = "features", outputCol: str = "scaled"
 
 
 def kmeans_fit(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
-               features: str = "scaled", max_iter: int = 50, parallelism: int = 4):
+               features: str = "scaled", max_iter: int = 50, parallelism: int = 8):
     """Best of ``n_init`` seeded k-means runs by inertia (within-cluster sum of squares).
     The runs are independent Spark jobs, submitted ``parallelism`` at a time (as
     CrossValidator does) over the persisted input. Returns (model, [(seed, cost)])."""
