@@ -52,3 +52,47 @@ def compare(spark, con, entry, sf_dir: str) -> dict:
         diff = [(a, b) for a, b in zip(r1, r2) if a != b][:3]
         res["first_diffs"] = diff
     return res
+
+
+def main(argv=None) -> int:
+    """``python -m riskloom.plans.check [SF_DIR] [name,name,...] [--sql-only]``: run the
+    registered queries (all, or the named ones) and compare each with its oracle SQL;
+    queries without SQL are run and counted. Exit status 1 on any mismatch or error."""
+    import sys
+    import time
+
+    from riskloom.plans.registry import load_all
+    from riskloom.session import get_spark
+
+    args = [a for a in (argv if argv is not None else sys.argv[1:]) if not a.startswith("--")]
+    sql_only = "--sql-only" in (argv if argv is not None else sys.argv[1:])
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    names = set(args[1].split(",")) if len(args) > 1 else None
+    spark = get_spark()
+    con = duckdb_connection(sf_dir)
+    bad = 0
+    for name, entry in load_all().items():
+        if names and name not in names:
+            continue
+        if entry.sql is None and sql_only:
+            continue
+        t0 = time.time()
+        try:
+            if entry.sql is None:
+                n = entry.fn(spark, sf_dir).count()
+                print(f"{name:32s} rows-only {n} {time.time() - t0:.1f}s", flush=True)
+                continue
+            r = compare(spark, con, entry, sf_dir)
+            ok = r["values_match"] and r["rows_spark"] == r["rows_sql"]
+            bad += not ok
+            print(f"{name:32s} {'OK ' if ok else 'BAD'} rows={r['rows_spark']}/{r['rows_sql']} "
+                  f"{time.time() - t0:.1f}s" + ("" if ok else f" {r.get('first_diffs')}"), flush=True)
+        except Exception as ex:  # report and continue with the next query
+            bad += 1
+            print(f"{name:32s} ERROR {type(ex).__name__}: {str(ex)[:300]}", flush=True)
+    print("failures:", bad)
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
