@@ -39,14 +39,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """Return the shared checkpoint folder.
 
-    On a cluster this is set by the deployment and is only read here. Only when it is
-    unset (local tests) a private scratch folder is created and registered.
-    """
+    On a cluster ``spark.checkpoint.dir`` names it; it is only read here (it is a core
+    setting and cannot be changed at run time). When it is unset (local tests) the
+    context's checkpoint folder is used, or a private scratch folder is registered with
+    ``SparkContext.setCheckpointDir``."""
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="riskloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    if current:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
+        return current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-ckpt-"))
+    return sc.getCheckpointDir()
