@@ -52,3 +52,12 @@ def label_to_class(col: Column | str, missing: int | None = 0) -> Column:
     for code, word in enumerate(RISK_KEYWORDS):
         out = out.when(s.contains(word), F.lit(code))
     return out.otherwise(F.lit(4))
+
+
+def label_report(df, col: str = "nivel_riesgo"):
+    """Mapping report for a label column: rows, how many labels are missing (empty / 'nan'
+    / 'none' / NULL) and therefore fall back to class 0, and the resulting class counts --
+    one operator instead of a silent fallback in one variant and a warning in the other."""
+    cls = label_to_class(col, missing=None)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(cls.isNull()).alias("n_unknown"),
+                  *[F.count_if(F.coalesce(cls, F.lit(0)) == k).alias(f"n_clase_{k}") for k in range(5)])

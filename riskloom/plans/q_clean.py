@@ -192,3 +192,14 @@ def q_validate(spark, sf):
     train = r.filter(F.col("Anio") <= TRAIN_TO)
     out = clean.validate_request(req, {c: train.select(c) for c in _TEXTS})
     return out.select("record_id", "ok", "reason", "flag")
+
+
+@register("label_report", final(with_base(f"""
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE n IS NULL OR n IN ('', 'nan', 'none')) AS n_unknown,
+       {', '.join(f"COUNT(*) FILTER (WHERE CASE WHEN n IS NULL OR n IN ('', 'nan', 'none') THEN 0 WHEN contains(n, 'sin') THEN 0 WHEN contains(n, 'bajo') THEN 1 WHEN contains(n, 'medio') THEN 2 WHEN contains(n, 'alto') THEN 3 ELSE 4 END = {k}) AS n_clase_{k}" for k in range(5))}
+FROM (SELECT {_norm_sql('nivel_riesgo')} AS n FROM risky) t"""), [],
+    ["n_rows", "n_unknown", *[f"n_clase_{k}" for k in range(5)]]))
+def q_label_report(spark, sf):
+    """Labels of the records mapped to classes, with the count of unknown labels reported."""
+    from riskloom.functions.risk import label_report
+    return label_report(risky(spark, sf), "nivel_riesgo")

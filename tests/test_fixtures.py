@@ -375,3 +375,10 @@ def test_five_number_whiskers(spark):
     r = r[0]
     assert (r.min, r.q1, r.median, r.q3, r.max) == (1.0, 2.0, 3.0, 4.0, 100.0)
     assert r.whisker_low == 1.0 and r.whisker_high == 4.0 and r.n == 5
+
+
+def test_label_report_counts_unknowns(spark):
+    from riskloom.functions.risk import label_report
+    df = spark.createDataFrame([("Riesgo alto",), ("",), (None,), ("PÃ©rdida crÃ­tica",), ("nan",)], "nivel_riesgo string")
+    r = label_report(df).first()
+    assert (r.n_rows, r.n_unknown, r.n_clase_0, r.n_clase_3, r.n_clase_4) == (5, 3, 3, 1, 1)
