@@ -1 +1,8 @@
 """Operators of a training-data pipeline over tables of documents and web pages."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

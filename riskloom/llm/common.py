@@ -53,6 +53,15 @@ def handed_on(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], Callable[[str], str]]:
+    """``df`` under positional column names, so that no input column can clash with a computed
+    one; a function that gives the original columns back; and the new name of a column."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    out = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return (out, lambda x: x.select(*[F.col(n).alias(c) for c, n in names.items()]),
+            lambda c: names[c])
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` of at most ``limit`` characters, one text at least."""
     start, size = 0, 0

@@ -19,7 +19,6 @@ where asked.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import ahocorasick
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import map_texts
+from riskloom.llm.common import apart, map_texts
 
 WINDOW = 10
 MAX_AUTOMATON_CHARS = 64_000_000
@@ -200,7 +199,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a hit, with the columns of ``docs``."""
-    return hits(docs, benchmark, docs.columns).where(F.col("n_hit") == 0).select(*docs.columns)
+    df, back, name = apart(docs)
+    return back(hits(df, benchmark, df.columns, text=name("text")).where(F.col("n_hit") == 0))
 
 
 ORACLE = r"""

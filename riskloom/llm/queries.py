@@ -3,10 +3,23 @@ SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from riskloom.llm import decontaminate, sharding
+from riskloom.llm import decontaminate, quality_rules, secrets, sharding
 from riskloom.llm.common import table
 
 
+def op1_quality_rules(spark, sf_dir):
+    """Statistics and verdict of every document under a decision list learned from labels."""
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(quality_rules.labelled_statistics(
+        docs, table(spark, sf_dir, "labels")))
+    return quality_rules.judge(docs, rules)
+
+
+def op4_secret_scan(spark, sf_dir):
+    """Secret spans of every whole document."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op6_sharding(spark, sf_dir):
     """Every document in one of 16 shards of near-equal bytes, by fixed virtual slots."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -18,5 +31,6 @@ def op8_benchmark_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_sharding,
+                                   op8_benchmark_decontamination)}
 ORACLES = {"op8_benchmark_decontamination": decontaminate.ORACLE}
