@@ -3,7 +3,8 @@ SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from riskloom.llm import decontaminate, quality_rules, secrets, sharding
+from riskloom.llm import (decontaminate, language_id, quality_net, quality_rules, secret_scan,
+                          sharding, toxicity)
 from riskloom.llm.common import table
 
 
@@ -15,9 +16,23 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.judge(docs, rules)
 
 
+def op2_toxicity(spark, sf_dir):
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_quality_classifier(spark, sf_dir):
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    vectors = quality_net.context_vectors(docs)
+    net = quality_net.train(docs, table(spark, sf_dir, "labels"), vectors)
+    return quality_net.score_documents(docs, vectors, net)
+
+
 def op4_secret_scan(spark, sf_dir):
     """Secret spans of every whole document."""
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"]))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
 def op6_sharding(spark, sf_dir):
@@ -31,6 +46,13 @@ def op8_benchmark_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_secret_scan, op6_sharding,
-                                   op8_benchmark_decontamination)}
+def op10_language_id(spark, sf_dir):
+    """Language of every document, learned from documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify_documents(docs, language_id.learn(docs))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_toxicity, op3_quality_classifier, op4_secret_scan, op6_sharding,
+    op8_benchmark_decontamination, op10_language_id)}
 ORACLES = {"op8_benchmark_decontamination": decontaminate.ORACLE}
