@@ -3,8 +3,10 @@ SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from riskloom.llm import (decontaminate, language_id, quality_net, quality_rules, secret_scan,
-                          sharding, toxicity)
+from pyspark.sql import functions as F
+
+from riskloom.llm import (decontaminate, language_id, pieces, quality_net, quality_rules,
+                          secret_scan, sharding, toxicity)
 from riskloom.llm.common import table
 
 
@@ -46,6 +48,13 @@ def op8_benchmark_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    """Ids of every whole document and whether they decode to it."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
+        "round_trip")
+
+
 def op10_language_id(spark, sf_dir):
     """Language of every document, learned from documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -54,5 +63,5 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_quality_classifier, op4_secret_scan, op6_sharding,
-    op8_benchmark_decontamination, op10_language_id)}
+    op8_benchmark_decontamination, op9_sentencepiece, op10_language_id)}
 ORACLES = {"op8_benchmark_decontamination": decontaminate.ORACLE}
