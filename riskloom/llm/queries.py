@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.llm import (decontaminate, language_id, pieces, quality_net, quality_rules,
-                          secret_scan, sharding, toxicity)
+                          secret_scan, sharding, toxicity, warc)
 from riskloom.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark, sf_dir):
+    """Every page written to WARC archives and read back by boundary-chain verification."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     """Words of every document inside a benchmark window of 10 words, and the items hit."""
     return decontaminate.digest(decontaminate.hits(
@@ -63,5 +68,5 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_quality_classifier, op4_secret_scan, op6_sharding,
-    op8_benchmark_decontamination, op9_sentencepiece, op10_language_id)}
-ORACLES = {"op8_benchmark_decontamination": decontaminate.ORACLE}
+    op7_warc, op8_benchmark_decontamination, op9_sentencepiece, op10_language_id)}
+ORACLES = {"op7_warc": warc.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
