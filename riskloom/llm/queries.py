@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import (decontaminate, language_id, pieces, quality_net, quality_rules,
+from riskloom.llm import (decontaminate, language_id, near_dedup, pieces, quality_net, quality_rules,
                           secret_scan, sharding, toxicity, warc)
 from riskloom.llm.common import table
 
@@ -37,6 +37,11 @@ def op4_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate class of every document and whether it is the one kept."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark, sf_dir):
     """Every document in one of 16 shards of near-equal bytes, by fixed virtual slots."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_toxicity, op3_quality_classifier, op4_secret_scan, op6_sharding,
+    op1_quality_rules, op2_toxicity, op3_quality_classifier, op4_secret_scan,
+    op5_minhash_near_dedup, op6_sharding,
     op7_warc, op8_benchmark_decontamination, op9_sentencepiece, op10_language_id)}
 ORACLES = {"op7_warc": warc.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
