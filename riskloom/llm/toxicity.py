@@ -20,6 +20,7 @@ repeated rows score alike; other columns are not read.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,10 @@ from riskloom.llm.subwords import word_grams
 
 BUCKETS, DIM = 1 << 16, 8
 LEAST, MOST = 3, 6
-WINDOW, STEP = 8, 4
-MAX_TOXIC, MAX_CLEAN, TRAIN_WINDOWS = 2_000, 4_000, 128
-EPOCHS, RATE, SHARP, DECAY = 40, 0.05, 6.0, 2e-5
+WINDOW, STEP = 4, 2
+MAX_TOXIC, MAX_CLEAN, TRAIN_WINDOWS = 2_000, 4_000, 256
+EPOCHS, RATE, SHARP, DECAY = 60, 0.05, 6.0, 1e-4
+CHUNK = 20_000
 SEED = 23
 CUT = 0.7
 #: crc32(doc_id as text) mod 3 = 1 is held out.
@@ -43,7 +45,8 @@ WORDS = re.compile(r"\w+(?:[^\w\s]+\w+)*")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+    """Words in lower case; a run of one word counts once, as it is evidence only once."""
+    return [w for w, _ in groupby(WORDS.findall((text or "").lower()))]
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -53,13 +56,13 @@ def window_starts(n: int) -> np.ndarray:
     return np.unique(np.append(np.arange(0, n - WINDOW + 1, STEP), n - WINDOW))
 
 
-def training_words(text: str | None) -> list[str]:
-    """Words of at most ``TRAIN_WINDOWS`` evenly spread, disjoint windows."""
+def training_words(text: str | None) -> str:
+    """Words of at most ``TRAIN_WINDOWS`` evenly spread, disjoint windows, one a line."""
     words = words_of(text)
-    if len(words) <= WINDOW * TRAIN_WINDOWS:
-        return words
-    at = np.linspace(0, len(words) - WINDOW, TRAIN_WINDOWS).astype(int)
-    return [w for s in at for w in words[s:s + WINDOW]]
+    if len(words) > WINDOW * TRAIN_WINDOWS:
+        at = np.linspace(0, len(words) - WINDOW, TRAIN_WINDOWS).astype(int)
+        words = [w for s in at for w in words[s:s + WINDOW]]
+    return "\n".join(words)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -70,7 +73,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
         bounded_sample(known.where("y = 0"), ["doc_id"], MAX_CLEAN, SEED))
     rows = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
             .select("text", "y"))
-    field = T.StructField("words", T.ArrayType(T.StringType()))
+    field = T.StructField("words", T.StringType())
     return map_texts(rows, lambda: lambda ts: {"words": [training_words(t) for t in ts]},
                      [field], ["y"])
 
@@ -98,20 +101,36 @@ class Adam:
             p -= rate * (m / (1 - 0.9 ** self.t)) / (np.sqrt(v / (1 - 0.999 ** self.t)) + 1e-8)
 
 
-def fit(docs: list[list[str]], y: np.ndarray) -> dict | None:
-    """Model from tokenised documents and 0/1 labels; None unless both classes are there."""
+def grams_in_chunks(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, n-grams of each word) for ``CHUNK`` words at a time, in word order."""
+    out = []
+    for i in range(0, len(words), CHUNK):
+        ids, of = word_grams(words[i:i + CHUNK], LEAST, MOST, BUCKETS)
+        out.append((ids[np.argsort(of, kind="stable")].astype(np.uint16),
+                    np.bincount(of, minlength=len(words[i:i + CHUNK]))))
+    return out
+
+
+def word_scores(u: np.ndarray, chunks: list) -> np.ndarray:
+    """Mean of ``u`` over the n-grams of every word."""
+    return np.concatenate([
+        np.add.reduceat(u[ids], np.concatenate(([0], np.cumsum(n)[:-1]))) / n
+        for ids, n in chunks])
+
+
+def fit(docs: list[str], y: np.ndarray) -> dict | None:
+    """Model from ``training_words`` and 0/1 labels; None unless both classes are there."""
     keep = [i for i, d in enumerate(docs) if d]
     y = np.asarray(y)[keep].astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    docs = [docs[i] for i in keep]
-    n = np.array([len(d) for d in docs])
-    code, vocab = pd.factorize(np.array([w for d in docs for w in d], dtype=object))
-    ids, of = word_grams(list(vocab), LEAST, MOST, BUCKETS)
-    order = np.argsort(of, kind="stable")
-    ids, of = ids[order], of[order]
-    per_word = np.bincount(of, minlength=len(vocab)).astype(float)
-    word_start = np.searchsorted(of, np.arange(len(vocab)))
+    numbers: dict[str, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in docs[i].split("\n")],
+                      np.int32) for i in keep]
+    n = np.array([len(d) for d in coded])
+    code, n_words = np.concatenate(coded), len(numbers)
+    chunks = grams_in_chunks(list(numbers))
+    del coded, numbers
     base = np.concatenate(([0], np.cumsum(n)[:-1]))
     starts = [window_starts(k) + b for k, b in zip(n, base)]
     first = np.concatenate(([0], np.cumsum([len(s) for s in starts])[:-1]))
@@ -127,7 +146,7 @@ def fit(docs: list[list[str]], y: np.ndarray) -> dict | None:
     for _ in range(EPOCHS):
         d = soft[:, 1] - soft[:, 0]
         u = (emb @ d).astype(np.float32)
-        s = (np.add.reduceat(u[ids], word_start) / per_word)[code]
+        s = word_scores(u, chunks)[code]
         run = np.concatenate(([0.0], np.cumsum(s)))
         z = (run[hi] - run[lo]) / size + bias[1] - bias[0]
         logit, share = _pool(z, first, SHARP)
@@ -135,16 +154,20 @@ def fit(docs: list[list[str]], y: np.ndarray) -> dict | None:
         gz = share * np.repeat(g, np.diff(np.append(first, len(z))))
         # Back through the window means: each word gets the sum over its windows.
         edge = np.bincount(lo, gz / size, len(code) + 1) - np.bincount(hi, gz / size, len(code) + 1)
-        gs = np.bincount(code, np.cumsum(edge)[:-1], len(vocab)) / per_word
-        gu = np.bincount(ids, gs[of], BUCKETS)
+        gs = np.bincount(code, np.cumsum(edge)[:-1], n_words)
+        gu, at = np.zeros(BUCKETS), 0
+        for ids, count in chunks:
+            gu += np.bincount(ids, np.repeat(gs[at:at + len(count)] / count, count), BUCKETS)
+            at += len(count)
         gd = emb.T @ gu
         adam.step([emb, soft, bias],
                   [np.outer(gu, d) + DECAY * emb, np.stack([-gd, gd], 1) + DECAY * soft,
                    np.array([-gz.sum(), gz.sum()])], RATE)
     u = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-    model = {"u": u, "bias": float(bias[1] - bias[0]), "a": 1.0, "b": 0.0}
-    a, b = logistic(logits(model, docs), y, weight)
-    return model | {"a": a, "b": b}
+    run = np.concatenate(([0.0], np.cumsum(word_scores(u, chunks)[code])))
+    top = np.maximum.reduceat((run[hi] - run[lo]) / size, first)
+    a, b = logistic(top + bias[1] - bias[0], y, weight)
+    return {"u": u, "bias": float(bias[1] - bias[0]), "a": a, "b": b}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -168,8 +191,7 @@ def logits(model: dict, docs: list[list[str]]) -> np.ndarray:
     if not words:
         return out
     code, vocab = pd.factorize(np.array(words, dtype=object))
-    ids, of = word_grams(list(vocab), LEAST, MOST, BUCKETS)
-    s = (np.bincount(of, model["u"][ids], len(vocab)) / np.bincount(of, minlength=len(vocab)))[code]
+    s = word_scores(model["u"], grams_in_chunks(list(vocab)))[code]
     run, at = np.concatenate(([0.0], np.cumsum(s))), 0
     for i, d in enumerate(docs):
         if d:
@@ -191,7 +213,7 @@ def scores(model: dict | None, texts: list) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> dict | None:
     """The model; the driver holds the bounded sample only."""
     rows = training_rows(docs, labels, column).toPandas()
-    return fit([list(w) for w in rows["words"]], rows["y"].to_numpy())
+    return fit(rows["words"].tolist(), rows["y"].to_numpy())
 
 
 def score_documents(docs: DataFrame, model: dict | None) -> DataFrame:
