@@ -24,13 +24,11 @@ STRUCTURAL_NULL_COLUMNS = ["Precio", "Rendimiento", "Valorproduccion", "Volumenp
 
 # Pre-harvest features (native categories) and the coded feature set.
 FEATURES_SOWING = ["Nomestado", "Nomcicloproductivo", "Nommodalidad", "Nomcultivo",
-                   "Sembrada", "Precio", "proporcion_siniestro"]
+                   "Sembrada", "Precio"]
 CAT_FEATURES = ["Nomestado", "Nomcicloproductivo", "Nommodalidad", "Nomcultivo"]
-CODED_FEATURES = ["Anio", "Idestado_encoded", "Idmunicipio_encoded", "Idciclo", "Idmodalidad",
-                  "Idcultivo_encoded", "log_sembrada", "interaccion_mod_ciclo"]
 # Post-harvest columns: known only after the loss happened, refused as model inputs.
 POST_HARVEST = ["Siniestrada", "Cosechada", "Volumenproduccion", "Rendimiento",
-                "Valorproduccion", "nivel_riesgo", "target"]
+                "Valorproduccion", "proporcion_siniestro", "nivel_riesgo", "target"]
 
 # Renames applied when yearly files are integrated.
 YEAR_FILE_RENAMES = {"Nomcultivo Sin Um": "Nomcultivo", "Preciomediorural": "Precio"}
@@ -72,7 +70,9 @@ MIN_MUNICIPAL_AREA = 0.1
 CLUSTER_FEATURES = ["log_Sembrada_total", "proporcion_siniestro_total", "prop_temporal",
                     "log_Rendimiento_medio", "log_Precio_medio", "log_Diversidad_cultivos"]
 
-# Cluster profile names (short, long) by canonical cluster number.
+# Cluster profile names (short, long), fixed values under the numbers of the original
+# profile; CANONICAL_CLUSTERS lists those numbers by ascending loss share, the canonical order.
+CANONICAL_CLUSTERS = (2, 1, 0, 3)
 CLUSTER_NAMES = {
     0: ("Temporal Gran Escala", "Agricultura de Temporal de Gran Escala"),
     1: ("Agricultura Campesina", "Agricultura Tradicional de Temporal y Subsistencia a Pequeña Escala"),

@@ -21,15 +21,22 @@ def require_columns(df: DataFrame, cols) -> None:
         raise MissingColumnsError(f"missing columns: {missing}")
 
 
+def _number(c: str):
+    """Double of a column; NULL for text that is no number, NaN and infinities."""
+    x = F.col(c).try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def apply_types(df: DataFrame, numeric=(), categorical=(), integer=("Anio",)) -> DataFrame:
     """B1: coercing casts; text that is not a number becomes NULL; absent columns skipped."""
     casts = {}
     for c in numeric:
         if c in df.columns:
-            casts[c] = F.col(c).try_cast("double")
+            casts[c] = _number(c)
     for c in integer:
         if c in df.columns:
-            casts[c] = F.col(c).try_cast("double").try_cast("int")
+            # Whole numbers as they are; text such as '2010.0' by way of a double.
+            casts[c] = F.coalesce(F.col(c).try_cast("bigint"), _number(c).try_cast("bigint"))
     for c in categorical:
         if c in df.columns:
             casts[c] = F.col(c).cast("string")

@@ -18,10 +18,11 @@ from pyspark.ml.feature import (PCA, ElementwiseProduct, RobustScaler, SQLTransf
                                 StandardScaler, VectorAssembler)
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.constants import CLUSTER_FEATURES, CLUSTER_NAMES, MIN_MUNICIPAL_AREA
+from riskloom.constants import CANONICAL_CLUSTERS, CLUSTER_FEATURES, CLUSTER_NAMES, MIN_MUNICIPAL_AREA
 from riskloom.functions.numeric import round_to
 from riskloom.operators.clean import min_area_filter, rainfed_area, require_columns
 from riskloom.operators.windows import topn_per_group
@@ -86,7 +87,7 @@ def cluster_summary(prof: DataFrame, cluster: str = "cluster") -> DataFrame:
 def cluster_sizes(prof: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Municipalities per cluster with the profile name."""
     names = prof.sparkSession.createDataFrame(
-        [(k, s, lng) for k, (s, lng) in CLUSTER_NAMES.items()], f"{cluster} int, nombre string, perfil string")
+        [(k, *CLUSTER_NAMES[n]) for k, n in enumerate(CANONICAL_CLUSTERS)], f"{cluster} int, nombre string, perfil string")
     sizes = prof.groupBy(cluster).agg(F.count(F.lit(1)).alias("municipios"))
     return sizes.join(F.broadcast(names), cluster, "left")  # names: k fixed rows
 
@@ -147,16 +148,20 @@ def kmeans_fit(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
     The runs are independent Spark jobs, submitted ``parallelism`` at a time (as
     CrossValidator does) over the persisted input. Returns (model, [(seed, cost)])."""
     from concurrent.futures import ThreadPoolExecutor
-    data = df.persist()
+    mine = df.storageLevel == StorageLevel.NONE  # a frame the caller persisted stays so
+    data = df.persist() if mine else df
 
     def run(i):
         m = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="_raw",
                    maxIter=max_iter).fit(data)
         return seed + i, m, float(m.summary.trainingCost)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        runs = list(pool.map(run, range(n_init)))
-    data.unpersist()
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            runs = list(pool.map(run, range(n_init)))
+    finally:
+        if mine:
+            data.unpersist()
     best = min(runs, key=lambda r: (r[2], r[0]))
     return best[1], [(s_, c) for s_, _, c in runs]
 

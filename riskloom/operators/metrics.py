@@ -244,19 +244,18 @@ def pr_area(scored: DataFrame) -> DataFrame:
 
 def calibration_curve(scored: DataFrame, cls: int = 4, bins: int = 10, y: str = "y",
                       p: str = "p") -> DataFrame:
-    """Quantile bins of p[cls] (inner edges = exact percentiles, rounded to 1e-9);
-    per non-empty bin: mean predicted probability, observed rate, count."""
-    from riskloom.functions.numeric import round_to
+    """Quantile bins of p[cls] (inner edges = exact percentiles; a score equal to
+    an edge belongs to the bin below it); per non-empty bin: mean predicted probability, observed rate, count."""
     d = scored.select(F.element_at(F.col(p), cls + 1).alias("_p"), (F.col(y) == cls).cast("double").alias("_o"))
     from riskloom.operators.quantiles import exact_quantiles
     qs = [i / bins for i in range(1, bins)]
     eq = exact_quantiles(d, "_p", qs)
-    edges = eq.groupBy().agg(F.array(*[round_to(F.max(F.when(F.col("prob") == p, F.col("q"))), 9)
-                                       for p in qs]).alias("_e"))  # one row
+    edges = eq.groupBy().agg(F.array(*[F.max(F.when(F.col("prob") == x, F.col("q")))
+                                       for x in qs]).alias("_e"))  # one row
     b = d.crossJoin(F.broadcast(edges))  # edges: one row
     nbin = F.lit(0)
     for i in range(bins - 1):
-        nbin = nbin + (F.col("_e")[i] <= F.col("_p")).cast("int")
+        nbin = nbin + (F.col("_e")[i] < F.col("_p")).cast("int")
     b = b.withColumn("bin", nbin)
     return b.groupBy("bin").agg(F.avg("_p").alias("mean_p"), F.avg("_o").alias("observed"),
                                 F.count(F.lit(1)).alias("n"))

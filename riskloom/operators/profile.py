@@ -324,12 +324,15 @@ def top_states_harvested(df: DataFrame, n: int = 10, state: str = "Nomestado",
 def top_crops_by_state(df: DataFrame, s: int = 5, c: int = 5, state: str = "Nomestado",
                        crop: str = "Nomcultivo") -> DataFrame:
     """Record counts for the top-s states x top-c crops (both ranked on the full
-    table), every cell present (missing -> 0)."""
-    from riskloom.operators.joins import dense_grid, topn_semi_join
-    base = df.filter(F.col(state).isNotNull() & F.col(crop).isNotNull())
-    kept = topn_semi_join(topn_semi_join(base, state, s), crop, c)
-    counts = kept.groupBy(state, crop).agg(F.count(F.lit(1)).alias("n"))
-    return dense_grid(counts, kept.select(state).distinct(), kept.select(crop).distinct(), "n")
+    table), every cell of the two lists present (missing -> 0). The counts table has one row
+    per state and crop at most; the lists have s and c rows."""
+    from riskloom.operators.joins import dense_grid
+    counts = df.groupBy(state, crop).agg(F.count(F.lit(1)).alias("n"))
+
+    def top(key: str, k: int) -> DataFrame:
+        return (counts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("_n"))
+                .orderBy(F.desc("_n"), F.asc(key)).limit(k).select(key))
+    return dense_grid(counts, top(state, s), top(crop, c), "n")
 
 
 def state_class_share(df: DataFrame, n: int = 20, state: str = "Nomestado", cls: str = "target") -> DataFrame:

@@ -8,23 +8,20 @@ from pyspark.sql import types as T
 
 from riskloom.functions.numeric import round_to
 
-# Lehmer generator modulus and multiplier: a seeded, portable integer hash that any SQL
-# engine computes identically (so seeded orders can be checked against an oracle).
-HASH_M = 2147483647
-HASH_A = 48271
+# Range of the seeded order keys: fifteen hexadecimal digits of an MD5, which any SQL engine
+# computes identically (so seeded orders can be checked against an oracle).
+HASH_M = 1 << 60
 
 
 def key_hash(key: Column, seed: int) -> Column:
-    """Seeded pseudo-random order key in [0, 2^31-1) from a non-negative bigint key."""
-    h = F.pmod(F.pmod(key, F.lit(HASH_M)) * HASH_A + F.lit(seed), F.lit(HASH_M))
-    h = F.pmod(h * HASH_A, F.lit(HASH_M))
-    return F.pmod(h * HASH_A, F.lit(HASH_M))
+    """Seeded pseudo-random order key in [0, 2^60) from a bigint key."""
+    text = F.concat(key.cast("bigint").cast("string"), F.lit(f":{seed}")).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def key_hash_sql(key: str, seed: int) -> str:
-    h = f"((({key}) % {HASH_M}) * {HASH_A} + {seed}) % {HASH_M}"
-    h = f"(({h}) * {HASH_A}) % {HASH_M}"
-    return f"(({h}) * {HASH_A}) % {HASH_M}"
+    text = f"CAST(CAST({key} AS BIGINT) AS VARCHAR) || ':{seed}'"
+    return f"(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT))"
 
 
 def normalize_types(df: DataFrame) -> DataFrame:

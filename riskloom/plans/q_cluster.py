@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.constants import CLUSTER_FEATURES, CLUSTER_NAMES
+from riskloom.constants import CANONICAL_CLUSTERS, CLUSTER_FEATURES, CLUSTER_NAMES
 from riskloom.functions.numeric import round_to_sql as rnd
 from riskloom.operators import cluster, features
 from riskloom.plans.q_clean import risky
@@ -124,7 +124,8 @@ def q_cluster_summary(spark, sf):
     return cluster.cluster_summary(assigned(spark, sf))
 
 
-_NAMES = ", ".join(f"({k}, '{s}', '{lng}')" for k, (s, lng) in CLUSTER_NAMES.items())
+_NAMES = ", ".join("({}, '{}', '{}')".format(k, *CLUSTER_NAMES[n])
+                   for k, n in enumerate(CANONICAL_CLUSTERS))
 
 
 @register("cluster_sizes", final(with_base(

@@ -23,9 +23,9 @@ ORD_COLS = ["Nomestado", "Nommunicipio", "Nomcultivo"]
 
 @register("select_features", final(with_base(
     f"SELECT record_id, {', '.join(FEATURES_SOWING)} FROM risky"),
-    ["Sembrada", "Precio", "proporcion_siniestro"], ["record_id"]))
+    ["Sembrada", "Precio"], ["record_id"]))
 def q_select_features(spark, sf):
-    """The seven pre-harvest features (post-harvest columns are refused)."""
+    """The six pre-harvest features (post-harvest columns are refused)."""
     return clean.select_features(risky(spark, sf), FEATURES_SOWING, key="record_id")
 
 

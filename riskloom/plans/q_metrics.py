@@ -200,9 +200,8 @@ _EDGES = ", ".join(str(i / 10) for i in range(1, 10))
 
 @register("calibration_curve", final(with_base(f"""
 SELECT bin, AVG(p4) AS mean_p, AVG(CAST(y = 4 AS DOUBLE)) AS observed, COUNT(*) AS n
-FROM (SELECT p4, y, len(list_filter(e, lambda x: x <= p4)) AS bin
-      FROM scored CROSS JOIN (SELECT list_transform(quantile_cont(p4, [{_EDGES}]),
-                                                    lambda q: {rnd('q', 9)}) AS e FROM scored) ed) b
+FROM (SELECT p4, y, len(list_filter(e, lambda x: x < p4)) AS bin
+      FROM scored CROSS JOIN (SELECT quantile_cont(p4, [{_EDGES}]) AS e FROM scored) ed) b
 GROUP BY bin""", ), ["mean_p", "observed"], ["bin", "n"]))
 def q_calibration(spark, sf):
     """Ten quantile bins of p(critical): mean predicted vs observed rate."""

@@ -245,16 +245,15 @@ def q_top_states_harvested(spark, sf):
 _TOPS = """
 ts AS (SELECT Nomestado FROM records WHERE Nomestado IS NOT NULL GROUP BY Nomestado
        ORDER BY COUNT(*) DESC, Nomestado LIMIT 5),
-r1 AS (SELECT * FROM records WHERE Nomestado IN (SELECT Nomestado FROM ts) AND Nomcultivo IS NOT NULL),
-tc AS (SELECT Nomcultivo FROM r1 GROUP BY Nomcultivo ORDER BY COUNT(*) DESC, Nomcultivo LIMIT 5),
-r2 AS (SELECT * FROM r1 WHERE Nomcultivo IN (SELECT Nomcultivo FROM tc))"""
+tc AS (SELECT Nomcultivo FROM records WHERE Nomcultivo IS NOT NULL GROUP BY Nomcultivo
+       ORDER BY COUNT(*) DESC, Nomcultivo LIMIT 5)"""
 
 
 @register("top_crops_by_state", final(with_base("""
-SELECT s.Nomestado, c.Nomcultivo, COALESCE(n, 0) AS n
-FROM (SELECT DISTINCT Nomestado FROM r2) s CROSS JOIN (SELECT DISTINCT Nomcultivo FROM r2) c
-LEFT JOIN (SELECT Nomestado, Nomcultivo, COUNT(*) AS n FROM r2 GROUP BY 1, 2) v
-  ON v.Nomestado = s.Nomestado AND v.Nomcultivo = c.Nomcultivo""", _TOPS), [], ["n"]))
+SELECT ts.Nomestado, tc.Nomcultivo,
+       (SELECT COUNT(*) FROM records r
+        WHERE r.Nomestado = ts.Nomestado AND r.Nomcultivo = tc.Nomcultivo) AS n
+FROM ts CROSS JOIN tc""", _TOPS), [], ["n"]))
 def q_top_crops_by_state(spark, sf):
     return profile.top_crops_by_state(records(spark, sf), 5, 5)
 

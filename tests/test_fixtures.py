@@ -382,3 +382,54 @@ def test_label_report_counts_unknowns(spark):
     df = spark.createDataFrame([("Riesgo alto",), ("",), (None,), ("PÃ©rdida crÃ­tica",), ("nan",)], "nivel_riesgo string")
     r = label_report(df).first()
     assert (r.n_rows, r.n_unknown, r.n_clase_0, r.n_clase_3, r.n_clase_4) == (5, 3, 3, 1, 1)
+
+
+def test_doubled_quotes_stay_in_their_field(spark, workdir):
+    from riskloom.sources import files
+    with open(f"{workdir}/q.csv", "w", encoding="latin-1") as f:
+        f.write('Anio,Nomcultivo,Sembrada\n2020,"Maiz ""blanco"", grano",5\n')
+    row = files.read_records(spark, f"{workdir}/q.csv").first()
+    assert (row.Nomcultivo, row.Sembrada) == ('Maiz "blanco", grano', 5.0)
+    files.export_clean(spark.createDataFrame([row]), f"{workdir}/out")
+    assert files.read_records(spark, f"{workdir}/out").first().Nomcultivo == row.Nomcultivo
+
+
+def test_texts_that_are_no_numbers_become_null(spark):
+    from riskloom.operators.clean import apply_types
+    df = spark.createDataFrame([("NaN", "9000000000"), ("Infinity", "2010.0"), ("-inf", "x"),
+                                ("1.5", "NaN")], "Sembrada string, Idmunicipio string")
+    got = apply_types(df, ["Sembrada"], integer=["Idmunicipio"]).collect()
+    assert [r.Sembrada for r in got] == [None, None, None, 1.5]
+    assert [r.Idmunicipio for r in got] == [9_000_000_000, 2010, None, None]
+
+
+def test_top_crops_are_ranked_on_the_full_table(spark):
+    from riskloom.operators.profile import top_crops_by_state
+    rows = [("A", "x")] * 10 + [("B", "z")] * 9 + [("C", "z")] * 8
+    df = spark.createDataFrame(rows, "Nomestado string, Nomcultivo string")
+    assert [tuple(r) for r in top_crops_by_state(df, 1, 1).collect()] == [("A", "z", 0)]
+
+
+def test_score_on_an_edge_belongs_to_the_lower_bin(spark):
+    from riskloom.operators.metrics import calibration_curve
+    df = spark.createDataFrame([(0, [0.0, 0.0, 0.0, 0.0, 0.2])] * 7
+                               + [(4, [0.0, 0.0, 0.0, 0.0, 0.9])] * 3, "y int, p array<double>")
+    got = {r.bin: r.n for r in calibration_curve(df, 4, 2).collect()}
+    assert got == {0: 7, 1: 3}
+
+
+def test_names_follow_the_ascending_loss_share(spark):
+    from riskloom.operators.cluster import cluster_sizes
+    df = spark.createDataFrame([(0,), (2,)], "cluster int")
+    got = {r.cluster: r.nombre for r in cluster_sizes(df).collect()}
+    assert got == {0: "Riego Comercial", 2: "Temporal Gran Escala"}
+
+
+def test_caller_keeps_a_persisted_frame(spark):
+    from pyspark.ml.linalg import Vectors
+    from riskloom.operators.cluster import kmeans_fit
+    df = spark.createDataFrame([(Vectors.dense([float(i % 3), 1.0]),) for i in range(30)],
+                               ["scaled"]).persist()
+    kmeans_fit(df, k=2, n_init=2)
+    assert df.is_cached and df.storageLevel.useMemory
+    df.unpersist()
