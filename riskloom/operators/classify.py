@@ -18,7 +18,7 @@ from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
@@ -40,17 +40,20 @@ K = 5
 HIST_KEYS = ["Nomestado", "Nomcultivo", "Nomcicloproductivo", "Nommodalidad"]
 CODED_NUM = ["Anio", "Idestado", "Idmunicipio", "Idciclo", "Idmodalidad", "Idcultivo",
              "log_sembrada", "interaccion_mod_ciclo", "hist_mean"]
-NATIVE_NUM = ["Sembrada", "Precio", "hist_mean"]
+# The price is missing exactly where nothing was harvested, so it would tell the label.
+NATIVE_NUM = ["Sembrada", "hist_mean"]
 NATIVE_CAT = list(CAT_FEATURES)
 DEFAULT_GBT = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "maxBins": 64, "seed": 42}
 DEFAULT_RF = {"numTrees": 40, "maxDepth": 8, "maxBins": 64, "seed": 42}
 
 
-def model_table(risky: DataFrame) -> DataFrame:
+def model_table(risky: DataFrame, train_to: int | None = None, year: str = "Anio") -> DataFrame:
     """Model inputs from the record view: engineered features, the prior-years loss
-    history (E2, never the raw ratio of the row itself) and the class weight (D25)."""
+    history (E2, never the raw ratio of the row itself) and the class weight (D25), counted
+    over the rows up to ``train_to`` so that later labels stay unseen."""
     t = prior_year_mean(engineer_features(risky), HIST_KEYS)
-    return with_class_weight(t, "target", "weight")
+    fit_on = None if train_to is None else risky.filter(F.col(year) <= train_to)
+    return with_class_weight(t, "target", "weight", fit_on)
 
 
 def argmax_first(cols):
@@ -116,8 +119,13 @@ def fit_risk_classifier(train: DataFrame, num=CODED_NUM, cat=(), y: str = "targe
     prep = Pipeline(stages=_prep_stages(list(num), list(cat))).fit(train)
     data = prep.transform(train).persist()
     stages = list(prep.stages)
+    # Trees need a bin per category of the widest column (and one for unseen values).
+    widest = max((len(s.labels) + 1 for s in stages if isinstance(s, StringIndexerModel)),
+                 default=0)
+    params = dict(params or {})
+    params["maxBins"] = max(widest, params.get("maxBins", DEFAULT_GBT["maxBins"]))
     if kind == "gbt_ovr":
-        p = {**DEFAULT_GBT, **(params or {})}
+        p = {**DEFAULT_GBT, **params}
 
         def fit_one(c):
             lab = data.withColumn("_lab", (F.col(y) == c).cast("double"))
@@ -133,7 +141,7 @@ def fit_risk_classifier(train: DataFrame, num=CODED_NUM, cat=(), y: str = "targe
         stages += [SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(drop)}) FROM __THIS__"),
                    combine]
     elif kind == "rf":
-        p = {**DEFAULT_RF, **(params or {})}
+        p = {**DEFAULT_RF, **params}
         rf = RandomForestClassifier(featuresCol="features", labelCol=y, predictionCol="_pred",
                                     probabilityCol="_prob", rawPredictionCol="_raw", **p)
         if weight:
@@ -248,7 +256,7 @@ def random_search(train: DataFrame, space: dict, n: int = 40, folds: int = 3, nu
     from riskloom.operators.features import stratified_folds
     rng = random.Random(seed)
     rf = RandomForestClassifier(featuresCol="features", labelCol="target", weightCol="weight",
-                                seed=seed, maxBins=DEFAULT_RF["maxBins"])
+                                probabilityCol="_prob", rawPredictionCol="_raw", seed=seed)
     cands = []
     for _ in range(n):
         cands.append({rf.getParam(k): rng.choice(v) for k, v in space.items()})
@@ -257,14 +265,21 @@ def random_search(train: DataFrame, space: dict, n: int = 40, folds: int = 3, nu
     # the feature preparation does not depend on the candidate: fit it once, persist the
     # assembled vectors, and cross-validate only the forest
     prep = Pipeline(stages=_prep_stages(list(num), list(cat))).fit(data)
+    widest = max((len(s.labels) + 1 for s in prep.stages if isinstance(s, StringIndexerModel)),
+                 default=0)
+    rf.setMaxBins(max(widest, DEFAULT_RF["maxBins"]))
     prepared = prep.transform(data).select("features", "target", "weight", "fold").persist()
     cv = CrossValidator(estimator=rf, estimatorParamMaps=cands,
                         evaluator=CompositeEvaluator(labelCol="target", metricName=metric),
                         foldCol="fold", numFolds=folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(prepared)
-    prepared.unpersist()
+    try:
+        model = cv.fit(prepared)
+    finally:
+        prepared.unpersist()
     table = [({p.name: v for p, v in c.items()}, float(s)) for c, s in zip(cands, model.avgMetrics)]
-    return PipelineModel(list(prep.stages) + [model.bestModel]), table
+    scorer = [model.bestModel, SQLTransformer(statement="SELECT * EXCEPT (_raw) FROM __THIS__"),
+              ProbabilityCombiner(inputCols=["_prob"], mode="multi", numClasses=K)]
+    return PipelineModel(list(prep.stages) + scorer), table
 
 
 def two_stage(train: DataFrame, df: DataFrame, num=CODED_NUM, cat=(), params=None) -> DataFrame:

@@ -108,9 +108,11 @@ def class_weights(df: DataFrame, y: str = "target") -> DataFrame:
                                     / (F.count(F.lit(1)).over(tot) * F.col("n_k"))).alias("weight"))
 
 
-def with_class_weight(df: DataFrame, y: str = "target", out: str = "weight") -> DataFrame:
-    """D25 + C6: the class weight attached to every row (the class table is tiny)."""
-    w = class_weights(df, y)
+def with_class_weight(df: DataFrame, y: str = "target", out: str = "weight",
+                      fit_on: DataFrame | None = None) -> DataFrame:
+    """D25 + C6: the class weight attached to every row (the class table is tiny). Weights
+    come from ``fit_on`` (the training rows) if given; a class absent there weighs 0."""
+    w = class_weights(df if fit_on is None else fit_on, y)
     return map_lookup_join(df, F.broadcast(w), y, "weight", 0.0, out)
 
 

@@ -12,7 +12,7 @@ from riskloom.plans.registry import register
 
 
 def table(spark, sf):
-    return classify.model_table(risky(spark, sf))
+    return classify.model_table(risky(spark, sf), TRAIN_TO)
 
 
 def splits(spark, sf):
@@ -59,7 +59,7 @@ def q_isotonic(spark, sf):
 def q_early_stop(spark, sf):
     """Per-iteration train/validation log-loss of the critical-class GBT."""
     tr, va, _ = splits(spark, sf)
-    rows = classify.early_stop_curve(tr, va, params={"maxIter": 30})
+    rows = classify.early_stop_curve(tr, va, params={"maxIter": 30}, patience=5)
     return spark.createDataFrame(rows, "iteration int, train_loss double, val_loss double, "
                                        "best_iteration int, stop_iteration int")
 
@@ -135,15 +135,19 @@ def q_reg_sweep(spark, sf):
 
 @register("random_search", None)
 def q_random_search(spark, sf):
-    """40 seeded random forest candidates scored by 3-fold stratified CV on the composite
-    score; the table of candidates and their mean scores."""
+    """Seeded random forest candidates scored by 3-fold stratified CV on the composite score;
+    the table of candidates, their mean scores and the budget. The registered budget is 8
+    candidates (25 fits); the operator's own default is 40."""
+    n, folds = 8, 3
     tr, _, _ = splits(spark, sf)
     space = {"numTrees": [20, 40, 60], "maxDepth": [4, 6, 8, 10], "minInstancesPerNode": [1, 5, 20],
              "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["sqrt", "onethird", "all"]}
-    _, table = classify.random_search(tr, space, n=40, folds=3)
+    _, table = classify.random_search(tr, space, n=n, folds=folds)
     import json
-    return spark.createDataFrame([(i, json.dumps(c, sort_keys=True), s) for i, (c, s) in enumerate(table)],
-                                 "candidate int, params string, composite double")
+    return spark.createDataFrame([(i, json.dumps(c, sort_keys=True), s, n, folds)
+                                  for i, (c, s) in enumerate(table)],
+                                 "candidate int, params string, composite double, "
+                                 "candidates int, folds int")
 
 
 @register("learning_curve", None)

@@ -16,7 +16,7 @@ from conftest import SF_SMALL
 
 @pytest.fixture(scope="module")
 def data(spark):
-    t = classify.model_table(risky(spark, SF_SMALL)).persist()
+    t = classify.model_table(risky(spark, SF_SMALL), 1999).persist()
     return t.filter("Anio <= 1999"), t.filter("Anio = 2000"), t.filter("Anio >= 2001")
 
 
@@ -134,3 +134,17 @@ def test_feature_importance_and_evaluator(spark, data, model):
     s = classify.predict(model, data[2]).withColumnRenamed("yhat", "prediction").withColumnRenamed("y", "target")
     score = classify.CompositeEvaluator().evaluate(s)
     assert -1.0 <= score <= 1.0
+
+
+def test_native_categories_beyond_the_default_bins(spark):
+    rows = [(f"crop {i % 454}", float(i % 7), i % 2, 1.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "crop string, area double, target int, weight double")
+    m = classify.fit_risk_classifier(df, ["area"], ["crop"], kind="rf", k=2, params={"numTrees": 2})
+    assert m.transform(df).where("size(p) <> 2").count() == 0
+
+
+def test_search_returns_a_model_that_scores(spark, data):
+    m, table = classify.random_search(data[0], {"numTrees": [2, 3], "maxDepth": [2, 3]}, n=2, folds=2)
+    assert len(table) == 2
+    s = classify.predict(m, data[2])
+    assert s.where("abs(aggregate(p, 0D, (a, x) -> a + x) - 1) > 1e-9").count() == 0
