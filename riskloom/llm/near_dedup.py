@@ -51,7 +51,10 @@ from riskloom.llm.subwords import mix
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-PAIRS_PER_DOCUMENT = 2
+PAIRS_PER_DOCUMENT = 4
+#: Rows of (row, label) or of bucket members for one task, and for a broadcast after counting
+#: (32 bytes a row at most).
+ROWS_PER_TASK, BROADCAST_ROWS = 100_000, 200_000
 #: Time allowed beyond the mean filling time before a document's stopping time doubles.
 SLACK = 3.5
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -226,32 +229,45 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
+def _packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written to shared storage and read by one task per ``ROWS_PER_TASK`` rows, and
+    its row count: slim frames need few tasks, however many partitions their shuffle had."""
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(1 + n // ROWS_PER_TASK), n
+
+
+def _sized(df: DataFrame, n: int) -> DataFrame:
+    """Join side of ``n`` counted rows: broadcast up to ``BROADCAST_ROWS``, else shuffled."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """(row, label) of every row in a link; the label is the smallest row of its component.
     Labels spread along links and then jump to their own label's label, until none changes."""
-    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-               .union(links.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("u").alias("row"))
-                .agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    both, _ = _packed(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+                      .union(links.select("b", "a")).distinct())
+    label, n = _packed(both.groupBy(F.col("u").alias("row"))
+                       .agg(F.least(F.min("v"), F.first("u")).alias("label")))
     while True:
-        near = (both.join(label.select(F.col("row").alias("v"), "label"), "v")
-                .select(F.col("u").alias("row"), "label"))
-        low = (label.union(near).groupBy("row").agg(F.min("label").alias("label")))
-        jump = label.select(F.col("row").alias("label"), F.col("label").alias("further"))
-        new = (low.join(jump, "label", "left")
-               .select("row", F.least("label", F.coalesce("further", "label")).alias("label")))
-        # The former label rides along, so one pass tells whether anything moved.
-        new = cut(new.join(label.withColumnRenamed("label", "old"), "row"))
-        moved = new.where("label <> old").limit(1).count()
+        side = lambda **names: _sized(label.select(
+            *[F.col(c).alias(x) for c, x in names.items()]), n)
+        near = both.join(side(row="v", label="label"), "v").select(F.col("u").alias("row"), "label")
+        low = label.union(near).groupBy("row").agg(F.min("label").alias("label"))
+        new = (low.join(side(row="label", label="further"), "label", "left")
+               .select("row", F.least("label", F.coalesce("further", "label")).alias("label"))
+               # The former label rides along, so one pass tells whether anything moved.
+               .join(side(row="row", label="old"), "row"))
+        new, _ = _packed(new.coalesce(1 + n // ROWS_PER_TASK))
         label = new.select("row", "label")
-        if not moved:
+        if new.where("label <> old").isEmpty():
             return label
 
 
 def _labels(rows: DataFrame, label: DataFrame, row: str, name: str) -> DataFrame:
     """``rows`` with the component of column ``row``; a row without links is its own."""
     known = label.select(F.col("row").alias(row), F.col("label").alias(name))
-    return rows.join(known, row, "left").withColumn(name, F.coalesce(name, row))
+    return rows.join(_sized(known, label.count()), row, "left").withColumn(name, F.coalesce(name, row))
 
 
 def find_links(reps: DataFrame, texts) -> DataFrame:
@@ -261,28 +277,34 @@ def find_links(reps: DataFrame, texts) -> DataFrame:
     spark = reps.sparkSession
     n_docs = reps.count()
     place = cut(reps.select(F.explode("bands").alias("bucket"), "row", "weight"))
-    shared = place.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    member = cut(place.join(shared, "bucket").withColumn("open", F.lit(True)))
-    nothing = spark.createDataFrame([], "a long, b long, sim double")
-    if member.isEmpty():
-        return nothing
+    shared = place.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member, _ = _packed(place.join(shared, "bucket"))
+    # Pivots are the members with most company in all their buckets: central to a family of
+    # copies, so that one round links most of it.
+    company = member.groupBy("row").agg(F.sum("n").alias("company"))
+    member, n_member = _packed(member.drop("n").join(company, "row")
+                               .withColumn("open", F.lit(True)))
+    if not n_member:
+        return spark.createDataFrame([], "a long, b long, sim double")
     known = handed_on(texts(member.select("row").distinct()), "candidate-texts")
     reach = 1 - THRESHOLD + 1e-9
     links = []
     while True:
         head = (member.where("open").groupBy("bucket")
-                .agg(F.min("row").alias("pivot")))
+                .agg(F.min(F.struct(-F.col("company"), F.col("row").alias("row"))).alias("top"))
+                .select("bucket", F.col("top.row").alias("pivot")))
         to_pivot = member.join(head, "bucket").where(F.col("row") != F.col("pivot"))
         pairs = to_pivot.select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct()
-        seen = cut(similarities(pairs, known))
+        seen, n_seen = _packed(similarities(pairs, known))
         links.append(seen.where(F.col("sim") >= THRESHOLD))
         label = components(reduce(DataFrame.union, links))
-        d = (to_pivot.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("row"),
-                                       (1 - F.col("sim")).alias("d")), ["pivot", "row"]))
+        d = to_pivot.join(_sized(seen.select(
+            F.col("a").alias("pivot"), F.col("b").alias("row"), (1 - F.col("sim")).alias("d")),
+            n_seen), ["pivot", "row"])
         d = _labels(_labels(d, label, "row", "own"), label, "pivot", "its")
         d = d.withColumn("open", F.col("own") != F.col("its")).select(
-            "bucket", "row", "weight", "own", "d", "open")
-        d = cut(d)
+            "bucket", "row", "weight", "company", "own", "d", "open")
+        d, _ = _packed(d)
         # Buckets with someone outside the pivot's component, and how near the pivot they are.
         rest = (d.where("open").groupBy("bucket")
                 .agg(F.min("d").alias("nearest"), F.count(F.lit(1)).alias("n_open")))
@@ -292,7 +314,7 @@ def find_links(reps: DataFrame, texts) -> DataFrame:
         several = (left.groupBy("bucket").agg(
             F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("n"))
             .where("lo <> hi").select("bucket", "n"))
-        left = cut(left.join(several, "bucket"))
+        left, _ = _packed(left.join(several, "bucket"))
         # Pairs that would be emitted: each open member with all others left in its bucket.
         todo = (left.groupBy("bucket").agg((F.first("n") * F.first("n_open")).alias("p"))
                 .agg(F.sum("p")).first()[0]) or 0
@@ -300,7 +322,7 @@ def find_links(reps: DataFrame, texts) -> DataFrame:
             return reduce(DataFrame.union, links)
         if todo <= PAIRS_PER_DOCUMENT * n_docs:
             break
-        member = left.select("bucket", "row", "weight", "open")
+        member = left.select("bucket", "row", "weight", "company", "open")
     x = left.where("open").select("bucket", F.col("row").alias("a"), F.col("own").alias("ca"),
                                   F.col("d").alias("da"), F.col("weight").alias("wa"))
     y = left.select("bucket", F.col("row").alias("b"), F.col("own").alias("cb"),
