@@ -58,7 +58,10 @@ def test_unigram_viterbi_is_the_best_segmentation():
     texts = ["".join(rng.choice(list("abc"), rng.integers(1, 25))) for _ in range(200)]
     ids, at = pieces.Encoder(v).encode(texts)
     for k, t in enumerate(texts):
-        assert ids[at[k]:at[k + 1]].tolist() == best("▁" + t)
+        own = ids[at[k]:at[k + 1]]
+        assert "".join(v.texts[i] for i in own) == "▁" + t
+        # Orders of the same pieces tie, so the totals are compared.
+        assert np.isclose(v.score[own].sum(), v.score[best("▁" + t)].sum())
 
 
 def test_characters_outside_a_vocabulary_without_bytes():
