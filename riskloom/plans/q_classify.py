@@ -136,9 +136,9 @@ def q_reg_sweep(spark, sf):
 @register("random_search", None)
 def q_random_search(spark, sf):
     """Seeded random forest candidates scored by 3-fold stratified CV on the composite score;
-    the table of candidates, their mean scores and the budget. The registered budget is 8
-    candidates (25 fits); the operator's own default is 40."""
-    n, folds = 8, 3
+    the table of candidates, their mean scores and the budget. The registered budget is 5
+    candidates (16 fits); the operator's own default is 40."""
+    n, folds = 5, 3
     tr, _, _ = splits(spark, sf)
     space = {"numTrees": [20, 40, 60], "maxDepth": [4, 6, 8, 10], "minInstancesPerNode": [1, 5, 20],
              "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["sqrt", "onethird", "all"]}
