@@ -473,21 +473,31 @@ def shapley_summary(phi: DataFrame, by_class: bool = True, top: int = 3) -> Data
     return agg.orderBy(F.desc("mean_abs_phi"), F.asc("feature")).limit(top)
 
 
+def reads_number(model: PipelineModel, col: str) -> bool:
+    """Whether the model was fitted on the numeric column ``col``."""
+    return any(f"_f_{col}" in s.getInputCols() for s in model.stages
+               if isinstance(s, VectorAssembler))
+
+
 def score_batch(model: PipelineModel, requests: DataFrame, key: str = "record_id") -> DataFrame:
-    """Valid requests (B16) scored: class, label, the five probabilities by label
-    (6 decimals) and the confidence (max p, 3 decimals). Missing history -> 0.0, as the
-    loss ratio is unknown before harvest."""
+    """One row per request. Valid requests (B16; the price is required only of a model
+    that reads it) get class, label, the five probabilities by label (6 decimals) and the
+    confidence (max p, 3 decimals); rejected ones get NULL there and their ``reason``.
+    Missing history -> 0.0, as the loss ratio is unknown before harvest."""
     from riskloom.operators.clean import validate_request
-    v = validate_request(requests)
-    ok = v.filter("ok").withColumn("hist_mean", F.coalesce(
-        F.col("hist_mean") if "hist_mean" in requests.columns else F.lit(None), F.lit(0.0)))
-    out = model.transform(ok)
+    v = validate_request(requests, need_price=reads_number(model, "Precio"))
+    hist = F.col("hist_mean") if "hist_mean" in requests.columns else F.lit(None)
+    # Rejected rows pass through the model with blank inputs, so that the requests are read
+    # (and a stream is consumed) once; what the model says of them is not given out.
+    blank = {c: F.when(F.col("ok"), F.col(c)) for c in requests.columns if c != key}
+    out = model.transform(v.withColumns(
+        blank | {"hist_mean": F.when(F.col("ok"), F.coalesce(hist, F.lit(0.0)))}))
     probs = F.create_map(*[x for i, lab in enumerate(RISK_LABELS)
                            for x in (F.lit(lab), round_to(F.col("p")[i], 6))])
-    return out.select(key, F.col("prediction").alias("clase"),
-                      class_label(F.col("prediction")).alias("nivel_riesgo"),
-                      probs.alias("probabilidades"),
-                      round_to(F.greatest(*[F.col("p")[i] for i in range(K)]), 3).alias("confianza"))
+    scores = {"clase": F.col("prediction"), "nivel_riesgo": class_label(F.col("prediction")),
+              "probabilidades": probs,
+              "confianza": round_to(F.greatest(*[F.col("p")[i] for i in range(K)]), 3)}
+    return out.select(key, *[F.when(F.col("ok"), c).alias(n) for n, c in scores.items()], "reason")
 
 
 def native_inputs(df: DataFrame) -> DataFrame:

@@ -135,16 +135,20 @@ def min_area_filter(df: DataFrame, min_ha: float = 0.1, col: str = "Sembrada_tot
 REQUEST_TEXTS = ["Nomestado", "Nomcultivo", "Nomcicloproductivo", "Nommodalidad"]
 
 
-def validate_request(df: DataFrame, known: dict | None = None) -> DataFrame:
+def validate_request(df: DataFrame, known: dict | None = None,
+                     need_price: bool = True) -> DataFrame:
     """Adds ``ok`` and ``reason`` (first failing rule) to scoring requests, and a
     ``flag`` for categories unseen at training time (``known``: column -> DataFrame of
-    known values, joined left-semi style so it never goes through the driver)."""
+    known values, joined left-semi style so it never goes through the driver). Without
+    ``need_price`` the price may be missing, but not negative."""
     reason = F.lit(None).cast("string")
     checks = ([(F.col(c).isNull() | (F.trim(F.col(c)) == ""), f"missing {c}") for c in REQUEST_TEXTS]
               + [(F.col("Sembrada").isNull(), "missing Sembrada"),
-                 (F.col("Sembrada") < 0, "negative Sembrada"),
-                 (F.col("Precio").isNull(), "missing Precio"),
-                 (F.col("Precio") < 0, "negative Precio")])
+                 (F.col("Sembrada") < 0, "negative Sembrada")])
+    if need_price:
+        checks.append((F.col("Precio").isNull(), "missing Precio"))
+    if need_price or "Precio" in df.columns:
+        checks.append((F.col("Precio") < 0, "negative Precio"))
     for cond, text in reversed(checks):
         reason = F.when(cond, F.lit(text)).otherwise(reason)
     out = df.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())

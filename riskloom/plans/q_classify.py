@@ -85,7 +85,7 @@ def q_cross_validate(spark, sf):
 @register("score_batch", None)
 def q_score_batch(spark, sf):
     """Native-category model (train years) scoring every record of the test year as a
-    request: class, label, probabilities by label, confidence."""
+    request: class, label, probabilities by label, confidence, or the reason of rejection."""
     tr, _, te = splits(spark, sf)
     m = classify.fit_risk_classifier(tr, classify.NATIVE_NUM, classify.NATIVE_CAT, kind="rf")
     req = te.select("record_id", *classify.NATIVE_CAT, "Sembrada", "Precio", "hist_mean")

@@ -90,6 +90,38 @@ def test_stream_equals_batch(spark, data, workdir):
     assert batch == stream and len(batch) > 0
 
 
+def test_every_request_is_answered(spark, data, workdir):
+    from riskloom.streaming.scoring import run_to_completion
+    tr, _, te = data
+    m = classify.fit_risk_classifier(tr, classify.NATIVE_NUM, classify.NATIVE_CAT, kind="rf",
+                                     params={"numTrees": 3})
+    cols = ["record_id", *classify.NATIVE_CAT, "Sembrada", "Precio", "hist_mean"]
+    good = te.where("Sembrada >= 0 AND Precio >= 0").select(*cols).limit(1)
+    edits = {2: {"Precio": None}, 3: {"Nomestado": None}, 4: {"Sembrada": -1.0, "Precio": None},
+             5: {"Sembrada": None}, 6: {"Precio": -1.0},
+             7: {"Nomcultivo": " ", "Sembrada": float("nan")}}
+    first = good.first().asDict() | {"record_id": 1}
+    req = spark.createDataFrame(
+        [tuple(r[c] for c in cols) for r in
+         [first] + [first | {"record_id": k} | e for k, e in edits.items()]], good.schema)
+    want = {1: None, 2: None, 3: "missing Nomestado", 4: "negative Sembrada",
+            5: "missing Sembrada", 6: "negative Precio", 7: "missing Nomcultivo"}
+    batch = classify.score_batch(m, req).collect()
+    stream = run_to_completion(spark, m, req, workdir).collect()
+    for got in (batch, stream):
+        assert len(got) == len(want) and {r.record_id: r.reason for r in got} == want
+        for r in got:
+            scores = (r.clase, r.nivel_riesgo, r.probabilidades, r.confianza)
+            assert all((x is None) == (r.reason is not None) for x in scores)
+    one, two = (next(r for r in batch if r.record_id == k) for k in (1, 2))
+    assert one.probabilidades == two.probabilidades  # the model does not read the price
+    assert classify.score_batch(m, req.drop("Precio")).where("reason IS NULL").count() == 3
+    priced = classify.fit_risk_classifier(tr, ["Sembrada", "Precio"], kind="rf",
+                                          params={"numTrees": 2})
+    assert {r.record_id: r.reason for r in classify.score_batch(priced, req).collect()} == (
+        want | {2: "missing Precio"})
+
+
 def test_shapley_additivity(spark, data):
     tr, _, te = data
     m = classify.fit_risk_classifier(tr, kind="rf", params={"numTrees": 10})
