@@ -49,12 +49,17 @@ def running_totals(df: DataFrame, part_cols, order_cols, value_cols, n_ranges: i
         *[F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
           for v in value_cols],
         F.coalesce(F.sum("_tot_n").over(before), F.lit(0)).alias("_off_n"))
-    joined = local.join(offsets, ["_rng", *part_cols], "left")
+    # Null-safe: rows whose group key is NULL are a group like any other.
+    names = {c: f"_part_{i}" for i, c in enumerate(part_cols)}
+    same = local["_rng"] == F.col("_off_rng")
+    for c, name in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    joined = local.join(offsets.withColumnsRenamed(names | {"_rng": "_off_rng"}), same, "left")
     out = joined.withColumns(
         {f"{prefix}{v}": F.col(f"_loc_{v}") + F.coalesce(F.col(f"_off_{v}"), F.lit(0))
          for v in value_cols}
         | {f"{prefix}n": F.col("_loc_n") + F.coalesce(F.col("_off_n"), F.lit(0))})
-    drop = ["_rng", "_loc_n", "_off_n"] + [f"_loc_{v}" for v in value_cols] + [
+    drop = ["_rng", "_off_rng", *names.values(), "_loc_n", "_off_n"] + [f"_loc_{v}" for v in value_cols] + [
         f"_off_{v}" for v in value_cols]
     return out.drop(*drop)
 
@@ -91,12 +96,13 @@ def prior_year_mean(df: DataFrame, keys, value: str = "proporcion_siniestro",
 def prior_row_mean(df: DataFrame, keys, value: str = "proporcion_siniestro",
                    year: str = "Anio", tie: str = "record_id", out: str = "hist_mean_rows",
                    n_ranges: int | None = None) -> DataFrame:
-    """Mean of ``value`` over all earlier rows of the group in (year, tie) order;
-    the first row gets 0. Distributed running sums, so a hot group is split."""
-    run = running_totals(df, keys, [year, tie], [value], n_ranges, prefix="_p_")
-    return (run.withColumn(out, F.coalesce(F.try_divide(F.col(f"_p_{value}"), F.col("_p_n")),
+    """Mean of ``value`` over all earlier rows of the group in (year, tie) order that
+    have one; 0 when none has. Distributed running sums, so a hot group is split."""
+    counted = df.withColumn("_has", F.col(value).isNotNull().cast("long"))
+    run = running_totals(counted, keys, [year, tie], [value, "_has"], n_ranges, prefix="_p_")
+    return (run.withColumn(out, F.coalesce(F.try_divide(F.col(f"_p_{value}"), F.col("_p__has")),
                                            F.lit(0.0)))
-            .drop(f"_p_{value}", "_p_n"))
+            .drop("_has", f"_p_{value}", "_p__has", "_p_n"))
 
 
 def rolling_sum(df: DataFrame, k: int, part, order, value: str, out: str) -> DataFrame:

@@ -32,6 +32,26 @@ def test_running_totals_match_brute_force(spark, rows, n_ranges):
         assert math.isclose(got[i][0], sum(x[3] for x in before), abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("n_ranges", [1, 8])
+def test_null_keys_are_a_group_over_all_ranges(spark, n_ranges):
+    rng = random.Random(5)
+    data = [(i, rng.choice([None, "a"]), rng.choice([None, "b"]), rng.randint(2000, 2004),
+             rng.choice([None, rng.random(), rng.random()])) for i in range(120)]
+    df = spark.createDataFrame(data, "record_id long, g string, h string, Anio int, v double")
+    mean = {r.record_id: r.m for r in windows.prior_row_mean(
+        df, ["g", "h"], "v", out="m", n_ranges=n_ranges).collect()}
+    coded = windows.ordered_target_statistic(df, "g", "v", 0.5, n_ranges=n_ranges)
+    stat = {r.record_id: r.g_ots for r in coded.collect()}
+    order = {r.record_id: (r.o, r.record_id) for r in df.select(
+        "record_id", key_hash(F.col("record_id"), 42).alias("o")).collect()}
+    assert len(mean) == len(stat) == len(data)
+    for i, g, h, y, _ in data:
+        v = [x[4] for x in data if x[1:3] == (g, h) and (x[3], x[0]) < (y, i) and x[4] is not None]
+        assert math.isclose(mean[i], sum(v) / len(v) if v else 0.0, abs_tol=1e-9)
+        v = [x[4] or 0.0 for x in data if x[1] == g and order[x[0]] < order[i]]
+        assert math.isclose(stat[i], (sum(v) + 0.5) / (len(v) + 1), abs_tol=1e-9)
+
+
 @SETTINGS
 @given(vals=st.lists(st.integers(0, 6), min_size=1, max_size=40), n_ranges=st.integers(1, 5))
 def test_average_rank_matches_definition(spark, vals, n_ranges):
