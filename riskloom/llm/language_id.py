@@ -4,16 +4,17 @@ One table of ``SLOTS`` words holds a filter per language: bit l of every word is
 language l, so one probe per hash function, and-ed together, gives the bitmask of all languages
 that contain an n-gram. A text's hits per language are popcounts of one bit over its n-grams;
 the share of hits is corrected for the filter's own false-positive rate, and the largest
-corrected share decides (ties: the language with more n-grams learned from, then by name).
+corrected share decides (ties: the language with more n-grams, then by name; a language's
+n-grams are those learned from, scaled up to all its documents that may be learned from).
 
-Learned from at most about ``MAX_LABELLED`` documents with a language, none of them held out:
-an n-gram enters a language's filter if its rate there is at least ``LEAST_RATE`` and at least
+Learned from at most about ``MAX_LABELLED`` documents of each language, none of them held out,
+so that a rare language is learned whatever the size of the table: an n-gram enters a language's filter if its rate there is at least ``LEAST_RATE`` and at least
 ``LEAST_RATIO`` of its highest rate in any language. Rates of a language sum to one, so a
 filter never holds more than 1 / LEAST_RATE n-grams per n-gram length, whatever the corpus.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows without
 language teach nothing; without any learned language every text is ``und``; a text with letters
-but no known n-gram gets the language with most n-grams learned from and score 0; repeated rows
+but no known n-gram gets the language with most n-grams and score 0; repeated rows
 score alike; any number of languages works (64 to a plane); other columns are not read.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import bounded_sample, learnable, map_texts, slices, tune
+from riskloom.llm.common import HASH_CUT, learnable, map_texts, slices, tune
 from riskloom.llm.subwords import codes, gram_hashes, mix
 
 LENGTHS = (3, 4)
@@ -94,13 +95,28 @@ def counted_grams(rows: DataFrame) -> DataFrame:
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
-def learn(docs: DataFrame, least_rate: float = LEAST_RATE,
-          least_ratio: float = LEAST_RATIO) -> dict | None:
-    """Filter planes, languages and false-positive rates."""
+def training_rows(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """(text, lang) of the bounded sample of each language, and by how much each was thinned.
+    A language of at most ``MAX_LABELLED`` rows is taken whole."""
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
         & learnable(F.col("doc_id"), MODULUS, HELD_OUT))
-    counts = counted_grams(bounded_sample(rows, ["doc_id", "text"], MAX_LABELLED, SEED))
+    thinned = {r["lang"]: max(1.0, r["count"] / MAX_LABELLED)
+               for r in rows.groupBy("lang").count().collect()}
+    cuts = [x for g, t in sorted(thinned.items()) if t > 1
+            for x in (F.lit(g), F.lit(int(HASH_CUT / t)))]
+    if cuts:
+        h = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(HASH_CUT))
+        rows = rows.where(h < F.coalesce(F.try_element_at(F.create_map(*cuts), F.col("lang")),
+                                         F.lit(HASH_CUT)))
+    return rows.select("text", "lang"), thinned
+
+
+def learn(docs: DataFrame, least_rate: float = LEAST_RATE,
+          least_ratio: float = LEAST_RATIO) -> dict | None:
+    """Filter planes, languages and false-positive rates."""
+    rows, thinned = training_rows(docs)
+    counts = counted_grams(rows)
     # Rates need each language's total: a few rows, gathered once with the counts' own pass.
     counts = counts.persist()
     try:
@@ -127,7 +143,7 @@ def learn(docs: DataFrame, least_rate: float = LEAST_RATE,
         fill = float(((planes[i // 64] & bit) != 0).mean())
         rates.append(fill ** HASHES)
     return {"planes": planes, "langs": langs, "false": rates,
-            "weight": [totals[g] for g in langs]}
+            "weight": [totals[g] * thinned[g] for g in langs]}
 
 
 def identify(model: dict | None, letters: np.ndarray, texts: list) -> tuple[list, list]:

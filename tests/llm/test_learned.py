@@ -125,6 +125,25 @@ def test_language_on_held_out_documents(spark, mid):
     assert all(0 <= r.score <= 1 and held(r.doc_id, 5, 0) for r in rows)
 
 
+def test_rare_language_in_a_large_table_is_learned(spark):
+    docs = spark.range(200_000).select(
+        F.col("id").alias("doc_id"),
+        F.expr("CASE WHEN id = 7 THEN 'жили были дед да баба' WHEN id % 2 = 0 THEN "
+               "'hello world and all the others' ELSE 'bonjour le monde et tous les autres' END"
+               ).alias("text"),
+        F.expr("CASE WHEN id = 7 THEN 'ru' WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END").alias("lang"))
+    assert docs.where(language_id.learnable(F.col("doc_id"), 5, 0) & (F.col("lang") == "ru")).count()
+    rows, thinned = language_id.training_rows(docs)
+    n = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    assert n["ru"] == 1 and thinned["ru"] == 1
+    assert all(0.9 * language_id.MAX_LABELLED < n[g] < 1.1 * language_id.MAX_LABELLED
+               for g in ("en", "fr"))
+    model = language_id.learn(docs)
+    letters = np.unpackbits(language_id.letter_table()).astype(bool)
+    texts = ["дед да баба", "hello others", "bonjour le monde"]
+    assert language_id.identify(model, letters, texts)[0] == ["ru", "en", "fr"]
+
+
 def test_filters_return_every_language_that_holds_a_gram(spark):
     """Against exact sets: no learned n-gram is missed, and undecided texts are defined."""
     rows = [(i, t, g) for i, (t, g) in enumerate([
