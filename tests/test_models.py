@@ -160,6 +160,27 @@ def test_early_stop_requires_disjoint_sets(data):
     assert len(rows) == 6 and 1 <= rows[0][3] <= 6
 
 
+def test_registered_fits_have_the_reference_budget(spark, monkeypatch):
+    from riskloom.plans import q_classify
+    assert classify.DEFAULT_GBT["maxIter"] >= 300 and classify.DEFAULT_RF["numTrees"] >= 300
+    seen = {}
+
+    def curve(train, val, cls=None, params=None, patience=None):
+        seen.setdefault("curves", []).append((cls, params, patience))
+        return [(1, 0.5, 0.5, 1, 1)]
+
+    def search(train, space, n=None, folds=None):
+        seen["search"] = (space["numTrees"], n, folds)
+        return None, [({"numTrees": 100}, 0.5)]
+
+    monkeypatch.setattr(classify, "early_stop_curve", curve)
+    monkeypatch.setattr(classify, "random_search", search)
+    assert sorted(r.cls for r in q_classify.q_early_stop(spark, SF_SMALL).collect()) == list(range(5))
+    assert seen["curves"] == [(c, None, 50) for c in range(5)]
+    assert q_classify.q_random_search(spark, SF_SMALL).first().candidates == 40
+    assert seen["search"] == ([100, 200, 300], 40, 3)
+
+
 def test_feature_importance_and_evaluator(spark, data, model):
     rows = classify.feature_importance(model, classify.CODED_NUM, top=15)
     assert math.isclose(sum(r[1] for r in rows), 1.0, abs_tol=1e-6) and all(r[2] >= 0 for r in rows)
