@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.llm import (context_mixing, decontaminate, language_id, near_dedup, periodic, pieces,
-                          quality_net, quality_rules, secret_scan, sharding, toxicity, warc)
+                          prefix_trie, quality_net, quality_rules, secret_scan, sharding, toxicity, warc)
 from riskloom.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify_documents(docs, language_id.learn(docs))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_context_mixing(spark, sf_dir):
     """Base score and mixed-context log probability of every document."""
     return context_mixing.score_documents(table(spark, sf_dir, "documents"))
@@ -86,5 +91,6 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_toxicity, op3_quality_classifier, op4_secret_scan,
     op5_minhash_near_dedup, op6_sharding,
     op7_warc, op8_benchmark_decontamination, op9_sentencepiece, op10_language_id,
-    op12_context_mixing, op13_periodic_runs)}
-ORACLES = {"op7_warc": warc.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
+    op11_prefix_trie, op12_context_mixing, op13_periodic_runs)}
+ORACLES = {"op7_warc": warc.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE,
+           "op11_prefix_trie": prefix_trie.ORACLE}
