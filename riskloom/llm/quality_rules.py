@@ -36,6 +36,8 @@ MIN_PRECISION, MIN_COVER = 0.85, 5
 #: Fixed values of the base rule.
 BASE_WORDS, BASE_REPEAT_PERCENT = 50, 50
 
+#: Bits of a packed window that hold its place; the others hold its hash.
+PLACE_BITS = 31
 SPACE = r"[\x20\x09-\x0D]"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -48,20 +50,33 @@ def _shifted(a: Column, by: int) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside a three-word window found twice or more: windows sort with their places,
-    equal neighbours mark repeats, and the places they cover are counted once."""
-    pairs = F.zip_with(words, _shifted(words, 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    windows = F.zip_with(pairs, _shifted(words, 2), lambda a, b: F.concat(a, F.lit(" "), b))
-    placed = F.transform(windows, lambda g, i: F.struct(g.alias("g"), i.alias("i")))
-    placed = F.sort_array(F.slice(placed, 1, F.greatest(F.size(words) - 2, F.lit(0))))
+    """Words inside a three-word window found twice or more. Windows are hashed and packed with
+    their places into longs; sorted, neighbours with equal hash bits are candidates. Only their
+    strings are compared, so a clash of hashes adds a candidate and no repeat: they sort with
+    their places, equal neighbours mark repeats, and the places they cover are counted once."""
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  (evaluates x once)
+
+    def candidates(h: Column) -> Column:
+        both = lambda x, y: F.xxhash64(x, y)
+        g = F.zip_with(F.zip_with(h, _shifted(h, 1), both), _shifted(h, 2), both)
+        g = F.slice(g, 1, F.greatest(F.size(h) - 2, F.lit(0)))
+        packed = F.transform(g, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long")))
+        return bound(F.sort_array(packed), lambda s: F.array_distinct(F.flatten(F.filter(
+            F.zip_with(s, _shifted(s, 1), lambda x, y: F.when(
+                F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0, F.array(x, y))),
+            lambda x: x.isNotNull()))))
+
+    def placed(x: Column) -> Column:
+        i = x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        return F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("g"), i.alias("i"))
 
     def covered(s: Column) -> Column:
         at = lambda x: [x["i"], x["i"] + 1, x["i"] + 2]
-        twice = F.zip_with(s, _shifted(s, 1), lambda a, b: F.when(
-            a["g"] == b["g"], F.array(*at(a), *at(b))))
+        twice = F.zip_with(s, _shifted(s, 1), lambda x, y: F.when(
+            x["g"] == y["g"], F.array(*at(x), *at(y))))
         return F.size(F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull()))))
-    # Bound once: the lambda's variable holds the sorted windows for all uses.
-    return F.transform(F.array(placed), covered)[0]
+    same = bound(F.transform(words, lambda w: F.xxhash64(w)), candidates)
+    return bound(F.sort_array(F.transform(same, placed)), covered)
 
 
 def with_statistics(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
