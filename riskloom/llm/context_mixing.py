@@ -109,7 +109,10 @@ def lowered(texts: pa.Array) -> list[bytes]:
 # ---- counts per block ----
 
 BLOCKED = "block long, size long, train boolean, doc_id long, text string"
-PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("kind", "k1", "k2", "block", "n")])
+#: Packed keys: one row for the keys of one bucket and block, or of one block and task. Windows
+#: have no second half.
+PAIRS = "kind long, bucket long, block long, k1 array<long>, k2 array<long>, n array<long>"
+BUCKETS_PER_PART = 8
 
 
 def blocked(docs: DataFrame) -> DataFrame:
@@ -161,27 +164,49 @@ class _Block:
         key, at = np.unique(np.concatenate([x for x, _ in self.windows]), return_inverse=True)
         return key, np.bincount(at, np.concatenate([c for _, c in self.windows])).astype(np.int64)
 
-    def rows(self, block: int):
+    def rows(self, block: int, buckets: int):
         key, count = self._merged()
         plain, at = np.unique(key >> 1, return_inverse=True)
         n = np.bincount(at, count * (key & 1)).astype(np.int64)
-        parts = [(0, plain, np.zeros(len(plain), np.int64), n)]
+        empty = np.empty(0, np.int64)
+        yield _packed(["kind", "bucket", "block", "k1", "k2", "n"], _bucket(plain, buckets),
+                      lambda x: [0, x, block], [plain, empty, n])
         if self.words:
             k, n = _summed(np.concatenate([x for x, _ in self.words]),
                            np.concatenate([c for _, c in self.words]))
-            parts.append((1, k[:, 0], k[:, 1], n))
-        for kind, k1, k2, n in parts:
-            for lo in range(0, len(n), 250_000):
-                s = slice(lo, lo + 250_000)
-                m = len(n[s])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, kind)), pa.array(k1[s]), pa.array(k2[s]),
-                     pa.array(np.full(m, block)), pa.array(n[s])], names=PAIRS.names)
+            yield _packed(["kind", "bucket", "block", "k1", "k2", "n"], _bucket(k[:, 0], buckets),
+                          lambda x: [1, x, block], [k[:, 0], k[:, 1], n])
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed(names: list[str], group: np.ndarray, plain, lists: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per value x of ``group``: the plain columns ``plain(x)`` and the members of
+    ``lists`` as list columns; an empty one gives empty lists."""
+    order = np.argsort(group, kind="stable")
+    values, lead = np.unique(group[order], return_index=True)
+    offsets = pa.array(np.append(lead, len(group)).astype(np.int32))
+    columns = [pa.array(list(c), pa.int64()) for c in zip(*map(plain, values.tolist()))]
+    for x in lists:
+        at = offsets if len(x) else pa.array(np.zeros(len(values) + 1, np.int32))
+        columns.append(pa.ListArray.from_arrays(at, pa.array(x[order] if len(x) else x)))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _unpacked(rows: pa.Table, kind: int, columns: list[str]) -> list[np.ndarray]:
+    """Flat list columns of one kind, and before them the row of each member."""
+    mine = rows.filter(pc.equal(rows.column("kind"), kind)).combine_chunks()
+    out = [pc.list_parent_indices(mine.column(columns[0])).to_numpy(), mine]
+    return out + [pc.list_flatten(mine.column(c)).to_numpy() for c in columns]
+
 
+def counted(rows: DataFrame, parts: int) -> DataFrame:
+    """Windows (kind 0) and words (kind 1) of each block, with their number of places in its
+    training documents, packed by block and hash bucket."""
+    buckets = BUCKETS_PER_PART * parts
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(kind, k1, k2, block, n): windows (kind 0) and words (kind 1) of each block, with their
-    number of places in its training documents."""
     def run(batches):
         now, mine = None, None
         for b in batches:
@@ -193,13 +218,13 @@ def counted(rows: DataFrame) -> DataFrame:
                     continue
                 if blocks[lo] != now:
                     if mine:
-                        yield from mine.rows(now)
+                        yield from mine.rows(now, buckets)
                     now, mine = int(blocks[lo]), _Block()
                 texts = lowered(b.column(2).slice(lo, hi - lo))
                 for x, y in slices(texts):
                     mine.add(texts[x:y], train[lo + x:lo + y].astype(np.int64))
         if mine:
-            yield from mine.rows(now)
+            yield from mine.rows(now, buckets)
     return rows.select("block", "train", "text").mapInArrow(run, PAIRS)
 
 
@@ -210,29 +235,31 @@ def summed(pairs: DataFrame, parts: int) -> DataFrame:
     """One row per key and ``LIST_BLOCKS`` of its blocks: the key's training places in the
     whole corpus and the blocks, written to shared storage."""
     def run(batches):
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not got:
-            return
-        kind, k1, k2, block, n = (np.concatenate(c) for c in zip(*got))
-        del got
-        order = np.lexsort((block, k2, k1, kind))
-        kind, k1, k2, block, n = (c[order] for c in (kind, k1, k2, block, n))
-        new = np.concatenate(([True], (kind[1:] != kind[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
-        lead = np.flatnonzero(new)
-        total = np.add.reduceat(n, lead)
-        owner = np.cumsum(new) - 1
-        nth = np.arange(len(n)) - lead[owner]
-        cut = np.flatnonzero(nth % LIST_BLOCKS == 0)
-        of = owner[cut]
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.append(cut, len(n)).astype(np.int32)), pa.array(block))
-        whole = pa.RecordBatch.from_arrays(
-            [pa.array(kind[cut]), pa.array(k1[cut]), pa.array(k2[cut]), pa.array(total[of]),
-             pa.array(nth[cut] // LIST_BLOCKS), lists],
-            names=["kind", "k1", "k2", "n", "part", "blocks"])
-        for lo in range(0, len(cut), 100_000):
-            yield whole.slice(lo, 100_000)
-    return handed_on(pairs.repartition(parts, "kind", "k1", "k2").mapInArrow(run, TABLE), "counts")
+        got = list(batches)
+        rows = pa.Table.from_batches(got) if got else None
+        for kind, halves in ((0, ["k1"]), (1, ["k1", "k2"])) if got else ():
+            at, mine, *columns = _unpacked(rows, kind, [*halves, "n"])
+            if not len(at):
+                continue
+            block, n = mine.column("block").to_numpy()[at], columns.pop()
+            order = np.lexsort((block, *columns[::-1]))
+            block, n, columns = block[order], n[order], [c[order] for c in columns]
+            new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+            lead = np.flatnonzero(new)
+            total = np.add.reduceat(n, lead)
+            owner = np.cumsum(new) - 1
+            nth = np.arange(len(n)) - lead[owner]
+            cut = np.flatnonzero(nth % LIST_BLOCKS == 0)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.append(cut, len(n)).astype(np.int32)), pa.array(block))
+            k2 = columns[-1][cut] if kind else np.zeros(len(cut), np.int64)
+            whole = pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(cut), kind)), pa.array(columns[0][cut]), pa.array(k2),
+                 pa.array(total[owner[cut]]), pa.array(nth[cut] // LIST_BLOCKS), lists],
+                names=["kind", "k1", "k2", "n", "part", "blocks"])
+            for lo in range(0, len(cut), 100_000):
+                yield whole.slice(lo, 100_000)
+    return handed_on(pairs.repartition(parts, "kind", "bucket").mapInArrow(run, TABLE), "counts")
 
 
 # ---- bit counts of contexts ----
@@ -421,19 +448,27 @@ def learn(table: DataFrame, rounds: int = ROUNDS) -> dict:
     shorts = model["shorts"]
 
     def summed_up(fn, shape):
-        """Sum over the tasks of an array that ``fn`` makes of a task's windows."""
+        """Sum over the tasks of an array that ``fn`` makes of a task's windows: one row per
+        task, summed in groups before the driver adds the groups' sums."""
+        groups = max(1, int(parts ** 0.5))
+
         def run(batches):
             got = _gathered(batches)
             if got:
                 key, n, _, _ = got
-                flat = fn(key, n, context_counts(key, n, shorts.value)).reshape(-1)
-                at = np.flatnonzero(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["i", "v"])
-        rows = (_dealt(table, parts).mapInArrow(run, "i long, v double")
-                .groupBy("i").agg(F.sum("v").alias("v")).toPandas())
-        out = np.zeros(int(np.prod(shape)))
-        out[rows["i"].to_numpy()] = rows["v"].to_numpy()
-        return out.reshape(shape)
+                task = TaskContext.get().partitionId()
+                value = fn(key, n, context_counts(key, n, shorts.value)).astype(float).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task % groups]), pa.array([task]), pa.array([value])],
+                    names=["g", "task", "v"])
+
+        def add(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("task")
+            total = sum(np.frombuffer(v) for v in rows.column("v").to_pylist())
+            return pa.table({"g": rows.column("g")[:1], "v": [total.tobytes()]})
+        sums = (_dealt(table, parts).mapInArrow(run, "g long, task long, v binary")
+                .groupBy("g").applyInArrow(add, "g long, v binary").orderBy("g").collect())
+        return sum(np.frombuffer(r.v) for r in sums).reshape(shape)
 
     for r in range(rounds):
         def walked(key, n, counts, weights=model["weights"], rate=RATE / (1 + r)):
@@ -451,36 +486,40 @@ def learn(table: DataFrame, rounds: int = ROUNDS) -> dict:
 
 # ---- scoring ----
 
-ENTRIES = "block long, kind long, k1 long, k2 long, value double"
+ENTRIES = "kind long, block long, k1 array<long>, k2 array<long>, value array<double>"
+
+
+def _entries(kind: int, rows: pa.Table, k1, k2, value):
+    """Entries of the blocks in the rows' lists, packed by block."""
+    blocks = rows.column("blocks").combine_chunks()
+    owner = pc.list_parent_indices(blocks).to_numpy(zero_copy_only=False)
+    block = blocks.flatten().to_numpy(zero_copy_only=False)
+    return _packed(["kind", "block", "k1", "k2", "value"], block, lambda x: [kind, x],
+                   [k1[owner], k2[owner] if kind else k2, value[owner]])
 
 
 def dictionaries(table: DataFrame, model: dict) -> DataFrame:
-    """(block, kind, k1, k2, value): the cost in bits of every window of a block and the
-    training count of every word."""
+    """The cost in bits of every window of a block and the training count of every word,
+    packed by block."""
     shorts, plain = model["shorts"], {k: v for k, v in model.items() if k != "shorts"}
     shared = table.sparkSession.sparkContext.broadcast(plain)
 
-    def run(batches):
+    def costs(batches):
         got = _gathered(batches)
-        if not got:
-            return
-        key, n, at, rows = got
-        bits = window_bits(key, context_counts(key, n, shorts.value), shared.value)[at]
-        blocks = rows.column(2).combine_chunks()
-        owner = pc.list_parent_indices(blocks).to_numpy(zero_copy_only=False)
-        block = blocks.flatten()
-        k1 = rows.column(0).to_numpy()
-        zero = np.zeros(1, np.int64)
-        for lo in range(0, len(owner), 250_000):
-            o = owner[lo:lo + 250_000]
-            z = pa.array(np.repeat(zero, len(o)))
-            yield pa.RecordBatch.from_arrays(
-                [block.slice(lo, len(o)), z, pa.array(k1[o]), z, pa.array(bits[o])],
-                names=["block", "kind", "k1", "k2", "value"])
-    costs = _dealt(table, model["parts"], "blocks").mapInArrow(run, ENTRIES)
-    counts = table.where("kind = 1").select(
-        F.explode("blocks").alias("block"), "kind", "k1", "k2", F.col("n").cast("double").alias("value"))
-    return costs.unionByName(counts)
+        if got:
+            key, n, at, rows = got
+            bits = window_bits(key, context_counts(key, n, shorts.value), shared.value)[at]
+            yield _entries(0, rows, rows.column("k1").to_numpy(), np.empty(0, np.int64), bits)
+
+    def counts(batches):
+        got = list(batches)
+        if got:
+            rows = pa.Table.from_batches(got)
+            yield _entries(1, rows, *(rows.column(c).to_numpy() for c in ("k1", "k2")),
+                           rows.column("n").to_numpy().astype(float))
+    counted_words = table.where("kind = 1").select("k1", "k2", "n", "blocks")
+    return (_dealt(table, model["parts"], "blocks").mapInArrow(costs, ENTRIES)
+            .unionByName(counted_words.mapInArrow(counts, ENTRIES)))
 
 
 SCORED = ("doc_id long, n_tokens long, n_known long, base_score double, score double, "
@@ -512,12 +551,11 @@ def scored(rows: DataFrame, entries: DataFrame, totals: dict) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import pandas as pd
-        kind = left.column("kind").to_numpy()
-        k1, k2, value = (left.column(c).to_numpy() for c in ("k1", "k2", "value"))
-        wins, position = np.unique(k1[kind == 0], return_index=True)
-        cost = value[kind == 0][position]
+        _, _, k1, value = _unpacked(left, 0, ["k1", "value"])
+        wins, position = np.unique(k1, return_index=True)
+        cost = value[position]
         place = pd.Index(wins)
-        word_value = _word_index(k1[kind == 1], k2[kind == 1], value[kind == 1])
+        word_value = _word_index(*_unpacked(left, 1, ["k1", "k2", "value"])[2:])
         texts = lowered(right.column("text").combine_chunks())
         parts = []
         for lo, hi in slices(texts):
@@ -544,7 +582,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     and its bits per byte (the end counts as a byte)."""
     rows = blocked(docs)
     of = rows.agg(F.sum("size").alias("bytes"), F.sum(F.col("train").cast("long")).alias("docs")).first()
-    table = summed(counted(rows), 1 + (of.bytes or 0) // TABLE_BYTES)
+    parts = 1 + (of.bytes or 0) // TABLE_BYTES
+    table = summed(counted(rows, parts), parts)
     model = learn(table, rounds)
     told = table.where("kind = 1 AND part = 0").agg(
         F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("kinds")).first()
