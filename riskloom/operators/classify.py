@@ -2,11 +2,10 @@
 probabilities, evaluation studies and batch scoring.
 
 A fitted model is one ``PipelineModel``: missing-value fill (SQL stage) -> category
-indexers -> assembler -> five binary GBTs (or one random forest) -> a combiner stage that
-turns their outputs into a normalised probability array ``p`` and a ``prediction``.
-Studies that need many fits (sweeps, random search, cross-validation, learning curves)
-default to the single multiclass random forest so their cost stays bounded; every study
-takes the estimator kind as a parameter.
+indexers -> assembler -> a multiclass booster (``boosting``), which gives a probability array
+``p`` and a ``prediction``. Five binary GBTs or one random forest, each with a combiner stage,
+are other kinds. Sweeps and the random search train all their boosters in one Spark job per
+grid; cross-validation, learning curves and the ablation take the kind as a parameter.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from riskloom.constants import CAT_FEATURES, RISK_LABELS
 from riskloom.functions.numeric import round_to
 from riskloom.functions.risk import class_label
-from riskloom.operators import metrics
+from riskloom.operators import boosting, metrics
 from riskloom.operators.clean import engineer_features, select_features
 from riskloom.operators.features import with_class_weight
 from riskloom.operators.util import parallel_map
@@ -112,11 +111,24 @@ def _prep_stages(num, cat):
     return [fill, *idx, asm]
 
 
+def _prepared(train: DataFrame, num, cat) -> PipelineModel:
+    return Pipeline(stages=_prep_stages(list(num), list(cat))).fit(train)
+
+
+def boost_params(params=None, **fixed) -> boosting.Boost:
+    return boosting.Boost(**{**(params or {}), **fixed})
+
+
 def fit_risk_classifier(train: DataFrame, num=CODED_NUM, cat=(), y: str = "target",
-                        weight: str | None = "weight", kind: str = "gbt_ovr", params=None,
-                        k: int = K, parallelism: int = 5) -> PipelineModel:
-    """Class-weighted risk classifier. 'gbt_ovr': k one-vs-rest GBTs (Spark's GBT is
-    binary) whose positive probabilities are normalised; 'rf': one multiclass forest."""
+                        weight: str | None = "weight", kind: str = "boost", params=None,
+                        k: int = K, parallelism: int = 5, key: str = "record_id") -> PipelineModel:
+    """Class-weighted risk classifier. 'boost': one softmax booster over all classes;
+    'gbt_ovr': k one-vs-rest GBTs (Spark's GBT is binary) whose positive probabilities are
+    normalised; 'rf': one multiclass forest."""
+    if kind == "boost":
+        prep = _prepared(train, num, cat)
+        fitted, = boosting.fit_many(prep.transform(train), [boost_params(params)], y, k, weight, key=key)
+        return PipelineModel([*prep.stages, boosting.model_of(fitted)])
     prep = Pipeline(stages=_prep_stages(list(num), list(cat))).fit(train)
     data = prep.transform(train).persist()
     stages = list(prep.stages)
@@ -202,85 +214,104 @@ def majority_predict(train: DataFrame, df: DataFrame, key: str = "record_id", y:
     return b.withColumn("p", F.array(*[(F.col("yhat") == c).cast("double") for c in range(K)]))
 
 
-def early_stop_curve(train: DataFrame, val: DataFrame, num=CODED_NUM, cat=(), cls: int = K - 1,
-                     y: str = "target", params=None, patience: int = 50, key: str = "record_id"):
-    """Binary GBT (class ``cls`` vs rest) fitted on ``train`` only; per-iteration
-    log-loss on train and on ``val``; the best validation iteration and the iteration where
-    ``patience`` rounds passed without improvement. ``val`` must not share rows with
-    ``train`` (checked: monitoring seen rows is the mistake this guards against)."""
+def _with_validation(train: DataFrame, val: DataFrame, key: str) -> DataFrame:
+    """Rows of both with ``fold`` 0 (train) and 1 (validation), which must not overlap."""
     if train.select(key).join(val.select(key), key, "left_semi").limit(1).count():
         raise ValueError("training and validation rows overlap")
-    prep = Pipeline(stages=_prep_stages(list(num), list(cat))).fit(train)
-    tr = prep.transform(train).withColumn("_lab", (F.col(y) == cls).cast("double")).persist()
-    va = prep.transform(val).withColumn("_lab", (F.col(y) == cls).cast("double"))
-    p = {**DEFAULT_GBT, **(params or {})}
-    m = GBTClassifier(featuresCol="features", labelCol="_lab", **p).fit(tr)
-    tr_loss = m.evaluateEachIteration(tr)  # the model's own (logistic) loss
-    va_loss = m.evaluateEachIteration(va)
-    tr.unpersist()
-    best = min(range(len(va_loss)), key=lambda i: (va_loss[i], i))
-    stop, run_best, since = len(va_loss) - 1, float("inf"), 0
-    for i, v in enumerate(va_loss):
-        if v < run_best:
-            run_best, since = v, 0
-        else:
-            since += 1
-            if since >= patience:
-                stop = i
-                break
-    return [(i + 1, float(tr_loss[i]), float(va_loss[i]), best + 1, stop + 1)
-            for i in range(len(va_loss))]
+    return train.withColumn("fold", F.lit(0)).unionByName(val.withColumn("fold", F.lit(1)))
+
+
+def early_stop_curve(train: DataFrame, val: DataFrame, num=CODED_NUM, cat=(), y: str = "target",
+                     params=None, patience: int = 50, key: str = "record_id", k: int = K):
+    """Multiclass booster fitted on ``train`` only; per round log-loss and error rate on
+    train and on ``val``. Training ends when ``patience`` rounds passed without a lower
+    validation loss. Rows (round, train loss, validation loss, train error, validation error,
+    best round, last round)."""
+    both = _prepared(train, num, cat).transform(_with_validation(train, val, key))
+    fitted, = boosting.fit_many(both, [boost_params(params, fold=1, patience=patience)], y, k,
+                                "weight", "fold", key)
+    if not fitted.curve:
+        return []
+    per = [(tl / max(tn, 1), vl / max(vn, 1), te / max(tn, 1), ve / max(vn, 1))
+           for tn, tl, te, vn, vl, ve in fitted.curve]
+    best = min(range(len(per)), key=lambda i: (per[i][1], i))
+    return [(i + 1, *per[i], best + 1, len(per)) for i in range(len(per))]
+
+
+def _left_out_metrics(spark, fitted: list, k: int = K) -> list[dict]:
+    """Label metrics and log-loss of each model on the rows it left out. The confusion counts
+    (k x k numbers a model) come with the models."""
+    cells = [(i, y, yhat, int(f.measured[6 + y * k + yhat])) for i, f in enumerate(fitted)
+             for y in range(k) for yhat in range(k)]
+    conf = spark.createDataFrame(cells, "model int, y int, yhat int, n long").where("n > 0")
+    got = {r.model: r.asDict() for r in metrics.label_metrics(conf, ["model"], k=k).collect()}
+    return [{**got.get(i, {}), "log_loss": float(f.measured[4] / max(f.measured[3], 1))}
+            for i, f in enumerate(fitted)]
 
 
 def regularization_sweep(train: DataFrame, val: DataFrame, grids: dict, num=CODED_NUM, cat=(),
-                         kind: str = "rf", base=None, parallelism: int = 4):
-    """One parameter at a time, each grid fixing the best value found before it;
-    macro F1, accuracy and log-loss on ``val`` for every value."""
+                         base=None, key: str = "record_id"):
+    """One parameter at a time (least gain, L2, L1), each grid fixing the best value found
+    before it; macro F1, accuracy, log-loss on ``val`` and the number of leaves of every value.
+    The values of a grid train in one job."""
+    both = _prepared(train, num, cat).transform(_with_validation(train, val, key)).persist()
     fixed, rows = dict(base or {}), []
-    for name, values in grids.items():
-        def run(v, name=name, fixed=dict(fixed)):
-            m = fit_risk_classifier(train, num, cat, kind=kind, params={**fixed, name: v})
-            ev = evaluate(predict(m, val)).first()
-            return (name, float(v), float(ev.f1_macro), float(ev.accuracy), float(ev.log_loss))
-        got = parallel_map(run, values, parallelism)  # values of one grid are independent
-        rows += got
-        fixed[name] = values[max(range(len(got)), key=lambda i: (got[i][2], -i))]
+    try:
+        for name, values in grids.items():
+            fitted = boosting.fit_many(both, [boost_params({**fixed, name: v}, fold=1) for v in values],
+                                       "target", K, "weight", "fold", key)
+            told = _left_out_metrics(both.sparkSession, fitted)
+            leaves = [int((f.trees.bin < 255).sum()) + f.trees.bin[:, :, 0].size for f in fitted]
+            rows += [(name, float(v), float(t["f1_macro"]), float(t["accuracy"]), t["log_loss"], n)
+                     for v, t, n in zip(values, told, leaves)]
+            fixed[name] = values[max(range(len(values)), key=lambda i: (told[i]["f1_macro"], -i))]
+    finally:
+        both.unpersist()
     return rows, fixed
 
 
-def random_search(train: DataFrame, space: dict, n: int = 40, folds: int = 3, num=CODED_NUM,
-                  cat=(), seed: int = 42, metric: str = "composite", parallelism: int = 8):
+#: Ranges of the reference's random search (fixed values).
+SEARCH_SPACE = {
+    "gamma": [0, 0.1, 0.5, 1, 2, 5],
+    "reg_lambda": [0.01, 0.1, 1, 5, 10, 50],
+    "reg_alpha": [0, 0.01, 0.1, 1, 5, 10],
+    "max_depth": [3, 5, 7, 9],
+    "learning_rate": [0.01, 0.05, 0.1, 0.2],
+    "n_estimators": [100, 200, 300],
+    "min_child_weight": [1, 3, 5, 10],
+    "subsample": [0.7, 0.8, 0.9, 1.0],
+    "colsample_bytree": [0.7, 0.8, 0.9, 1.0],
+}
+
+
+def random_search(train: DataFrame, space: dict | None = None, n: int = 40, folds: int = 3, num=CODED_NUM,
+                  cat=(), seed: int = 42, metric: str = "composite", key: str = "record_id"):
     """``n`` seeded random candidates from ``space`` (name -> list of values) scored by
     stratified ``folds``-fold cross-validation with the composite score; the best one is
-    refitted on all of ``train``. Returns (best model, [(candidate, mean score)])."""
-    from pyspark.ml.tuning import CrossValidator
+    refitted on all of ``train``. All candidates and folds train over the same bins, in one
+    job. Returns (best model, [(candidate, mean score, standard deviation)])."""
     from riskloom.operators.features import stratified_folds
     rng = random.Random(seed)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="target", weightCol="weight",
-                                probabilityCol="_prob", rawPredictionCol="_raw", seed=seed)
-    cands = []
-    for _ in range(n):
-        cands.append({rf.getParam(k): rng.choice(v) for k, v in space.items()})
-    data = stratified_folds(train, "target", folds, seed).withColumn(
-        "target", F.col("target").cast("double"))
-    # the feature preparation does not depend on the candidate: fit it once, persist the
-    # assembled vectors, and cross-validate only the forest
-    prep = Pipeline(stages=_prep_stages(list(num), list(cat))).fit(data)
-    widest = max((len(s.labels) + 1 for s in prep.stages if isinstance(s, StringIndexerModel)),
-                 default=0)
-    rf.setMaxBins(max(widest, DEFAULT_RF["maxBins"]))
-    prepared = prep.transform(data).select("features", "target", "weight", "fold").persist()
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=cands,
-                        evaluator=CompositeEvaluator(labelCol="target", metricName=metric),
-                        foldCol="fold", numFolds=folds, parallelism=parallelism, seed=seed)
-    try:
-        model = cv.fit(prepared)
-    finally:
-        prepared.unpersist()
-    table = [({p.name: v for p, v in c.items()}, float(s)) for c, s in zip(cands, model.avgMetrics)]
-    scorer = [model.bestModel, SQLTransformer(statement="SELECT * EXCEPT (_raw) FROM __THIS__"),
-              ProbabilityCombiner(inputCols=["_prob"], mode="multi", numClasses=K)]
-    return PipelineModel(list(prep.stages) + scorer), table
+    space = space or SEARCH_SPACE
+    cands = [{name: rng.choice(v) for name, v in space.items()} for _ in range(n)]
+    prep = _prepared(train, num, cat)
+    data = prep.transform(stratified_folds(train, "target", folds, seed, key))
+    # The longest fits start first, so that the last tasks are short.
+    def cost(c):
+        return -c.get("n_estimators", 0) * 2 ** (c.get("max_depth", 6) / 3)
+    jobs = sorted(((i, f) for i in range(n) for f in range(folds)), key=lambda j: cost(cands[j[0]]))
+    fitted = boosting.fit_many(data, [boost_params(cands[i], fold=f, seed=seed) for i, f in jobs],
+                               "target", K, "weight", "fold", key)
+    scores: dict[int, list] = {}
+    for (i, _), t in zip(jobs, _left_out_metrics(train.sparkSession, fitted)):
+        scores.setdefault(i, []).append(float(t.get(metric) or 0.0))
+    table = []
+    for i, c in enumerate(cands):
+        mean = sum(scores[i]) / folds
+        table.append((c, mean, (sum((x - mean) ** 2 for x in scores[i]) / folds) ** 0.5))
+    best = max(range(n), key=lambda i: (table[i][1], -i))
+    refit, = boosting.fit_many(data, [boost_params(cands[best], seed=seed)], "target", K, "weight", key=key)
+    return PipelineModel([*prep.stages, boosting.model_of(refit)]), table
 
 
 def two_stage(train: DataFrame, df: DataFrame, num=CODED_NUM, cat=(), params=None) -> DataFrame:
@@ -403,21 +434,10 @@ def ablation(train: DataFrame, test: DataFrame, feature_sets: dict, kind: str =
 
 
 def feature_importance(model: PipelineModel, names, top: int = 15):
-    """Gain importance (Spark's featureImportances, averaged over the one-vs-rest
-    models) and split counts ('weight', counted in the trees' split descriptions)."""
-    from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
-    tree_models = [s for s in model.stages
-                   if isinstance(s, (GBTClassificationModel, RandomForestClassificationModel))]
-    gain = [0.0] * len(names)
-    splits = [0] * len(names)
-    for tm in tree_models:
-        for i, v in enumerate(tm.featureImportances.toArray()):
-            gain[i] += float(v) / len(tree_models)
-        for t in tm.trees:
-            for m in re.finditer(r"If \(feature (\d+) ", t.toDebugString):
-                splits[int(m.group(1))] += 1
-    rows = sorted(zip(names, gain, splits), key=lambda r: (-r[1], r[0]))
-    return rows[:top]
+    """Rows (feature, gain, splits, cover) of a boosted model: the mean gain and the mean
+    hessian sum ('cover') of the feature's splits and their number ('weight')."""
+    booster = next(s for s in model.stages if isinstance(s, boosting.BoostedModel))
+    return boosting.importance(booster.unpacked()[0], list(names))[:top]
 
 
 def shapley_attribution(model: PipelineModel, sample: DataFrame, background: DataFrame,
