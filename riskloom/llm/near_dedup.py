@@ -14,14 +14,21 @@ the time by which all registers are filled, so a bag costs its size plus m log m
 its size times m.
 
 Search: equal texts collapse first. Documents that agree in all registers of a band share a
-bucket. Nobody emits all pairs of a bucket: each bucket verifies its members against one pivot,
-and components of the links found so far tell what is left. Since one minus the overlap is a
-metric, a member y that is not in the pivot's component can only be linked to a member x with
-|d(pivot, x) - d(pivot, y)| <= 1 - THRESHOLD; members out of reach of all such y leave, and the
-rest of the bucket goes to the next round under another pivot. When at most
-``PAIRS_PER_DOCUMENT`` pairs per document are left in all, they are verified as they are. So
-each round's pairs stay linear in the buckets' members, and no link between two members of a
-bucket is lost.
+bucket. Nobody emits all pairs of a bucket; two steps verify its members:
+
+1. Star rounds. Each bucket verifies its members against one pivot, the member with most company
+   in all its buckets, which links most of a family of copies at once. Components of the links
+   found so far are carried on, and only new links between them are joined. Since one minus the
+   overlap is a metric, a member y outside the first pivot's component can only be linked to a member x
+   with |d(pivot, x) - d(pivot, y)| <= 1 - THRESHOLD; members out of reach of all such y leave.
+   Rounds go on while each settles at least half of the open members, so they are few.
+2. Rare shingles. Members still open are often just below the threshold of many others. Two bags
+   that overlap by ``THRESHOLD`` share one of their rarest shingles (their prefixes, in one order
+   of all shingles), at places that leave room for the rest of the overlap. So only a document's
+   prefix is emitted, and pairs form where a rare shingle meets at such places. The order comes
+   from shingle counts in a table of ``ORDER_SLOTS`` slots; any order loses no link.
+
+Pairs of both steps are verified on whole texts. No link between two members of a bucket is lost.
 
 With ``BANDS`` bands of ``ROWS`` registers a pair at 0.8 shares no bucket with probability
 (1 - 0.8^5)^32, about 3 in a million.
@@ -36,7 +43,6 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,7 +57,8 @@ from riskloom.llm.subwords import mix
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-PAIRS_PER_DOCUMENT = 4
+#: Slots of the shingle counts that order prefixes, and documents read by one task there.
+ORDER_SLOTS, TEXTS_PER_TASK = 1 << 20, 20_000
 #: Rows of (row, label) or of bucket members for one task, and for a broadcast after counting
 #: (32 bytes a row at most).
 ROWS_PER_TASK, BROADCAST_ROWS = 100_000, 200_000
@@ -270,25 +277,119 @@ def _labels(rows: DataFrame, label: DataFrame, row: str, name: str) -> DataFrame
     return rows.join(_sized(known, label.count()), row, "left").withColumn(name, F.coalesce(name, row))
 
 
+def _merged(label: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels after the new links ``found``: components of the links between present labels."""
+    if label is None:
+        return components(found)
+    lifted = _labels(_labels(found.select("a", "b"), label, "a", "la"), label, "b", "lb")
+    new = components(lifted.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    rows = label.union(new.select("row", F.col("row").alias("label"))).groupBy("row").agg(
+        F.min("label").alias("label"))
+    out, _ = _packed(_labels(rows, new, "label", "to").select("row", F.col("to").alias("label")))
+    return out
+
+
+def prefix_tokens(texts: list, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, token, place, weight) of the tokens in each text's prefix that others may
+    have. A shingle's n-th occurrence is a token of its own, so bags are sets of tokens; they
+    are ordered by their slot's count in ``common``, then by hash."""
+    doc, h, weight = weighted_shingles(texts)
+    first = np.cumsum(weight) - weight
+    nth = np.arange(int(weight.sum())) - np.repeat(first, weight)
+    doc = np.repeat(doc, weight)
+    with np.errstate(over="ignore"):
+        token = mix(np.repeat(h, weight) + nth.astype(np.uint64) * _G)
+    count = common[(token & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)]
+    order = np.lexsort((token, count, doc))
+    doc, token, count = doc[order], token[order], count[order]
+    total = np.bincount(doc, minlength=len(texts))
+    place = np.arange(len(doc)) - (np.cumsum(total) - total)[doc]
+    w = total[doc]
+    keep = (place <= w - np.ceil(THRESHOLD * w - 1e-9)) & (count > 1)
+    return doc[keep], token[keep].view(np.int64), place[keep], w[keep]
+
+
+def shingle_counts(rows: DataFrame) -> np.ndarray:
+    """Tokens per slot over the texts of ``rows``: a table of fixed size."""
+    def run(batches):
+        total = np.zeros(ORDER_SLOTS, np.int64)
+        for b in batches:
+            doc, h, weight = weighted_shingles(b.column("text").to_pylist())
+            first = np.cumsum(weight) - weight
+            nth = np.arange(int(weight.sum())) - np.repeat(first, weight)
+            with np.errstate(over="ignore"):
+                token = mix(np.repeat(h, weight) + nth.astype(np.uint64) * _G)
+            total += np.bincount((token & np.uint64(ORDER_SLOTS - 1)).astype(np.int64),
+                                 minlength=ORDER_SLOTS)
+        # A token that one task saw once may be seen by another task, so all counts go out.
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+    got = (rows.select("text").mapInArrow(run, "slot long, n long")
+           .groupBy("slot").agg(F.sum("n").alias("n")).toPandas())
+    out = np.zeros(ORDER_SLOTS, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def rare_shingle_pairs(left: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b) pairs of rows of ``left`` (row, own, open) in different components, one of them
+    open, that can overlap by ``THRESHOLD``."""
+    spark = left.sparkSession
+    tune(spark)
+    rows, n = _packed(left)
+    rows = cut(known.join(_sized(rows, n), "row").coalesce(1 + n // TEXTS_PER_TASK))
+    common = spark.sparkContext.broadcast(shingle_counts(rows))
+
+    def run(batches):
+        for b in batches:
+            row, own, open_ = (b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "own", "open"))
+            doc, token, place, w = prefix_tokens(b.column("text").to_pylist(), common.value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token), pa.array(place), pa.array(w), pa.array(row[doc]),
+                 pa.array(own[doc]), pa.array(open_[doc])],
+                names=["token", "place", "w", "row", "own", "open"])
+    tokens = cut(rows.select("row", "own", "open", "text").mapInArrow(
+        run, "token long, place long, w long, row long, own long, open boolean"))
+
+    def needed(w, v):  # least common tokens of two bags of these weights
+        return F.ceil((w + v) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9)
+    # Tokens that meet no open document of another component, and places too late for the
+    # smallest bag that has the token, go before any pair is made.
+    told = (tokens.groupBy("token").agg(F.min("w").alias("least"), F.min("own").alias("lo"),
+                                        F.max("own").alias("hi"), F.max("open").alias("any"))
+            .where("lo <> hi AND any").select("token", "least"))
+    least = F.greatest(F.col("least"), F.ceil(F.col("w") * THRESHOLD - 1e-9))
+    some, _ = _packed(tokens.join(told, "token").where(
+        F.col("place") <= F.col("w") - needed(F.col("w"), least)).drop("least"))
+    x = some.where("open").select("token", *[F.col(c).alias(f"x_{c}") for c in ("place", "w", "row", "own")])
+    y = some.select("token", *[F.col(c).alias(f"y_{c}") for c in ("place", "w", "row", "own", "open")])
+    room = F.least(F.col("x_w") - F.col("x_place"), F.col("y_w") - F.col("y_place"))
+    return (x.join(y, (x["token"] == y["token"]) & (F.col("x_own") != F.col("y_own"))
+                   & ((F.col("x_row") < F.col("y_row")) | ~F.col("y_open"))
+                   & (F.least("x_w", "y_w") >= THRESHOLD * F.greatest("x_w", "y_w") - 1e-9)
+                   & (room >= needed(F.col("x_w"), F.col("y_w"))))
+            .select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b"))
+            .distinct())
+
+
 def find_links(reps: DataFrame, texts) -> DataFrame:
-    """(a, b, sim) links that connect every component, over the bucket members ``reps``
-    (row, weight, bands) with pairwise different texts. ``texts`` gives (row, text) for a frame
-    of rows."""
+    """(row, label) components of the links among the bucket members ``reps`` (row, weight,
+    bands) with pairwise different texts; rows without links are left out. ``texts`` gives (row,
+    text) for a frame of rows."""
     spark = reps.sparkSession
-    n_docs = reps.count()
     place = cut(reps.select(F.explode("bands").alias("bucket"), "row", "weight"))
     shared = place.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member, _ = _packed(place.join(shared, "bucket"))
     # Pivots are the members with most company in all their buckets: central to a family of
     # copies, so that one round links most of it.
     company = member.groupBy("row").agg(F.sum("n").alias("company"))
-    member, n_member = _packed(member.drop("n").join(company, "row")
-                               .withColumn("open", F.lit(True)))
+    member, n_member = _packed(member.drop("n").join(company, "row").withColumns(
+        {"open": F.lit(True), "main": F.lit(None).cast("long")}))
     if not n_member:
-        return spark.createDataFrame([], "a long, b long, sim double")
+        return spark.createDataFrame([], "row long, label long")
     known = handed_on(texts(member.select("row").distinct()), "candidate-texts")
     reach = 1 - THRESHOLD + 1e-9
-    links = []
+    label, before = None, None
     while True:
         head = (member.where("open").groupBy("bucket")
                 .agg(F.min(F.struct(-F.col("company"), F.col("row").alias("row"))).alias("top"))
@@ -296,43 +397,36 @@ def find_links(reps: DataFrame, texts) -> DataFrame:
         to_pivot = member.join(head, "bucket").where(F.col("row") != F.col("pivot"))
         pairs = to_pivot.select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct()
         seen, n_seen = _packed(similarities(pairs, known))
-        links.append(seen.where(F.col("sim") >= THRESHOLD))
-        label = components(reduce(DataFrame.union, links))
+        label = _merged(label, seen.where(F.col("sim") >= THRESHOLD))
         d = to_pivot.join(_sized(seen.select(
             F.col("a").alias("pivot"), F.col("b").alias("row"), (1 - F.col("sim")).alias("d")),
             n_seen), ["pivot", "row"])
-        d = _labels(_labels(d, label, "row", "own"), label, "pivot", "its")
-        d = d.withColumn("open", F.col("own") != F.col("its")).select(
-            "bucket", "row", "weight", "company", "own", "d", "open")
+        # Open are those outside the component of the bucket's first pivot.
+        d = d.withColumn("main", F.coalesce("main", "pivot"))
+        d = _labels(_labels(d, label, "row", "own"), label, "main", "its")
+        d = d.withColumn("open", F.col("open") & (F.col("own") != F.col("its"))).select(
+            "bucket", "row", "weight", "company", "own", "main", "d", "open")
         d, _ = _packed(d)
-        # Buckets with someone outside the pivot's component, and how near the pivot they are.
-        rest = (d.where("open").groupBy("bucket")
-                .agg(F.min("d").alias("nearest"), F.count(F.lit(1)).alias("n_open")))
+        # Buckets with open members, and how near the pivot they are.
+        rest = d.where("open").groupBy("bucket").agg(F.min("d").alias("nearest"))
         left = (d.join(rest, "bucket")
                 .where(F.col("open") | (F.col("d") >= F.col("nearest") - reach)))
         # A bucket is settled when what is left of it lies in one component.
-        several = (left.groupBy("bucket").agg(
-            F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("n"))
-            .where("lo <> hi").select("bucket", "n"))
+        several = (left.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
+                   .where("lo <> hi").select("bucket"))
         left, _ = _packed(left.join(several, "bucket"))
-        # Pairs that would be emitted: each open member with all others left in its bucket.
-        todo = (left.groupBy("bucket").agg((F.first("n") * F.first("n_open")).alias("p"))
-                .agg(F.sum("p")).first()[0]) or 0
-        if not todo:
-            return reduce(DataFrame.union, links)
-        if todo <= PAIRS_PER_DOCUMENT * n_docs:
+        rows = left.groupBy("row").agg(F.min("own").alias("own"), F.max("open").alias("open"))
+        n_open = rows.where("open").count()
+        if not n_open:
+            return label
+        if before is not None and 2 * n_open > before:
             break
-        member = left.select("bucket", "row", "weight", "company", "open")
-    x = left.where("open").select("bucket", F.col("row").alias("a"), F.col("own").alias("ca"),
-                                  F.col("d").alias("da"), F.col("weight").alias("wa"))
-    y = left.select("bucket", F.col("row").alias("b"), F.col("own").alias("cb"),
-                    F.col("d").alias("db"), F.col("weight").alias("wb"))
-    pairs = (x.join(y, "bucket")
-             .where((F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= reach)
-                    & (F.least("wa", "wb") >= (THRESHOLD - 1e-9) * F.greatest("wa", "wb")))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links.append(cut(similarities(pairs, known)).where(F.col("sim") >= THRESHOLD))
-    return reduce(DataFrame.union, links)
+        before = n_open
+        member = left.select("bucket", "row", "weight", "company", "open", "main")
+    pairs, n_pairs = _packed(rare_shingle_pairs(rows, known))
+    if not n_pairs:
+        return label
+    return _merged(label, cut(similarities(pairs, known)).where(F.col("sim") >= THRESHOLD))
 
 
 def classified(docs: DataFrame, keep: list[str], doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -349,7 +443,7 @@ def classified(docs: DataFrame, keep: list[str], doc_id: str, text: str) -> tupl
     def texts(wanted: DataFrame) -> DataFrame:
         return rows.select("row", F.col(text).alias("text")).join(wanted, "row", "left_semi")
 
-    label = components(find_links(reps, texts))
+    label = find_links(reps, texts)
     # Only classes of several texts have labels; the rest is settled by equal texts alone.
     named = _labels(groups, label, "rep", "label")
     heads = named.groupBy("label").agg(F.min("first").alias("head"))

@@ -192,13 +192,50 @@ def families(spark):
     return [(i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("allowance", [near_dedup.PAIRS_PER_DOCUMENT, 0.5])
-def test_classes_equal_all_pairs(spark, monkeypatch, allowance):
-    monkeypatch.setattr(near_dedup, "PAIRS_PER_DOCUMENT", allowance)
-    docs = families(spark)
+def star(n, seed):
+    """One large group of near copies of one text, most of them just below the threshold of each
+    other (overlaps of 0.5 to 0.9), with repeated words, and a second group of another length."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for size, copies in ((130, n), (90, n // 4)):
+        base = [f"s{k}" for k in rng.integers(0, 4000, size - 20)] + ["again", "and"] * 10
+        for _ in range(copies):
+            t = list(base)
+            for k in rng.choice(size, rng.integers(0, 7), replace=False):
+                t[k] = "edit%d" % rng.integers(0, 10 ** 6)
+            out.append(" ".join(t))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("docs", [families(None), star(260, 1) + [(10_000 + i, t) for i, t in star(40, 2)]],
+                         ids=["families", "star"])
+def test_classes_equal_all_pairs(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
-    assert got == brute_classes(docs)
+    want = brute_classes(docs)
+    assert got == want
+    assert len(set(want.values())) > 5
+
+
+def test_rare_shingles_lose_no_link():
+    """Every pair at the threshold meets at a rare shingle with room for the rest."""
+    docs = [t for _, t in star(120, 3)]
+    bags = [near_dedup.bag_of(t) for t in docs]
+    for common in (np.full(near_dedup.ORDER_SLOTS, 2), np.arange(near_dedup.ORDER_SLOTS) % 7 + 2):
+        doc, token, place, w = near_dedup.prefix_tokens(docs, common)
+        at = defaultdict(list)
+        for d, t, p, n in zip(doc.tolist(), token.tolist(), place.tolist(), w.tolist()):
+            at[t].append((d, p, n))
+        met = set()
+        for rows in at.values():
+            for i, (d, p, n) in enumerate(rows):
+                for e, q, m in rows[:i]:
+                    least = int(np.ceil((n + m) * 0.8 / 1.8 - 1e-9))
+                    if min(n - p, m - q) >= least:
+                        met.add((min(d, e), max(d, e)))
+        links = {(i, j) for j in range(len(bags)) for i in range(j)
+                 if near_dedup.overlap(bags[i], bags[j]) >= near_dedup.THRESHOLD}
+        assert links and links <= met
 
 
 def test_one_of_each_class_stays(spark):
