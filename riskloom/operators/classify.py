@@ -30,8 +30,8 @@ from riskloom.constants import CAT_FEATURES, RISK_LABELS
 from riskloom.functions.numeric import round_to
 from riskloom.functions.risk import class_label
 from riskloom.operators import boosting, metrics
-from riskloom.operators.clean import engineer_features, select_features
-from riskloom.operators.features import with_class_weight
+from riskloom.operators.clean import engineer_features
+from riskloom.operators.features import positive_weight, with_class_weight
 from riskloom.operators.util import parallel_map
 from riskloom.operators.windows import prior_year_mean
 
@@ -314,13 +314,22 @@ def random_search(train: DataFrame, space: dict | None = None, n: int = 40, fold
     return PipelineModel([*prep.stages, boosting.model_of(refit)]), table
 
 
-def two_stage(train: DataFrame, df: DataFrame, num=CODED_NUM, cat=(), params=None) -> DataFrame:
-    """Stage 1 = P(any loss) (binary GBT); stage 2 = severity 1..4 among losses
-    (forest). P0 = 1 - p, Pk = p * s_k; prediction = argmax."""
-    loss = fit_risk_classifier(train.withColumn("_any", (F.col("target") > 0).cast("int")),
-                               num, cat, y="_any", kind="gbt_ovr", k=2, params=params)
-    sev_train = train.filter(F.col("target") > 0).withColumn("_sev", F.col("target") - 1)
-    sev = fit_risk_classifier(sev_train, num, cat, y="_sev", kind="rf", weight=None, k=4)
+def two_stage(train: DataFrame, df: DataFrame, num=CODED_NUM, cat=(), params=None,
+              sev_params=None) -> DataFrame:
+    """Stage 1 = P(any loss), positives weighted by negatives / positives; stage 2 =
+    severity 1..4 among losses, weighted by its own classes. P0 = 1 - p, Pk = p * s_k;
+    prediction = argmax."""
+    any_loss = F.col("target") > 0
+    share = positive_weight(train, any_loss).first()
+    weight = float(share.weight or 1.0) if share else 1.0
+    loss = fit_risk_classifier(
+        train.withColumn("_any", any_loss.cast("int"))
+        .withColumn("_w", F.when(any_loss, F.lit(weight)).otherwise(1.0)),
+        num, cat, y="_any", weight="_w", k=2, params=params)
+    sev_train = with_class_weight(
+        train.filter(any_loss).withColumn("_sev", F.col("target") - 1), "_sev", "_w")
+    sev = fit_risk_classifier(sev_train, num, cat, y="_sev", weight="_w", k=4,
+                              params=params if sev_params is None else sev_params)
     a = loss.transform(df).select("record_id", "target", F.col("p")[1].alias("p_loss"))
     b = sev.transform(df).select("record_id", F.col("p").alias("s"))
     return combine_two_stage(a.join(b, "record_id"))
@@ -355,8 +364,9 @@ def isotonic_calibration(cal: DataFrame, scored: DataFrame, k: int = K):
 
 def cross_validate(df: DataFrame, folds: int = 5, num=CODED_NUM, cat=(), kind: str = "rf",
                    seed: int = 42, params=None, parallelism: int = 5):
-    """Stratified folds; per fold accuracy, macro F1, balanced accuracy and quadratic
-    kappa on train and test. Returns rows (fold, split, metrics...)."""
+    """Stratified folds; per fold accuracy, macro F1, macro one-vs-rest ROC AUC,
+    log-loss, balanced accuracy and quadratic kappa on train and test. Returns rows (fold,
+    split, metrics...)."""
     from riskloom.operators.features import stratified_folds
     data = stratified_folds(df, "target", folds, seed).persist()
 
@@ -365,14 +375,21 @@ def cross_validate(df: DataFrame, folds: int = 5, num=CODED_NUM, cat=(), kind: s
         m = fit_risk_classifier(tr, num, cat, kind=kind, params=params)
         out = []
         for split, part in (("train", tr), ("test", te)):
-            e = evaluate(predict(m, part)).first()
-            out.append((f, split, float(e.accuracy), float(e.f1_macro), float(e.balanced_accuracy),
-                        float(e.kappa_quadratic)))
+            scored = predict(m, part).persist()
+            try:
+                e = evaluate(scored).first()
+                auc = metrics.roc_auc_summary(scored).first().auc_macro
+            finally:
+                scored.unpersist()
+            out.append((f, split, float(e.accuracy), float(e.f1_macro),
+                        None if auc is None else float(auc), float(e.log_loss),
+                        float(e.balanced_accuracy), float(e.kappa_quadratic)))
         return out
 
-    rows = [r for fold_rows in parallel_map(run, range(folds), parallelism) for r in fold_rows]
-    data.unpersist()
-    return rows
+    try:
+        return [r for fold_rows in parallel_map(run, range(folds), parallelism) for r in fold_rows]
+    finally:
+        data.unpersist()
 
 
 def learning_curve(df: DataFrame, fractions=(0.1, 0.25, 0.5, 0.75, 1.0), folds: int = 3,
@@ -519,8 +536,3 @@ def score_batch(model: PipelineModel, requests: DataFrame, key: str = "record_id
               "probabilidades": probs,
               "confianza": round_to(F.greatest(*[F.col("p")[i] for i in range(K)]), 3)}
     return out.select(key, *[F.when(F.col("ok"), c).alias(n) for n, c in scores.items()], "reason")
-
-
-def native_inputs(df: DataFrame) -> DataFrame:
-    """B6-guarded native-category inputs for the scoring model."""
-    return select_features(df, NATIVE_CAT + ["Sembrada", "Precio"], key="record_id")

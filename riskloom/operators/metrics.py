@@ -209,14 +209,20 @@ def roc_auc_summary(scored: DataFrame) -> DataFrame:
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """Per class sum over distinct thresholds of (R_n - R_(n-1)) P_n, and the macro
-    mean over classes that have positives."""
+    """Per class sum over distinct thresholds of (R_n - R_(n-1)) P_n, for classes that
+    have positives."""
     pts = score_points(scored).filter(F.col("P") > 0)
     ap = pts.groupBy("k").agg(F.sum((F.col("pos") / F.col("P")) * (F.col("cum_pos") / F.col("cum_cnt")))
                               .alias("ap"))
     return ap
 
 
+def average_precision_macro(scored: DataFrame) -> DataFrame:
+    """Mean of the classes' average precision over those that have positives (one row)."""
+    return average_precision(scored).agg(F.avg("ap").alias("ap_macro"),
+                                         F.count(F.lit(1)).alias("classes"))
+
+
 def roc_pr_points(scored: DataFrame) -> DataFrame:
     """Every distinct threshold of every class with a positive: fpr, tpr, precision,
     recall (all points kept)."""

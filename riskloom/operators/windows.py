@@ -80,6 +80,7 @@ def average_rank(df: DataFrame, part_cols, value_col: str, rank_col: str = "avg_
 def prior_year_mean(df: DataFrame, keys, value: str = "proporcion_siniestro",
                     year: str = "Anio", out: str = "hist_mean") -> DataFrame:
     """Mean of ``value`` over the group's rows in strictly earlier years; 0 when none.
+    Rows whose key is NULL are a group like any other, as in ``prior_row_mean``.
 
     Rows are first reduced to (group, year) sums -- at most one row per year per group --
     so the window only ever sees those few rows, even for a hot group."""
@@ -89,7 +90,9 @@ def prior_year_mean(df: DataFrame, keys, value: str = "proporcion_siniestro",
     hist = per_year.select(*keys, year,
                            F.try_divide(F.sum("_s").over(before), F.sum("_n").over(before))
                            .alias("_m"))
-    return (df.join(hist, [*keys, year], "left")
+    names = {c: f"_key_{i}" for i, c in enumerate([*keys, year])}
+    same = [df[c].eqNullSafe(F.col(name)) for c, name in names.items()]
+    return (df.join(hist.withColumnsRenamed(names), same, "left").drop(*names.values())
             .withColumn(out, F.coalesce(F.col("_m"), F.lit(0.0))).drop("_m"))
 
 

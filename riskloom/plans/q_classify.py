@@ -81,6 +81,7 @@ def q_cross_validate(spark, sf):
     tr, va, _ = splits(spark, sf)
     rows = classify.cross_validate(tr.unionByName(va), folds=5)
     return spark.createDataFrame(rows, "fold int, split string, accuracy double, f1_macro double, "
+                                       "roc_auc double, log_loss double, "
                                        "balanced_accuracy double, kappa_quadratic double")
 
 
@@ -188,8 +189,8 @@ def q_calibration_metrics(spark, sf):
 
 @register("cross_validate_summary", None)
 def q_cross_validate_summary(spark, sf):
-    """Mean and standard deviation of the four fold metrics, train and test."""
+    """Mean and standard deviation of the fold metrics, train and test."""
     folds = q_cross_validate(spark, sf)
-    metrics_ = ["accuracy", "f1_macro", "balanced_accuracy", "kappa_quadratic"]
+    metrics_ = ["accuracy", "f1_macro", "roc_auc", "log_loss", "balanced_accuracy", "kappa_quadratic"]
     return folds.groupBy("split").agg(*[a for c in metrics_ for a in (
         F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])

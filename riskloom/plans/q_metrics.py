@@ -177,6 +177,14 @@ def q_average_precision(spark, sf):
     return metrics.average_precision(sc(spark, sf))
 
 
+@register("average_precision_macro", final(with_base(
+    "SELECT AVG(ap) AS ap_macro, COUNT(*) AS classes FROM (SELECT k, SUM((pos / CAST(P AS DOUBLE)) "
+    "* (cum_pos / CAST(cum_cnt AS DOUBLE))) AS ap FROM pts WHERE P > 0 GROUP BY k)", POINTS),
+    ["ap_macro"], ["classes"]))
+def q_average_precision_macro(spark, sf):
+    return metrics.average_precision_macro(sc(spark, sf))
+
+
 @register("roc_pr_points", final(with_base("""
 SELECT k, s AS threshold, (cum_cnt - cum_pos) / CAST(Nn AS DOUBLE) AS fpr, cum_pos / CAST(P AS DOUBLE) AS tpr,
        cum_pos / CAST(cum_cnt AS DOUBLE) AS precision, cum_pos / CAST(P AS DOUBLE) AS recall

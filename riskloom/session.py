@@ -42,9 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names it; it is only read here (it is a core
-    setting and cannot be changed at run time). When it is unset (local tests) the
-    context's checkpoint folder is used, or a private scratch folder is registered with
-    ``SparkContext.setCheckpointDir``."""
+    setting and cannot be changed at run time), and without it and without a folder set on
+    the context this is an error: no folder of one machine is shared. Only a local master,
+    whose driver is its sole executor, gets a scratch folder when none is set."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -52,5 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return current
     if sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-ckpt-"))
     return sc.getCheckpointDir()

@@ -22,7 +22,7 @@ def data(spark):
 
 @pytest.fixture(scope="module")
 def model(data):
-    return classify.fit_risk_classifier(data[0], params={"maxIter": 10})
+    return classify.fit_risk_classifier(data[0], params={"n_estimators": 10})
 
 
 def test_beats_majority_baseline_and_probabilities(spark, data, model):
@@ -155,40 +155,94 @@ def test_two_stage_combination(spark):
 def test_early_stop_requires_disjoint_sets(data):
     tr, va, _ = data
     with pytest.raises(ValueError):
-        classify.early_stop_curve(tr, tr, params={"maxIter": 2})
-    rows = classify.early_stop_curve(tr, va, params={"maxIter": 6}, patience=2)
-    assert len(rows) == 6 and 1 <= rows[0][3] <= 6
+        classify.early_stop_curve(tr, tr, params={"n_estimators": 2})
+    rows = classify.early_stop_curve(tr, va, params={"n_estimators": 60}, patience=3)
+    losses = [r[2] for r in rows]
+    assert rows[0][5] == losses.index(min(losses)) + 1 and rows[0][6] == len(rows)
+    assert len(rows) == 60 or len(rows) == rows[0][5] + 3
+    assert all(0 <= r[3] <= 1 and 0 <= r[4] <= 1 for r in rows)
 
 
 def test_registered_fits_have_the_reference_budget(spark, monkeypatch):
+    from riskloom.operators import boosting
     from riskloom.plans import q_classify
-    assert classify.DEFAULT_GBT["maxIter"] >= 300 and classify.DEFAULT_RF["numTrees"] >= 300
+    b = boosting.Boost()
+    assert (b.n_estimators, b.max_depth, b.learning_rate, b.reg_lambda) == (300, 6, 0.3, 1.0)
+    assert classify.DEFAULT_RF["numTrees"] >= 300
+    assert classify.SEARCH_SPACE["n_estimators"] == [100, 200, 300]
     seen = {}
 
-    def curve(train, val, cls=None, params=None, patience=None):
-        seen.setdefault("curves", []).append((cls, params, patience))
-        return [(1, 0.5, 0.5, 1, 1)]
+    def curve(train, val, patience=None):
+        seen["patience"] = patience
+        return [(1, 0.5, 0.5, 0.5, 0.5, 1, 1)]
 
-    def search(train, space, n=None, folds=None):
-        seen["search"] = (space["numTrees"], n, folds)
-        return None, [({"numTrees": 100}, 0.5)]
+    def search(train, n=None, folds=None):
+        seen["search"] = (n, folds)
+        return None, [({"gamma": 0}, 0.5, 0.1)]
 
-    monkeypatch.setattr(classify, "early_stop_curve", curve)
-    monkeypatch.setattr(classify, "random_search", search)
-    assert sorted(r.cls for r in q_classify.q_early_stop(spark, SF_SMALL).collect()) == list(range(5))
-    assert seen["curves"] == [(c, None, 50) for c in range(5)]
+    def sweep(train, val, grids, base=None):
+        seen["sweep"] = ({k: len(v) for k, v in grids.items()}, base)
+        return [("gamma", 0.0, 0.1, 0.2, 0.3, 4)], {}
+
+    for name, f in (("early_stop_curve", curve), ("random_search", search), ("regularization_sweep", sweep)):
+        monkeypatch.setattr(classify, name, f)
+    assert q_classify.q_early_stop(spark, SF_SMALL).count() == 1
     assert q_classify.q_random_search(spark, SF_SMALL).first().candidates == 40
-    assert seen["search"] == ([100, 200, 300], 40, 3)
+    assert q_classify.q_reg_sweep(spark, SF_SMALL).count() == 1
+    assert seen == {"patience": 50, "search": (40, 3),
+                    "sweep": ({"gamma": 7, "reg_lambda": 8, "reg_alpha": 8}, {"n_estimators": 200})}
 
 
 def test_feature_importance_and_evaluator(spark, data, model):
     rows = classify.feature_importance(model, classify.CODED_NUM, top=15)
-    assert math.isclose(sum(r[1] for r in rows), 1.0, abs_tol=1e-6) and all(r[2] >= 0 for r in rows)
+    assert sum(r[2] for r in rows) > 0 and all(r[1] >= 0 and r[3] >= 0 for r in rows)
     s = classify.predict(model, data[2]).withColumnRenamed("yhat", "prediction").withColumnRenamed("y", "target")
     score = classify.CompositeEvaluator().evaluate(s)
     assert -1.0 <= score <= 1.0
 
 
+def test_sweep_fixes_the_best_value(spark, data):
+    tr, va, _ = data
+    rows, fixed = classify.regularization_sweep(
+        tr, va, {"gamma": [0, 1e9], "reg_lambda": [1, 10]}, base={"n_estimators": 3})
+    assert [r[0] for r in rows] == ["gamma"] * 2 + ["reg_lambda"] * 2
+    assert rows[0][5] > rows[1][5] == 3 * classify.K  # no gain is that large: one leaf a tree
+    assert fixed["gamma"] == max(rows[:2], key=lambda r: r[2])[1] and set(fixed) == {
+        "n_estimators", "gamma", "reg_lambda"}
+
+
+def test_two_stage_probabilities(data):
+    tr, _, te = data
+    s = classify.two_stage(tr, te, params={"n_estimators": 5})
+    assert s.count() == te.count()
+    assert s.where("abs(aggregate(p, 0D, (a, x) -> a + x) - 1) > 1e-9").count() == 0
+
+
+def test_restarted_stream_answers_each_request_once(spark, data, workdir):
+    import glob
+    import os
+    from riskloom.streaming import scoring
+    tr, _, te = data
+    m = classify.fit_risk_classifier(tr, classify.NATIVE_NUM, classify.NATIVE_CAT, kind="rf",
+                                     params={"numTrees": 2})
+    src, sink, place = (os.path.join(workdir, x) for x in ("in", "out", "place"))
+    req = te.select(*[f.name for f in scoring.REQUEST_SCHEMA.fields]).limit(60).repartition(3)
+    req.write.parquet(src)
+    run = lambda: scoring.score_stream(spark, m, src, sink, place, files_per_batch=1).awaitTermination()
+    run()
+    done = sorted(tuple(r) for r in scoring.scored_requests(spark, sink).collect())
+    assert len(done) == 60
+    # The last batch was written, but the stop came before it was committed.
+    last = max(glob.glob(f"{place}/commits/[0-9]*"), key=lambda x: int(os.path.basename(x)))
+    os.remove(last)
+    for crc in glob.glob(f"{place}/commits/.{os.path.basename(last)}.crc"):
+        os.remove(crc)
+    run()
+    assert sorted(tuple(r) for r in scoring.scored_requests(spark, sink).collect()) == done
+    with pytest.raises(ValueError):
+        scoring.score_stream(spark, m, src, sink, "")
+
+
 def test_native_categories_beyond_the_default_bins(spark):
     rows = [(f"crop {i % 454}", float(i % 7), i % 2, 1.0) for i in range(2000)]
     df = spark.createDataFrame(rows, "crop string, area double, target int, weight double")
@@ -197,7 +251,7 @@ def test_native_categories_beyond_the_default_bins(spark):
 
 
 def test_search_returns_a_model_that_scores(spark, data):
-    m, table = classify.random_search(data[0], {"numTrees": [2, 3], "maxDepth": [2, 3]}, n=2, folds=2)
+    m, table = classify.random_search(data[0], {"n_estimators": [2, 3], "max_depth": [2, 3]}, n=2, folds=2)
     assert len(table) == 2
     s = classify.predict(m, data[2])
     assert s.where("abs(aggregate(p, 0D, (a, x) -> a + x) - 1) > 1e-9").count() == 0

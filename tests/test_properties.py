@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskloom.operators import features, metrics, windows
-from riskloom.operators.util import key_hash
+from riskloom.operators.util import HASH_M, key_hash
 
 SETTINGS = settings(max_examples=12, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -182,7 +182,7 @@ def test_key_hash_is_deterministic_and_spread(spark):
     df = spark.range(1000).select(key_hash(F.col("id"), 42).alias("h"))
     hs = [r.h for r in df.collect()]
     assert len(set(hs)) == 1000 and min(hs) >= 0
-    assert 0.35 < sum(1 for h in hs if h < 2 ** 30) / 1000 < 0.65
+    assert 0.35 < sum(1 for h in hs if h < HASH_M // 2) / 1000 < 0.65
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
