@@ -280,7 +280,9 @@ def reachable(candidates: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """All records of the archives under ``path``: file, q (offset in the uncompressed file)
     and the columns of RECORD; with ``payload`` False the payload column stays null, though
-    payload_bytes and payload_digest still come from the whole payload."""
+    payload_bytes and payload_digest still come from the whole payload. In a cut archive the
+    last record is read if its block is whole (its end mark may be missing); a record whose
+    header or block is cut is left out."""
     found = handed_on(pieces(spark, path, payload), "warc-pieces")
     every = placed(found)
     # The piece before the first magic of a file holds nothing.
@@ -289,9 +291,11 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     on_chain = every.join(chain, ["file", "q"])
     single = on_chain.where("record is not null").select("file", "q", "record.*")
     # Records that go on in later pieces: all pieces up to the next record, put together.
-    long = on_chain.where("record is null").select("file", F.col("q").alias("owner"), "succ")
+    # A header that is cut names no end; such a piece is no record.
+    long = (on_chain.where("record is null AND succ is not null")
+            .select("file", F.col("q").alias("owner"), "succ"))
     parts = (every.where("raw is not null and q >= 0").select("file", "q", "raw")
-             .join(_owners(candidates, chain), ["file", "q"])
+             .join(_owners(candidates, chain, long), ["file", "q"])
              .join(long, ["file", "owner"])
              .groupBy("file", "owner", "succ")
              .agg(F.array_sort(F.collect_list(F.struct("q", "raw"))).alias("parts")))
@@ -314,12 +318,12 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return single.unionByName(parts.mapInArrow(assemble, schema).select(*names))
 
 
-def _owners(candidates: DataFrame, chain: DataFrame) -> DataFrame:
+def _owners(candidates: DataFrame, chain: DataFrame, long: DataFrame) -> DataFrame:
     """(file, q, owner): the record on the chain that each piece belongs to. Runs over offsets
-    only, and only for files that have candidates off the chain."""
+    only, and only for files that have candidates off the chain or records in ``long``."""
     mark = chain.withColumn("on", F.lit(True))
     marked = candidates.select("file", "q").join(mark, ["file", "q"], "left")
-    odd = marked.where("on is null").select("file").distinct()
+    odd = marked.where("on is null").select("file").union(long.select("file")).distinct()
     w = Window.partitionBy("file").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
     return (marked.join(odd, "file", "left_semi")
             .withColumn("owner", F.last(F.when(F.col("on"), F.col("q")), ignorenulls=True).over(w))

@@ -138,6 +138,33 @@ def test_empty_and_truncated_archives(spark, workdir):
     assert warc.broken_archives(spark, f"{workdir}/cut").count() == 1
 
 
+@pytest.mark.parametrize("inner", [False, True])
+def test_last_record_cut_anywhere(spark, workdir, inner):
+    """The last record is read exactly if its block is whole, whether or not payloads of the
+    file hold magic lines."""
+    import glob
+    import os
+    trick = "WARC/1.1\r\nWARC-Type: response\r\n" if inner else "plain"
+    df = spark.createDataFrame([(1, "http://a/", f"<p>{trick} one</p>"), (2, "http://b/", f"<b>{trick} two</b>")],
+                               "page_id long, url string, html string")
+    warc.write_warc(df.coalesce(1), f"{workdir}/all", compression="none")
+    whole = b"".join(open(p, "rb").read() for p in sorted(glob.glob(f"{workdir}/all/part-*")))
+    os.mkdir(f"{workdir}/cut")
+    from riskloom.llm.warc import END, MAGIC
+    full = {r.q: r for r in warc.read_warc(spark, f"{workdir}/all").collect()}
+    last = max(full)
+    assert len(full) >= 2 and whole.startswith(MAGIC, last)
+    size = len(whole)
+    cuts = sorted({*range(last, last + 30), *range(last, size, 9), *range(size - 20, size + 1)})
+    for n in cuts:
+        with open(f"{workdir}/cut/{n:06d}.warc", "wb") as f:
+            f.write(whole[:n])
+    got = Counter(os.path.basename(r.file) for r in warc.read_warc(spark, f"{workdir}/cut").collect())
+    for n in cuts:
+        want = len(full) - (n < size - len(END))
+        assert got[f"{n:06d}.warc"] == want, n
+
+
 # ---- near-duplicates ----
 
 def brute_classes(docs):
