@@ -121,33 +121,36 @@ def packed(df: DataFrame, cuts, y: str, weight: str | None, fold: str | None, ke
 @dataclass
 class Trees:
     """Complete trees, one per round and class: inner nodes in heap order (feature and bin; a
-    bin beyond that goes right; 255 sends all left), leaves from left to right."""
+    bin beyond that goes right; 255 sends all left), their gain, cover (hessian sum) and the
+    share of the cover that goes left; leaves from left to right."""
 
     feature: np.ndarray
     bin: np.ndarray
     gain: np.ndarray
     cover: np.ndarray
+    share: np.ndarray
     leaf: np.ndarray
 
+    def arrays(self) -> tuple:
+        return self.feature, self.bin, self.gain, self.cover, self.share, self.leaf
+
     @staticmethod
     def empty(k: int, depth: int) -> "Trees":
         inner = (1, k, (1 << depth) - 1)
         return Trees(np.zeros(inner, np.uint8), np.full(inner, 255, np.uint8), np.zeros(inner),
-                     np.zeros(inner), np.zeros((1, k, 1 << depth)))
+                     np.zeros(inner), np.ones(inner), np.zeros((1, k, 1 << depth)))
 
     @staticmethod
     def joined(parts: list["Trees"], k: int, depth: int) -> "Trees":
         parts = parts or [Trees.empty(k, depth)]  # one tree that says nothing
-        return Trees(*(np.concatenate(c) for c in zip(*(
-            (t.feature, t.bin, t.gain, t.cover, t.leaf) for t in parts))))
+        return Trees(*(np.concatenate(c) for c in zip(*(t.arrays() for t in parts))))
 
     def first(self, rounds: int) -> "Trees":
-        return Trees(*(a[:rounds] for a in (self.feature, self.bin, self.gain, self.cover, self.leaf)))
+        return Trees(*(a[:rounds] for a in self.arrays()))
 
     def dump(self) -> str:
-        arrays = (self.feature, self.bin, self.gain, self.cover, self.leaf)
-        raw = b"".join(a.tobytes() for a in arrays)
-        return json.dumps([[(str(a.dtype), a.shape) for a in arrays],
+        raw = b"".join(a.tobytes() for a in self.arrays())
+        return json.dumps([[(str(a.dtype), a.shape) for a in self.arrays()],
                            base64.b64encode(zlib.compress(raw)).decode()])
 
     @staticmethod
@@ -356,8 +359,8 @@ def shrunk(g: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def best_splits(hist: np.ndarray, offsets: np.ndarray, use: np.ndarray, p: Boost):
-    """(gain, feature, bin, sums) of each node's best split, gain -inf where there is none; ties
-    go to the first feature and bin. ``hist`` is (nodes, bins, 2), ``use`` (nodes, features) the
+    """(gain, feature, bin, sums, left hessian) of each node's best split, gain -inf where there
+    is none; ties go to the first feature and bin. ``hist`` is (nodes, bins, 2), ``use`` (nodes, features) the
     features a node may take."""
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     left = np.cumsum(hist, axis=1)
@@ -371,7 +374,8 @@ def best_splits(hist: np.ndarray, offsets: np.ndarray, use: np.ndarray, p: Boost
     gain = np.where(ok, score(left) + score(rest) - score(total)[:, None], -np.inf)
     at = gain.argmax(axis=1)
     feature = of[at]
-    return gain[np.arange(len(hist)), at], feature, at - offsets[feature], total
+    node = np.arange(len(hist))
+    return gain[node, at], feature, at - offsets[feature], total, left[node, at, 1]
 
 
 def columns_of(p: Boost, r: int, k: int, width: int) -> np.ndarray:
@@ -396,7 +400,7 @@ def grow(rows, r: int, k: int, offsets: np.ndarray, p: Boost) -> Trees:
     hist = rows.histogram(slot)
     for level in range(p.max_depth + 1):
         width = 1 << level
-        gain, feature, at_bin, total = best_splits(hist, offsets, use[open_[:, 0]], p)
+        gain, feature, at_bin, total, left = best_splits(hist, offsets, use[open_[:, 0]], p)
         go = gain > max(p.gamma, 1e-9) if level < p.max_depth else np.zeros(len(open_), bool)
         value = -p.learning_rate * shrunk(total[:, 0], p.reg_alpha) / (total[:, 1] + p.reg_lambda + 1e-12)
         c, node = open_.T
@@ -410,6 +414,7 @@ def grow(rows, r: int, k: int, offsets: np.ndarray, p: Boost) -> Trees:
         heap = width - 1 + node
         tree.feature[0][c, heap], tree.bin[0][c, heap] = feature[go], at_bin[go]
         tree.gain[0][c, heap], tree.cover[0][c, heap] = gain[go], total[go, 1]
+        tree.share[0][c, heap] = left[go] / total[go, 1]
         rows.split(f_map, b_map)
         n = rows.counts(2 * width)
         small = 2 * node + (n[c, 2 * node] > n[c, 2 * node + 1])

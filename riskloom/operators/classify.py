@@ -460,7 +460,8 @@ def feature_importance(model: PipelineModel, names, top: int = 15):
 def shapley_attribution(model: PipelineModel, sample: DataFrame, background: DataFrame,
                         features, n_perm: int = 8, seed: int = 42, key: str = "record_id",
                         k: int = K) -> DataFrame:
-    """J18 (model-agnostic permutation Shapley values, re-aimed from tree-exact SHAP).
+    """J18 for any model (permutation Shapley values of the probabilities; exact values of a
+    booster come from ``attribution``).
 
     For each sampled row x and each of ``n_perm`` seeded feature orders, a background row z
     is drawn (by hash, an equi-join, no cross product); the chain z -> x switches one

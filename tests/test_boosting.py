@@ -166,3 +166,51 @@ def test_search_refits_the_best(spark):
     assert abs(sum(model.transform(t.limit(1)).first().p) - 1) < 1e-9
     json.dumps(table)
     t.unpersist()
+
+
+def brute_shapley(trees, x, width):
+    """Shapley values by all subsets of features, with the path-dependent expectation."""
+    from itertools import combinations
+    rounds, k, leaves = trees.leaf.shape
+    depth = leaves.bit_length() - 1
+
+    def expect(r, c, known, node=0, level=0):
+        heap = (1 << level) - 1 + node
+        if level == depth or trees.bin[r, c, heap] == 255:
+            return trees.leaf[r, c, node << (depth - level)]
+        f, b, s = trees.feature[r, c, heap], trees.bin[r, c, heap], trees.share[r, c, heap]
+        if f in known:
+            return expect(r, c, known, 2 * node + int(x[f] > b), level + 1)
+        return (s * expect(r, c, known, 2 * node, level + 1)
+                + (1 - s) * expect(r, c, known, 2 * node + 1, level + 1))
+    out = np.zeros((k, width))
+    for c in range(k):
+        def v(known, c=c):
+            return sum(expect(r, c, known) for r in range(rounds))
+        for f in range(width):
+            others = [g for g in range(width) if g != f]
+            for size in range(width):
+                w = math.factorial(size) * math.factorial(width - size - 1) / math.factorial(width)
+                for sub in combinations(others, size):
+                    out[c, f] += w * (v({*sub, f}) - v(set(sub)))
+    return out
+
+
+def test_shapley_values_equal_all_subsets(spark):
+    from riskloom.operators import attribution
+    x, y, w = small(200, seed=7, width=4)
+    df = frame(spark, x, y, w)
+    f, = B.fit_many(df, [B.Boost(n_estimators=3, max_depth=4)], "target", 3, "weight", bins=16)
+    bins_ = B.binned(x, f.cuts)
+    phi, base, fx = attribution.shapley_values(f.trees, bins_)
+    for i in range(0, 200, 40):
+        assert np.allclose(phi[i], brute_shapley(f.trees, bins_[i], 4), atol=1e-10)
+    assert np.allclose(base + phi.sum(axis=2), fx, atol=1e-9)
+    from pyspark.ml import PipelineModel
+    got = attribution.shapley_attribution(PipelineModel([B.model_of(f)]), df, ["a", "b", "c", "d"])
+    rows = {(r.record_id, r.cls, r.feature): r.phi for r in got.collect()}
+    assert len(rows) == 200 * 3 * 4
+    assert all(math.isclose(rows[i, c, n], phi[i, c, j], abs_tol=1e-12)
+               for i in (0, 77) for c in range(3) for j, n in enumerate("abcd"))
+    # The shares of the cover are those of the training rows' hessians.
+    assert ((f.trees.share > 0) & (f.trees.share <= 1)).all()
