@@ -16,6 +16,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (PCA, ElementwiseProduct, RobustScaler, SQLTransformer,
                                 StandardScaler, VectorAssembler)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark import StorageLevel
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from riskloom.constants import CANONICAL_CLUSTERS, CLUSTER_FEATURES, CLUSTER_NAMES, MIN_MUNICIPAL_AREA
 from riskloom.functions.numeric import round_to
 from riskloom.operators.clean import min_area_filter, rainfed_area, require_columns
+from riskloom.operators.lloyd import batched_kmeans
+from riskloom.operators.util import parallel_map
 from riskloom.operators.windows import topn_per_group
 
 
@@ -244,7 +247,6 @@ def simplified_silhouette(df: DataFrame, centroids, features: str = "scaled",
                           cluster: str = "_raw") -> DataFrame:
     """Centroid-based Euclidean silhouette (a = distance to own centroid, b = to the nearest
     other one), averaged: linear in the rows, unlike the all-pairs definition."""
-    from pyspark.ml.functions import vector_to_array
     v = vector_to_array(F.col(features))
     dists = [F.sqrt(sum(((v[j] - F.lit(float(c[j]))) * (v[j] - F.lit(float(c[j])))
                          for j in range(len(c))), F.lit(0.0))) for c in centroids]
@@ -258,20 +260,30 @@ def simplified_silhouette(df: DataFrame, centroids, features: str = "scaled",
 
 def elbow_silhouette(prof: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42,
                      features=CLUSTER_FEATURES):
-    """Inertia for k = 1..max_k (best of n_init) and, for k >= 2, the silhouette with
-    Spark's squared-Euclidean evaluator and the centroid-based Euclidean silhouette.
+    """Inertia for k = 1..max_k (best of n_init; all runs in one batch) and, for k >= 2, the
+    silhouette with Spark's squared-Euclidean evaluator and the centroid-based Euclidean silhouette.
     Returns a list of (k, inertia, silhouette_sq, silhouette_centroid)."""
     prep = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"),
                             PopulationStandardScaler()]).fit(prof)
-    scaled = prep.transform(prof).persist()
-    rows = [(1, total_sum_of_squares(scaled), None, None)]
-    ev = ClusteringEvaluator(featuresCol="scaled", predictionCol="_raw",
-                             distanceMeasure="squaredEuclidean")
-    for k in range(2, max_k + 1):
-        km, costs = kmeans_fit(scaled, k, n_init, seed)
-        pred = km.transform(scaled)
-        sil = ev.evaluate(pred)
-        cs = simplified_silhouette(pred, km.clusterCenters()).first()[0]
-        rows.append((k, min(c for _, c in costs), float(sil), float(cs)))
-    scaled.unpersist()
-    return rows
+    scaled = prep.transform(prof).select("scaled").persist()
+    try:
+        rows = [(1, total_sum_of_squares(scaled), None, None)]
+        runs = [(k, seed + i) for k in range(2, max_k + 1) for i in range(n_init)]
+        best: dict = {}
+        for (k, s), (centers, cost) in zip(runs, batched_kmeans(scaled, runs, seed=seed)):
+            if k not in best or (cost, s) < best[k][:2]:
+                best[k] = (cost, s, centers)
+        ev = ClusteringEvaluator(featuresCol="scaled", predictionCol="_raw",
+                                 distanceMeasure="squaredEuclidean")
+
+        def judge(k):
+            cost, _, centers = best[k]
+            v = vector_to_array(F.col("scaled"))
+            pred = nearest_centroid(scaled.select("scaled", *[v[j].alias(f"_x{j}") for j in range(centers.shape[1])]),
+                                    centers.tolist(), [f"_x{j}" for j in range(centers.shape[1])], "_raw")
+            pred = pred.select("scaled", F.col("_raw").cast("int").alias("_raw"))
+            return (k, cost, float(ev.evaluate(pred)),
+                    float(simplified_silhouette(pred, centers.tolist()).first()[0]))
+        return rows + parallel_map(judge, sorted(best), 4)
+    finally:
+        scaled.unpersist()
