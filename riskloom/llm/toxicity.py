@@ -8,9 +8,9 @@ its windows, so a few words in a long text still count. Embeddings and softmax a
 jointly in numpy with Adam on a smooth maximum over windows; a two-parameter logistic fit then
 turns the document logit (the maximum over windows) into a probability.
 
-Bounds: fitted on at most about ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents, each seen
-through at most ``TRAIN_WINDOWS`` evenly spread windows. Scoring reads every word of every
-text.
+Bounds: fitted on at most about ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents, and on at most
+about ``MAX_CHARS`` characters of each class: whole texts of fewer documents where texts are
+long. Scoring reads every word of every text.
 
 Defined results: a text without words scores 0; rows
 without id or label teach nothing; with one class or none among the labels every score is 0;
@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import binary_labels, bounded_sample, learnable, map_texts
+from riskloom.llm.common import HASH_CUT, binary_labels, bounded_sample, learnable, map_texts
 from riskloom.llm.subwords import word_grams
 
 BUCKETS, DIM = 1 << 16, 8
 LEAST, MOST = 3, 6
 WINDOW, STEP = 4, 2
-MAX_TOXIC, MAX_CLEAN, TRAIN_WINDOWS = 2_000, 4_000, 256
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2_000, 4_000, 24_000_000
 EPOCHS, RATE, SHARP, DECAY = 60, 0.05, 6.0, 1e-4
 CHUNK = 20_000
 SEED = 23
@@ -57,24 +57,26 @@ def window_starts(n: int) -> np.ndarray:
 
 
 def training_words(text: str | None) -> str:
-    """Words of at most ``TRAIN_WINDOWS`` evenly spread, disjoint windows, one a line."""
-    words = words_of(text)
-    if len(words) > WINDOW * TRAIN_WINDOWS:
-        at = np.linspace(0, len(words) - WINDOW, TRAIN_WINDOWS).astype(int)
-        words = [w for s in at for w in words[s:s + WINDOW]]
-    return "\n".join(words)
+    """Words of the whole text, one a line."""
+    return "\n".join(words_of(text))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """(y, words) of the bounded labelled sample. The sampled labels are bounded, so they are
-    broadcast and no text is shuffled."""
+    """(y, words) of the bounded labelled sample: whole texts, thinned by a hash of the id where
+    the rows have more than ``MAX_CHARS`` characters. The sampled labels are bounded, so they
+    are broadcast and no text is shuffled."""
     known = binary_labels(labels, column).where(learnable(F.col("doc_id"), MODULUS, HELD_OUT))
     known = bounded_sample(known.where("y = 1"), ["doc_id"], MAX_TOXIC, SEED).unionByName(
         bounded_sample(known.where("y = 0"), ["doc_id"], MAX_CLEAN, SEED))
     rows = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-            .select("text", "y"))
+            .select("doc_id", "text", "y"))
+    chars = {r.y: r.n or 0 for r in rows.groupBy("y").agg(F.sum(F.length("text")).alias("n")).collect()}
+    for y, n in chars.items():
+        if n > MAX_CHARS:
+            h = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(HASH_CUT))
+            rows = rows.where((F.col("y") != y) | (h < int(HASH_CUT * MAX_CHARS / n)))
     field = T.StructField("words", T.StringType())
-    return map_texts(rows, lambda: lambda ts: {"words": [training_words(t) for t in ts]},
+    return map_texts(rows.select("text", "y"), lambda: lambda ts: {"words": [training_words(t) for t in ts]},
                      [field], ["y"])
 
 

@@ -5,7 +5,8 @@ SF = "/root/testdata/sf0.001"
 EDGE_TEXTS = [None, "", " \t\n ", "one", "a b c d", "a b c d e", "é ñ 日本語 😀 word",
               "the same three words the same three words " * 12,
               "line one\nline two\nline one\n\n \n", "\x00\x1f|<>#*$%&", "word " * 60,
-              "long " + " ".join(f"w{i}" for i in range(20_000)), "x" * 5_000]
+              "long " + " ".join(f"w{i}" for i in range(20_000)), "x" * 50_000,
+              "a" + " " * 100_000 + "b"]
 
 
 def documents(spark):
