@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.constants import (CAT_FEATURES, CYCLES, MODES, POST_HARVEST,
+from riskloom.constants import (CAT_FEATURES, CYCLES, POST_HARVEST,
                                 STRUCTURAL_NULL_COLUMNS)
 from riskloom.functions.risk import class_label, loss_ratio, normalize_text, risk_class
 
@@ -171,11 +171,3 @@ def cycle_code(name_col: str = "Nomcicloproductivo"):
     for code, name in CYCLES.items():
         expr = F.when(s == normalize_text(F.lit(name)), F.lit(code)).otherwise(expr)
     return expr
-
-
-def mode_code(name_col: str = "Nommodalidad"):
-    s = normalize_text(F.col(name_col))
-    expr = F.lit(None).cast("int")
-    for code, name in MODES.items():
-        expr = F.when(s == name.lower(), F.lit(code)).otherwise(expr)
-    return expr

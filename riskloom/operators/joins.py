@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.constants import CLIMATE_CYCLE_MEASURES
 from riskloom.functions.numeric import round_to
+from riskloom.operators.clean import cycle_code
 
 
 class JoinContractError(ValueError):
@@ -21,11 +22,16 @@ class JoinContractError(ValueError):
 
 
 def climate_left_join(df: DataFrame, climate: DataFrame, keys=("Anio", "Idestado", "Idciclo"),
-                      check_unique: bool = False) -> DataFrame:
-    """Attach cycle climate to every record (left join on year, state, cycle). The
-    right side must be unique on the keys so that no record is duplicated; with
-    ``check_unique`` that is verified by an aggregate before the plan is returned."""
+                      check_unique: bool = False, cycle_name: str | None = None,
+                      cycle: str = "Idciclo") -> DataFrame:
+    """Attach cycle climate to every record (left join on year, state, cycle). With
+    ``cycle_name`` the records' cycle comes from that column's names (folded text; a name
+    that is no cycle has no climate). The right side must be unique on the keys so that no
+    record is duplicated; with ``check_unique`` that is verified by an aggregate before the
+    plan is returned."""
     keys = list(keys)
+    if cycle_name:
+        df = df.withColumn(cycle, cycle_code(cycle_name))
     if check_unique:
         dup = climate.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).count()
         if dup:

@@ -47,10 +47,6 @@ def round_doubles(df: DataFrame, digits: int = 6, skip=()) -> DataFrame:
         for f in df.schema.fields])
 
 
-def unpivot(df: DataFrame, ids, cols, var: str = "column_name", val: str = "value") -> DataFrame:
-    return df.unpivot(list(ids), list(cols), var, val)
-
-
 def parallel_map(fn, items, parallelism: int = 4):
     """Run independent Spark jobs (model fits, evaluations) ``parallelism`` at a time from
     driver threads -- the scheduler interleaves their tasks, as CrossValidator does."""

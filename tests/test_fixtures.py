@@ -433,3 +433,16 @@ def test_caller_keeps_a_persisted_frame(spark):
     kmeans_fit(df, k=2, n_init=2)
     assert df.is_cached and df.storageLevel.useMemory
     df.unpersist()
+
+
+def test_climate_join_by_cycle_name(spark):
+    from riskloom.operators.joins import climate_left_join
+    df = spark.createDataFrame(
+        [(1, 2001, 5, "Otoño-Invierno"), (2, 2001, 5, " PRIMAVERA-VERANO "), (3, 2001, 5, "Otono-Invierno"),
+         (4, 2001, 5, "siesta"), (5, 2001, 5, None)],
+        "record_id long, Anio int, Idestado int, Nomcicloproductivo string")
+    climate = spark.createDataFrame([(2001, 5, 1, 10.0), (2001, 5, 2, 20.0)],
+                                    "Anio int, Idestado int, Idciclo int, clima_t double")
+    got = {r.record_id: r.clima_t for r in climate_left_join(
+        df, climate, cycle_name="Nomcicloproductivo", check_unique=True).collect()}
+    assert got == {1: 20.0, 2: 10.0, 3: 20.0, 4: None, 5: None}

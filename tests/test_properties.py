@@ -97,6 +97,19 @@ def test_loss_ratio_bounded(spark, pairs):
         assert 0.0 <= r.x <= 1.0
 
 
+def test_null_keys_have_a_prior_year_mean(spark):
+    """E2 and E1 agree: rows with a NULL key are one group."""
+    rows = [(1, None, "a", 2000, 0.2), (2, None, "a", 2001, 0.4), (3, None, "a", 2002, 0.0),
+            (4, "k", "a", 2001, 1.0), (5, None, None, 2001, 0.6), (6, None, None, 2003, 0.1)]
+    df = spark.createDataFrame(rows, "record_id long, k string, m string, Anio int, proporcion_siniestro double")
+    got = {r.record_id: r for r in windows.prior_year_mean(df, ["k", "m"]).collect()}
+    e1 = {r.record_id: r.hist_mean_rows for r in windows.prior_row_mean(df, ["k", "m"]).collect()}
+    assert len(got) == 6 and got[1].k is None and got[1].m == "a"
+    want = {1: 0.0, 2: 0.2, 3: 0.3, 4: 0.0, 5: 0.0, 6: 0.6}
+    assert {i: round(r.hist_mean, 12) for i, r in got.items()} == want
+    assert {i: round(v, 12) for i, v in e1.items()} == want
+
+
 def test_prior_year_mean_never_reads_same_year(spark):
     rng = random.Random(5)
     data = [(i, rng.choice("AB"), "c", "p", "m", rng.randint(2000, 2004), rng.random()) for i in range(80)]
