@@ -54,7 +54,9 @@ MODULUS, HELD_OUT = 10, 0
 ORDER = 5
 BITS = 8
 END = 0xFF
-BLOCK_BYTES, TABLE_BYTES, LIST_BLOCKS = 64 << 20, 32 << 20, 4096
+BLOCK_BYTES, TABLE_BYTES, LIST_BLOCKS = 32 << 20, 16 << 20, 4096
+#: Characters handled at once in a task, and entries packed at once.
+SLICE, PACKED = 1_000_000, 500_000
 PART_WINDOWS = 150_000
 SHORT, SHORT_SLOTS = 2, 1 << 14
 #: Added to the counts of ones and zeros.
@@ -157,8 +159,14 @@ class _Block:
         learned = np.bincount(code, np.repeat(train, n), len(distinct)).astype(np.int64)
         if len(distinct):
             self.words.append((word_keys(distinct), learned))
-        if sum(len(x) for x, _ in self.windows) > 4_000_000:
+        if sum(len(x) for x, _ in self.windows) > 2_000_000:
             self.windows = [self._merged()]
+        if sum(len(x) for _, x in self.words) > 1_000_000:
+            self.words = [self._merged_words()]
+
+    def _merged_words(self):
+        return _summed(np.concatenate([x for x, _ in self.words]),
+                       np.concatenate([c for _, c in self.words]))
 
     def _merged(self):
         key, at = np.unique(np.concatenate([x for x, _ in self.windows]), return_inverse=True)
@@ -172,8 +180,7 @@ class _Block:
         yield _packed(["kind", "bucket", "block", "k1", "k2", "n"], _bucket(plain, buckets),
                       lambda x: [0, x, block], [plain, empty, n])
         if self.words:
-            k, n = _summed(np.concatenate([x for x, _ in self.words]),
-                           np.concatenate([c for _, c in self.words]))
+            k, n = self._merged_words()
             yield _packed(["kind", "bucket", "block", "k1", "k2", "n"], _bucket(k[:, 0], buckets),
                           lambda x: [1, x, block], [k[:, 0], k[:, 1], n])
 
@@ -221,7 +228,7 @@ def counted(rows: DataFrame, parts: int) -> DataFrame:
                         yield from mine.rows(now, buckets)
                     now, mine = int(blocks[lo]), _Block()
                 texts = lowered(b.column(2).slice(lo, hi - lo))
-                for x, y in slices(texts):
+                for x, y in slices(texts, SLICE):
                     mine.add(texts[x:y], train[lo + x:lo + y].astype(np.int64))
         if mine:
             yield from mine.rows(now, buckets)
@@ -490,12 +497,16 @@ ENTRIES = "kind long, block long, k1 array<long>, k2 array<long>, value array<do
 
 
 def _entries(kind: int, rows: pa.Table, k1, k2, value):
-    """Entries of the blocks in the rows' lists, packed by block."""
-    blocks = rows.column("blocks").combine_chunks()
-    owner = pc.list_parent_indices(blocks).to_numpy(zero_copy_only=False)
-    block = blocks.flatten().to_numpy(zero_copy_only=False)
-    return _packed(["kind", "block", "k1", "k2", "value"], block, lambda x: [kind, x],
-                   [k1[owner], k2[owner] if kind else k2, value[owner]])
+    """Entries of the blocks in the rows' lists, packed by block, some rows at a time."""
+    held = np.cumsum(pc.list_value_length(rows.column("blocks")).to_numpy()) // PACKED
+    edges = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(held)]
+    for lo, hi in zip(edges, edges[1:]):
+        if lo < hi:
+            blocks = rows.column("blocks").slice(lo, hi - lo).combine_chunks()
+            owner = pc.list_parent_indices(blocks).to_numpy(zero_copy_only=False) + lo
+            yield _packed(["kind", "block", "k1", "k2", "value"],
+                          blocks.flatten().to_numpy(zero_copy_only=False), lambda x: [kind, x],
+                          [k1[owner], k2[owner] if kind else k2, value[owner]])
 
 
 def dictionaries(table: DataFrame, model: dict) -> DataFrame:
@@ -509,14 +520,22 @@ def dictionaries(table: DataFrame, model: dict) -> DataFrame:
         if got:
             key, n, at, rows = got
             bits = window_bits(key, context_counts(key, n, shorts.value), shared.value)[at]
-            yield _entries(0, rows, rows.column("k1").to_numpy(), np.empty(0, np.int64), bits)
+            yield from _entries(0, rows, rows.column("k1").to_numpy(), np.empty(0, np.int64), bits)
 
     def counts(batches):
-        got = list(batches)
-        if got:
+        def entries(got):
             rows = pa.Table.from_batches(got)
-            yield _entries(1, rows, *(rows.column(c).to_numpy() for c in ("k1", "k2")),
-                           rows.column("n").to_numpy().astype(float))
+            return _entries(1, rows, *(rows.column(c).to_numpy() for c in ("k1", "k2")),
+                            rows.column("n").to_numpy().astype(float))
+        got, held = [], 0
+        for b in batches:
+            got.append(b)
+            held += len(b.column(3).flatten())
+            if held > PACKED:
+                yield from entries(got)
+                got, held = [], 0
+        if got:
+            yield from entries(got)
     counted_words = table.where("kind = 1").select("k1", "k2", "n", "blocks")
     return (_dealt(table, model["parts"], "blocks").mapInArrow(costs, ENTRIES)
             .unionByName(counted_words.mapInArrow(counts, ENTRIES)))
@@ -556,10 +575,14 @@ def scored(rows: DataFrame, entries: DataFrame, totals: dict) -> DataFrame:
         cost = value[position]
         place = pd.Index(wins)
         word_value = _word_index(*_unpacked(left, 1, ["k1", "k2", "value"])[2:])
-        texts = lowered(right.column("text").combine_chunks())
+        text = right.column("text")
+        held = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy()) // SLICE
+        edges = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(held)]
         parts = []
-        for lo, hi in slices(texts):
-            some = texts[lo:hi]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            some = lowered(text.slice(lo, hi - lo).combine_chunks())
             key, n = windows(some)
             bits = np.add.reduceat(cost[place.get_indexer(key)], np.cumsum(n) - n)
             code, distinct, m = words(some)
