@@ -39,6 +39,6 @@ def register(name: str, sql: str | None = None, digits: int | None = 6):
 
 def load_all() -> dict[str, Entry]:
     # Importing the plan modules fills the registry.
-    from riskloom.plans import (q_classify, q_climate, q_cluster, q_clean,  # noqa: F401
+    from riskloom.plans import (q_checks, q_classify, q_climate, q_cluster, q_clean,  # noqa: F401
                                 q_features, q_files, q_metrics, q_profile, q_sets)
     return QUERIES
