@@ -245,7 +245,7 @@ def test_sql_matches(spark):
     """The registered SQL gives the query's rows."""
     from riskloom.llm import queries
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, SF)
