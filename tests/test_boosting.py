@@ -214,3 +214,19 @@ def test_shapley_values_equal_all_subsets(spark):
                for i in (0, 77) for c in range(3) for j, n in enumerate("abcd"))
     # The shares of the cover are those of the training rows' hessians.
     assert ((f.trees.share > 0) & (f.trees.share <= 1)).all()
+
+
+def test_a_round_over_many_blocks_takes_one_job_a_level(spark):
+    x, y, w = small()
+    df = frame(spark, x, y, w)
+    cuts = B.cut_points(df, "features", 16)
+    offsets = np.concatenate(([0], np.cumsum([len(c) + 1 for c in cuts]))).astype(np.int64)
+    blocks, n = B.packed(df, cuts, "target", "weight", None, "record_id", block_rows=80)
+    rows = B.SparkRows(blocks, n, 3, offsets, B.Boost(n_estimators=4, max_depth=3))
+    spark.sparkContext.setJobGroup("rounds", "rounds of a booster")
+    try:
+        B.train(rows, 3, offsets, rows.p)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) <= 4 * 3
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows.close()
