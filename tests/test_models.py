@@ -255,3 +255,15 @@ def test_search_returns_a_model_that_scores(spark, data):
     assert len(table) == 2
     s = classify.predict(m, data[2])
     assert s.where("abs(aggregate(p, 0D, (a, x) -> a + x) - 1) > 1e-9").count() == 0
+
+
+def test_forest_keeps_node_numbers_and_gives_the_same_trees(data):
+    tr, _, te = data
+    few = {"numTrees": 3, "maxDepth": 4}
+    kept = classify.fit_risk_classifier(tr, kind="rf", params=few)
+    walked = classify.fit_risk_classifier(tr, kind="rf", params=few | {"cacheNodeIds": False})
+    forest = [next(s for s in m.stages if hasattr(s, "trees")) for m in (kept, walked)]
+    assert [f.getCacheNodeIds() for f in forest] == [True, False]
+    assert forest[0].toDebugString.split("\n")[1:] == forest[1].toDebugString.split("\n")[1:]
+    p = [{r.key: r.p for r in classify.predict(m, te).collect()} for m in (kept, walked)]
+    assert p[0] == p[1]
