@@ -182,7 +182,8 @@ def score_points(scored: DataFrame, y: str = "y", p: str = "p", k: int = K) -> D
                                    F.count_if(F.col("_y") == F.col("k")).alias("pos"))
     d = d.withColumn("neg_s", -F.col("s"))
     run = running_totals(d, ["k"], ["neg_s"], ["cnt", "pos"], include_current=True, prefix="cum_")
-    tot = d.groupBy("k").agg(F.sum("pos").alias("P"), (F.sum("cnt") - F.sum("pos")).alias("Nn"))
+    # From the persisted ranges under ``run``: ``d`` would read and score all rows again.
+    tot = run.groupBy("k").agg(F.sum("pos").alias("P"), (F.sum("cnt") - F.sum("pos")).alias("Nn"))
     return run.join(tot, "k").drop("neg_s", "cum_n")
 
 

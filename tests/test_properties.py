@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskloom.operators import features, metrics, windows
+from riskloom.operators import features, metrics, profile, windows
 from riskloom.operators.util import HASH_M, key_hash
 
 SETTINGS = settings(max_examples=12, deadline=None,
@@ -272,3 +272,40 @@ def test_spearman_matches_brute_force_with_nulls(spark):
             pairs = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
             want = _pearson(_avg_ranks([p[0] for p in pairs]), _avg_ranks([p[1] for p in pairs]))
             assert math.isclose(got[(x, y)], want, abs_tol=1e-9), (x, y)
+
+
+def _counted(df):
+    """``df`` and an accumulator of the rows that are made of it."""
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    return df.mapInArrow(run, df.schema), made
+
+
+def test_score_points_read_the_scored_table_once(spark):
+    rows = [(i % 5, [((i * (k + 3)) % 7 + 1) / 10 for k in range(5)]) for i in range(60)]
+    df, made = _counted(spark.createDataFrame(rows, "y int, p array<double>"))
+    metrics.average_precision_macro(df).collect()
+    assert made.value == len(rows)
+
+
+def test_correlation_ranks_a_value_once_for_all_masks(spark, monkeypatch):
+    seen = []
+    kept = profile.running_totals
+
+    def spy(df, *args, **kwargs):
+        seen.append(df.count())
+        return kept(df, *args, **kwargs)
+    monkeypatch.setattr(profile, "running_totals", spy)
+    rows = [(float(i % 6), float(i * i % 11), None if i % 4 == 0 else float(i * 7 % 10)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r.col_a, r.col_b): r["corr"] for r in profile.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    want = df.toPandas()
+    assert seen == [sum(want[c].nunique() for c in want)]
+    for (a, b), r in got.items():
+        both = want[[a, b]].dropna() if a != b else want[[a]].dropna()
+        x, y = both[a].rank(), both[b].rank()
+        assert abs(r - x.corr(y)) < 1e-9
