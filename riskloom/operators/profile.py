@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskloom.constants import RISK_LABELS
 from riskloom.functions.numeric import round_to
 from riskloom.operators.quantiles import column_quantiles, exact_quantiles, wide_quantiles
-from riskloom.operators.windows import average_rank, topn_per_group
+from riskloom.operators.windows import running_totals, topn_per_group
 
 
 def _pct(part, whole, digits=2):
@@ -266,17 +266,33 @@ def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFra
         for a, b in pairs:
             for c in (a, b):
                 keys.setdefault((c, sig(a, b)), len(keys))
+        # One long row per value; bit s of ``_o`` tells that the row is complete for mask set s,
+        # so a value is shuffled once however many sets it is ranked in.
+        sets = list(dict.fromkeys(sg for _, sg in keys))
         entries = []
-        for (c, sg), k in keys.items():
-            ok = F.col(c).isNotNull()
-            for other in sg:
-                ok = ok & F.col(other).isNotNull()
-            entries.append(F.when(ok, F.struct(F.lit(k).alias("_k"), F.col(c).alias("_v"))))
+        for i, c in enumerate(cols):
+            bits = F.lit(0)
+            for s, sg in enumerate(sets):
+                if (c, sg) in keys:
+                    ok = F.lit(True)
+                    for other in sg:
+                        ok = ok & F.col(other).isNotNull()
+                    bits = bits + F.when(ok, 1 << s).otherwise(0)
+            entries.append(F.when(F.col(c).isNotNull() & (bits > 0),
+                                  F.struct(F.lit(i).alias("_k"), F.col(c).alias("_v"), bits.alias("_o"))))
         long = rid.select("_rid", F.explode(F.array(*entries)).alias("_e")).filter(
-            F.col("_e").isNotNull()).select("_rid", "_e._k", "_e._v")
-        ranks = average_rank(long, ["_k"], "_v", "_r").drop("n_ties")
+            F.col("_e").isNotNull()).select("_rid", "_e._k", "_e._v", "_e._o")
+
+        def within(s):
+            return F.col("_o").bitwiseAND(1 << s) != 0
+        counts = [f"_n{s}" for s in range(len(sets))]
+        distinct = long.groupBy("_k", "_v").agg(*[F.count_if(within(s)).alias(n) for s, n in enumerate(counts)])
+        run = running_totals(distinct, ["_k"], ["_v"], counts, prefix="_below_")
+        ranks = run.select("_k", "_v", *[(F.col(f"_below_{n}") + (F.col(n) + 1) / 2).alias(f"_q{s}")
+                                         for s, n in enumerate(counts)])
         wide = long.join(ranks, ["_k", "_v"]).groupBy("_rid").agg(
-            *[F.max(F.when(F.col("_k") == k, F.col("_r"))).alias(f"_r{k}") for k in keys.values()])
+            *[F.max(F.when((F.col("_k") == cols.index(c)) & within(sets.index(sg)), F.col(f"_q{sets.index(sg)}")))
+              .alias(f"_r{k}") for (c, sg), k in keys.items()])
         one = wide.agg(*[_safe_corr(f"_r{keys[(a, sig(a, b))]}", f"_r{keys[(b, sig(a, b))]}")
                          .alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
     half = one.select(F.inline(F.array(*[
