@@ -10,6 +10,7 @@ plain ``PipelineModel`` of built-in stages.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -145,6 +146,17 @@ def make_scaler(kind: str, inputCol: str = "features", outputCol: str = "scaled"
     raise ValueError(f"unknown scaler: {kind!r} (use 'standard' or 'robust')")
 
 
+@contextmanager
+def profile_once(prof: DataFrame, features):
+    """The features of a profile, persisted: the scaler, its count and the runs read them again
+    and again, which would aggregate all records each time."""
+    slim = prof.select(*features).persist()
+    try:
+        yield slim
+    finally:
+        slim.unpersist()
+
+
 def kmeans_fit(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
                features: str = "scaled", max_iter: int = 50, parallelism: int = 8):
     """Best of ``n_init`` seeded k-means runs by inertia (within-cluster sum of squares).
@@ -152,7 +164,8 @@ def kmeans_fit(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
     CrossValidator does) over the persisted input. Returns (model, [(seed, cost)])."""
     from concurrent.futures import ThreadPoolExecutor
     mine = df.storageLevel == StorageLevel.NONE  # a frame the caller persisted stays so
-    data = df.persist() if mine else df
+    data = df.select(features).persist() if mine else df
+    data.count()  # once, before the runs ask for it at the same time
 
     def run(i):
         m = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="_raw",
@@ -187,14 +200,15 @@ def vulnerability_pipeline(prof: DataFrame, k: int = 4, n_pca: int = 2, n_init:
     """Assemble -> scale -> best-of-n k-means -> canonical numbering -> PCA (sign fixed
     so that each component's largest loading is positive). One PipelineModel."""
     features = list(features)
-    prep = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features",
-                                            handleInvalid="error"),
-                            make_scaler(scaler)]).fit(prof)
-    scaled = prep.transform(prof).persist()
-    km, _ = kmeans_fit(scaled, k, n_init, seed)
-    relabel = canonical_relabel(km)
-    pca = PCA(k=n_pca, inputCol="scaled", outputCol="pca_raw").fit(scaled)
-    scaled.unpersist()
+    with profile_once(prof, features) as prof:
+        prep = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features",
+                                                handleInvalid="error"),
+                                make_scaler(scaler)]).fit(prof)
+        scaled = prep.transform(prof).persist()
+        km, _ = kmeans_fit(scaled, k, n_init, seed)
+        relabel = canonical_relabel(km)
+        pca = PCA(k=n_pca, inputCol="scaled", outputCol="pca_raw").fit(scaled)
+        scaled.unpersist()
     pc = pca.pc.toArray()  # d x n_pca
     signs = []
     for j in range(n_pca):

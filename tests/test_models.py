@@ -267,3 +267,17 @@ def test_forest_keeps_node_numbers_and_gives_the_same_trees(data):
     assert forest[0].toDebugString.split("\n")[1:] == forest[1].toDebugString.split("\n")[1:]
     p = [{r.key: r.p for r in classify.predict(m, te).collect()} for m in (kept, walked)]
     assert p[0] == p[1]
+
+
+def test_clustering_makes_the_profile_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    cols = cluster.CLUSTER_FEATURES
+    df = spark.range(60).select(*[((F.col("id") * (i + 3)) % (7 + i)).cast("double").alias(c)
+                                  for i, c in enumerate(cols)]).repartition(2)
+    model = cluster.vulnerability_pipeline(df.mapInArrow(run, df.schema), k=3, n_pca=2, n_init=2)
+    assert made.value == 60 and len(cluster.project_centroids(model)) == 3
