@@ -409,8 +409,9 @@ def find_links(reps: DataFrame, texts) -> DataFrame:
         d, _ = _packed(d)
         # Buckets with open members, and how near the pivot they are.
         rest = d.where("open").groupBy("bucket").agg(F.min("d").alias("nearest"))
-        left = (d.join(rest, "bucket")
-                .where(F.col("open") | (F.col("d") >= F.col("nearest") - reach)))
+        # Open members stay, so only the others look up their bucket (one row of ``rest`` each).
+        near = d.where(~F.col("open")).join(rest, "bucket").where(F.col("d") >= F.col("nearest") - reach)
+        left = d.where("open").unionByName(near.drop("nearest"))
         # A bucket is settled when what is left of it lies in one component.
         several = (left.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
                    .where("lo <> hi").select("bucket"))
