@@ -230,3 +230,80 @@ def test_a_round_over_many_blocks_takes_one_job_a_level(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         rows.close()
+
+
+def test_combined_features_give_the_same_trees(monkeypatch):
+    """Sums of several features at once, added up for each, against one feature at a time."""
+    rng = np.random.default_rng(4)
+    bins = [5, 25, 3, 2, 30]
+    x = np.stack([rng.integers(0, b, 3000) for b in bins], 1).astype(np.uint8)
+    y = np.clip(x[:, 4] / 10 + x[:, 1] / 20 + rng.normal(0, 0.7, 3000), 0, 2).astype(np.int8)
+    offsets, p = np.concatenate(([0], np.cumsum(bins))), B.Boost(n_estimators=3, max_depth=5)
+
+    def trained(least):
+        monkeypatch.setattr(B, "COMBINE_ROWS", least)
+        rows = B.BlockRows(x, y, np.ones(3000), np.zeros(3000, np.int8), 3, offsets, p)
+        return rows.codes.groups, B.train(rows, 3, offsets, p)[0]
+    (one, a), (many, b) = trained(10_000), trained(0)
+    assert len(one) == 5 > len(many)
+    assert np.allclose(B.margins(a, x), B.margins(b, x), atol=1e-9)
+
+
+def test_grids_of_a_few_blocks_train_one_model_a_task(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(B, "SparkRows", None)  # a Spark job for each level of each model
+    x, y, w = small(300, seed=9)
+    got = B.fit_many(frame(spark, x, y, w), [B.Boost(n_estimators=2, gamma=g) for g in (0, 1.0)], "target", 3, "weight")
+    assert [f.params.gamma for f in got] == [0, 1.0]
+
+
+def test_shapley_tables_of_other_depths(spark):
+    """Each row's values from tables over the answers on its path, against all subsets."""
+    from riskloom.operators import attribution
+    x, y, w = small(150, seed=7, width=3)
+    for depth in (1, 2, 3):
+        f, = B.fit_many(frame(spark, x, y, w), [B.Boost(n_estimators=2, max_depth=depth)], "target", 3, "weight")
+        bins_ = B.binned(x, f.cuts)
+        phi, base, fx = attribution.shapley_values(f.trees, bins_)
+        assert np.allclose(phi.sum(2) + base, fx, atol=1e-10)
+
+        def known(row, subset):
+            out = np.zeros(3)
+            for r in range(2):
+                for c in range(3):
+                    def walk(node, level):
+                        heap = (1 << level) - 1 + node
+                        if level == depth or f.trees.bin[r, c, heap] == 255:
+                            return f.trees.leaf[r, c, node << (depth - level)]
+                        u = f.trees.feature[r, c, heap]
+                        if u in subset:
+                            return walk(2 * node + (row[u] > f.trees.bin[r, c, heap]), level + 1)
+                        s = f.trees.share[r, c, heap]
+                        return s * walk(2 * node, level + 1) + (1 - s) * walk(2 * node + 1, level + 1)
+                    out[c] += walk(0, 0)
+            return out
+        for i in (0, 70):
+            for u in range(3):
+                a, b = [v for v in range(3) if v != u]
+                want = sum(wt * (known(bins_[i], {*s, u}) - known(bins_[i], set(s)))
+                           for s, wt in (((), 1 / 3), ((a,), 1 / 6), ((b,), 1 / 6), ((a, b), 1 / 3)))
+                assert np.allclose(phi[i, :, u], want, atol=1e-10)
+
+
+def test_overlapping_validation_rows_are_refused(spark):
+    df = classify.model_table(risky(spark, SF_SMALL))
+    early = df.filter(F.col("Anio") <= 1995)
+    with pytest.raises(ValueError, match="overlap"):
+        classify.early_stop_curve(early, early.limit(3), params={"n_estimators": 1})
+
+
+def test_a_tree_is_played_once_however_many_rows(monkeypatch):
+    from riskloom.operators import attribution
+    rng = np.random.default_rng(2)
+    x, off, p = rng.integers(0, 6, (400, 3)).astype(np.uint8), np.array([0, 6, 12, 18]), B.Boost(n_estimators=2, max_depth=4)
+    trees, _ = B.train(B.BlockRows(x, rng.integers(0, 2, 400), np.ones(400), np.zeros(400), 2, off, p), 2, off, p)
+    made, table = [], attribution.Games.table
+    monkeypatch.setattr(attribution.Games, "table", lambda *a: made.append(1) or table(*a))
+    monkeypatch.setattr(attribution, "ROWS", 50)
+    phi, base, fx = attribution.shapley_values(trees, x)
+    assert len(made) == 2 * 2 and np.allclose(phi.sum(2) + base, fx)
