@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,6 +246,8 @@ def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFra
     if method == "pearson":
         one = rid.agg(*[_safe_corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
     else:
+        # Read by the statistics, the distinct values and the join: made once.
+        rid = rid.persist(StorageLevel.MEMORY_AND_DISK)
         # planning statistics (one pass, a few numbers): null counts, and for every pair of
         # columns the rows where exactly one of them is missing -- 0 means the same null mask
         stats = rid.agg(*[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)],
@@ -290,7 +293,9 @@ def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> DataFra
         run = running_totals(distinct, ["_k"], ["_v"], counts, prefix="_below_")
         ranks = run.select("_k", "_v", *[(F.col(f"_below_{n}") + (F.col(n) + 1) / 2).alias(f"_q{s}")
                                          for s, n in enumerate(counts)])
-        wide = long.join(ranks, ["_k", "_v"]).groupBy("_rid").agg(
+        # Dealt by row before the sums: those of a task would be a wide row for each value.
+        ranked = long.join(ranks, ["_k", "_v"]).drop("_v").repartition("_rid")
+        wide = ranked.groupBy("_rid").agg(
             *[F.max(F.when((F.col("_k") == cols.index(c)) & within(sets.index(sg)), F.col(f"_q{sets.index(sg)}")))
               .alias(f"_r{k}") for (c, sg), k in keys.items()])
         one = wide.agg(*[_safe_corr(f"_r{keys[(a, sig(a, b))]}", f"_r{keys[(b, sig(a, b))]}")
