@@ -470,14 +470,8 @@ def ablation(train: DataFrame, test: DataFrame, feature_sets: dict, kind: str =
         e = evaluate(predict(fit_risk_classifier(train, cols, cat, kind=kind, params=params), test)).first()
         return {c: float(e[c]) for c in names}
 
-    columns = list(dict.fromkeys(["record_id", "target", "weight", *cat,
-                                  *(c for v in feature_sets.values() for c in v)]))
-    train, test = train.select(*columns).persist(), test.select(*columns).persist()
-    try:  # one after the other: each fit holds its rows
-        results = parallel_map(run, list(feature_sets.values()), 1)
-    finally:
-        train.unpersist()
-        test.unpersist()
+    # One after the other: each fit holds its rows.
+    results = parallel_map(run, list(feature_sets.values()), 1)
     first = results[0]
     return [(name, *[round(v[c], 4) for c in names], *[round(v[c] - first[c], 4) for c in names])
             for name, v in zip(feature_sets, results)]
